@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontaminate, packing, quality, sharding, simhash, urlfilter
+from . import attribution, decontaminate, htmlextract, packing, quality, sharding, simhash, urlfilter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlextract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
