@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, decontaminate, htmlextract, packing, quality, sharding, simhash, toxicity, urlfilter
+from . import attribution, decontaminate, htmlextract, lm, packing, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlextract.main_text(table(spark, sf_dir, "pages"))
 
 
+def op2_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
