@@ -6,7 +6,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from clausegrid.llm import decontaminate, packing, quality, simhash, toxicity
+from clausegrid.llm.common import cut, table
+from clausegrid.llm.queries import tokenizer
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and are no outliers of their language and source."""
+    return quality.keep_good(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below their language's toxicity threshold; learns from the labels of what is left."""
+    return toxicity.keep_civil(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pattern_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences."""
+    return packing.pack(docs, tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality-rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pattern-packing", pattern_packing),
+]
 
 #: The stages train models and pack by fitted patterns: SQL cannot express them.
 ORACLE_SQL = None
@@ -14,8 +50,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents, each on a table that the one before it wrote."""
-    from clausegrid.llm.common import cut, table
-
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
