@@ -27,7 +27,11 @@ WORDS = 2000
 ROWS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 4, 64, 0.05
 #: Toxic calibration rows that a language needs for a threshold of its own.
-LEAST_TOXIC = 8
+LEAST_TOXIC = 40
+#: Share of truly toxic rows among those that a threshold rejects.
+PRECISION = 0.9
+#: Calibration scores each row with a model that has not seen it: this many models.
+FOLDS = 3
 #: Words whose hashes a worker remembers.
 REMEMBERED = 500_000
 
@@ -164,39 +168,38 @@ def train(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int
     return model
 
 
-def calibrate(model: Model, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, langs: list) -> None:
-    """Platt's scale on rows that training has not seen, then the threshold of best F1 of each language."""
-    z = model.logits(texts)
+def calibrate(model: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list) -> None:
+    """From logits of rows that their model had not seen: Platt's scale (with his smoothed targets), and thresholds."""
+    n1, n0 = y.sum(), (1 - y).sum()
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        g = np.array([(weight * (p - y) * z).sum() + 1e-2 * (a - 1), (weight * (p - y)).sum()])
+        g = np.array([(weight * (p - target) * z).sum() + 0.1 * (a - 1), (weight * (p - target)).sum()])
         r = weight * p * (1 - p)
-        h = np.array([[(r * z * z).sum() + 1e-2, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-3]])
+        h = np.array([[(r * z * z).sum() + 0.1, (r * z).sum()], [(r * z).sum(), r.sum() + 1e-2]])
         da, db = np.linalg.solve(h, g)
-        a, b = float(np.clip(a - da, 0.05, 20)), b - float(np.clip(db, -5, 5))
+        a, b = float(np.clip(a - np.clip(da, -0.5, 0.5), 0.05, 20)), b - float(np.clip(db, -1, 1))
         if abs(da) + abs(db) < 1e-6:
             break
     model.scale, model.shift = a, b
     p = 1 / (1 + np.exp(-np.clip(a * z + b, -60, 60)))
-    model.default = _best_threshold(p, y, weight)
+    model.default = _threshold(p, y, weight)
     for lang in set(langs):
         own = np.array([x == lang for x in langs])
         if y[own].sum() >= LEAST_TOXIC:
-            model.thresholds[lang] = _best_threshold(p[own], y[own], weight[own])
+            model.thresholds[lang] = _threshold(p[own], y[own], weight[own])
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Midway between neighbouring scores, where F1 is best; kept within 0.1 to 0.9."""
-    if not len(p) or not y.sum():
-        return 0.5
-    order = np.argsort(-p, kind="stable")
-    p, y, weight = p[order], y[order], weight[order]
-    hits, taken, total = np.cumsum(weight * y), np.cumsum(weight), (weight * y).sum()
-    f1 = 2 * hits / (taken + total)
-    f1[:-1][p[:-1] == p[1:]] = -1  # equal scores are not parted
-    k = int(np.argmax(f1))
-    return float(np.clip((p[k] + (p[k + 1] if k + 1 < len(p) else p[k])) / 2, 0.1, 0.9))
+def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The least threshold, from 0.3 on, at which PRECISION of what is rejected is toxic, one clean row added for
+    caution; 0.9 if there is none."""
+    for t in np.arange(0.3, 0.9, 0.02):
+        hit = p >= t
+        toxic, clean = (weight * y)[hit].sum(), (weight * (1 - y))[hit].sum()
+        if toxic >= PRECISION * (toxic + clean + 1):
+            return float(t)
+    return 0.9
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -224,18 +227,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     got = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()
     y = np.array([r["toxic"] for r in got], dtype=np.float64)
-    fold = np.arange(len(got)) % 5 == 0
-    model = Model()
-    if min(n.get(0, 0), n.get(1, 0)) == 0 or any(len(set(y[f])) < 2 for f in (fold, ~fold)):
+    fold = np.arange(len(got)) % FOLDS
+    if any(len(set(y[fold != k])) < 2 for k in range(FOLDS)):
+        model = Model()
         model.constant = n.get(1, 0) / (sum(n.values()) + 20)
-        model.default = 0.5
+        model.default = 0.9
         return model
     texts = [np.frombuffer(r["ids"], dtype=np.uint64) for r in got]
     share = n[1] / (n[0] + n[1])  # the sample's classes are weighted back to their share of all labels
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    pick = lambda xs, f: [x for x, keep in zip(xs, f) if keep]
-    model = train(pick(texts, ~fold), y[~fold], np.sqrt(weight[~fold]))
-    calibrate(model, pick(texts, fold), y[fold], weight[fold], pick([r["lang"] for r in got], fold))
+    some = lambda keep: [t for t, k in zip(texts, keep) if k]
+    z = np.empty(len(got))
+    for k in range(FOLDS):
+        z[fold == k] = train(some(fold != k), y[fold != k], np.sqrt(weight[fold != k])).logits(some(fold == k))
+    model = train(texts, y, np.sqrt(weight))
+    calibrate(model, z, y, weight, [r["lang"] for r in got])
     return model
 
 
