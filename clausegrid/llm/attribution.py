@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import SpanEncoder, encoder
+from .bpe import encoder
 from .common import bounded_batches
 
 #: Text to the (starts, ends) of its parts: ordered, disjoint, in characters; empty parts are allowed.
@@ -57,7 +57,7 @@ def part_counts(docs: DataFrame, path: str, parts: Parts = lines, id_col: str =
         ("part", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("n_tokens", T.LongType()), ("n_crossing", T.LongType())))])
 
     def run(batches):
-        own = encoder(path, SpanEncoder)
+        own = encoder(path)
         for b in batches:
             take, cols = [], [[], [], [], [], []]
             for k, text in enumerate(b.column("text").to_pylist()):
@@ -99,7 +99,7 @@ def field_counts(docs: DataFrame, fields: list[str], path: str, separator: str =
     flat = joined.select(F.col("k.id").alias("id"), F.col("k.sizes").alias("sizes"), F.expr(f"substring(text, 1, char_length(text) - {gap})").alias("text"))
 
     def run(batches):
-        own = encoder(path, SpanEncoder)
+        own = encoder(path)
         for b in batches:
             take, names, n_all, over_all = [], [], [], []
             for k, (text, sizes) in enumerate(zip(b.column("text").to_pylist(), b.column("sizes").to_pylist())):

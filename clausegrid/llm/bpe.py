@@ -1,106 +1,96 @@
-"""Byte-level BPE of whole texts, faster for a corpus by encoding each distinct piece once.
+"""Byte-level BPE of whole texts with the ids of a ``tokenizers`` file.
 
-The tokenizer file splits a text by a pattern into pieces and merges inside a piece only,
-so a text's ids are those of its pieces in order. A worker keeps the ids of the pieces it
-has met, up to a bound, and asks the ``tokenizers`` library for the others. A text for
-which the pattern here and the library's could part (special-token strings, rare white
-space and control characters) goes to the library whole.
+The file's vocabulary numbers each merged token in the order of its merge, so a rank-based
+encoder (tiktoken) over the same vocabulary gives the same ids several times faster; that
+order is checked when a file is loaded. Texts on which the two libraries' splitting could
+part (control characters, special-token strings, scripts on which Unicode tables may
+differ), and files whose ids are not in merge order, go to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import regex
 
-#: How the tokenizer file's pre-tokenizer splits a text (fixed by the vocabulary).
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters on whose class the two pattern engines, or their Unicode tables, may differ:
-#: special-token openers, control characters, and all beyond the long-settled scripts.
-_ODD = regex.compile(r"<\||[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0]|[^\x00-ӿ‐-‧‰-⁞€]")
-#: Distinct pieces that a worker remembers; about 200 bytes each.
-REMEMBERED = 200_000
-#: A longer piece is not remembered.
-LONGEST = 64
+#: Characters on whose class two pattern engines, or their Unicode tables, may differ, outside Latin-1.
+_ODD = regex.compile(r"[\x00-\x09\x0b-\x1f\x7f-\xa0]|[^\x00-ӿ‐-‧‰-⁞€]")
+#: How the byte-level pre-tokenizer splits a text: fixed by the vocabulary. Possessive, so that no run is tried twice.
+_SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
-class Encoder:
-    """ids of texts under a ``tokenizers`` file; one per worker."""
+def _byte_characters() -> dict[str, int]:
+    """The characters in which byte-level vocabularies spell bytes: printable Latin-1 as itself, the rest from 256 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encodes pieces; returns those too long to remember."""
-        pieces = list(pieces)
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        raw = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(pieces, found)}
-        self.known.update((p, r) for p, r in raw.items() if len(p) <= LONGEST)
-        return {p: r for p, r in raw.items() if len(p) > LONGEST}
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if _ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces = PATTERN.findall(text)
-        known = self.known
+def _is_plain(text: str) -> bool:
+    if "<|" in text:
+        return False
+    if text.replace("\n", "").isprintable():
         try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
+            text.encode("latin-1")
+            return True
+        except UnicodeEncodeError:
             pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        long = self._learn({p for p in pieces if p not in known})
-        return b"".join([long[p] if p in long else known[p] for p in pieces])
+    return _ODD.search(text) is None
 
 
-class SpanEncoder:
-    """Character spans of tokens, with the spans of each distinct piece found once."""
+class Encoder:
+    """Tokens of texts under a ``tokenizers`` file; one per worker."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, list[int], list[int]]] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.fast = None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return
+        spelled = _byte_characters()
+        added = {t["content"] for t in spec.get("added_tokens", ())}
+        ranks = {bytes(spelled[c] for c in token): k for token, k in model["vocab"].items() if token not in added}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        if all(model["vocab"][a + b] == 256 + k for k, (a, b) in enumerate(pairs)):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(path, pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+            for token, k in ranks.items():
+                self.length[k] = len(token)
+
+    def ids(self, text: str) -> np.ndarray:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if self.fast is not None and _is_plain(text):
+            return np.array(self.fast.encode_ordinary(text), dtype="<u4")
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, ends) of the text's tokens in characters; tokens that share a character share its span."""
-        if _ODD.search(text):
-            both = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        """(starts, ends) of the tokens in characters; a token spans every character of which it holds a byte."""
+        if self.fast is None or not _is_plain(text):
+            both = np.array(self.whole.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
             return both[:, 0], both[:, 1]
-        pieces = PATTERN.findall(text)
-        if not pieces:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[p] = (len(e.offsets), [a for a, _ in e.offsets], [b for _, b in e.offsets])
-        rows = [known[p] for p in pieces]
-        for p in new:
-            if len(p) > LONGEST:
-                del known[p]
-        count = np.fromiter((r[0] for r in rows), dtype=np.int64, count=len(rows))
-        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
-        base = np.repeat(np.cumsum(size) - size, count)
-        starts = [x for r in rows for x in r[1]]
-        ends = [x for r in rows for x in r[2]]
-        return base + np.array(starts, dtype=np.int64), base + np.array(ends, dtype=np.int64)
-
-
-_encoders: dict[tuple[type, str], object] = {}
-
-
-def encoder(path: str, kind: type = Encoder):
+        ends = np.cumsum(self.length[self.ids(text)])
+        starts = np.r_[0, ends[:-1]] if len(ends) else ends
+        if text.isascii():
+            return starts, ends
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        char = np.cumsum((raw & 0xC0) != 0x80) - 1
+        return char[starts], char[ends - 1] + 1
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

@@ -180,7 +180,7 @@ def tokenize(docs: DataFrame, path: str, limit: int = LIMIT, end_id: int = 0) ->
         for b in batches:
             take, piece, start, length, crc, rank = [], [], [], [], [], []
             for k, text in enumerate(b.column("text").to_pylist()):
-                raw = own.encode(text or "") + stop
+                raw = own.ids(text or "").tobytes() + stop
                 total = len(raw) // 4
                 at = 0
                 while at < total:
