@@ -66,16 +66,15 @@ def percents(text: Column) -> Column:
 def percents_per_month(text: Column) -> Column:
     """Percentages with yearly ones divided by 12; those without a unit count as monthly."""
     pairs = F.arrays_zip(_all(text, PERCENT).alias("v"), _all(text, PERCENT, 2).alias("u"))
-    rate = lambda p: F.when(F.lower(p["1"]).isin("annum", "year"), p["0"].cast("double") / 12.0).otherwise(p["0"].cast("double"))
+    rate = lambda p: F.when(F.lower(p["u"]).isin("annum", "year"), p["v"].cast("double") / 12.0).otherwise(p["v"].cast("double"))
     return _distinct(F.transform(pairs, lambda p: F.bround(rate(p), 4)))
 
 
 def _amounts(text: Column) -> Column:
     def scaled(pattern):
         pairs = F.arrays_zip(_all(text, pattern).alias("v"), _all(text, pattern, 2).alias("u"))
-        by = lambda p: F.when(F.lower(p["1"]) == "k", 1e3).when(F.lower(p["1"]).isin("m", "million"), 1e6).when(F.lower(p["1"]).isin("b", "billion"), 1e9).otherwise(1.0)
-        return F.transform(pairs, lambda p: F.bround(F.try_cast(_bare(p["0"]), "double") * by(p)).cast("bigint")) if hasattr(F, "try_cast") else F.transform(
-            pairs, lambda p: F.bround(_bare(p["0"]).try_cast("double") * by(p)).cast("bigint"))
+        by = lambda p: F.when(F.lower(p["u"]) == "k", 1e3).when(F.lower(p["u"]).isin("m", "million"), 1e6).when(F.lower(p["u"]).isin("b", "billion"), 1e9).otherwise(1.0)
+        return F.transform(pairs, lambda p: F.bround(_bare(p["v"]).try_cast("double") * by(p)).cast("bigint"))
 
     return F.concat(scaled(DOLLAR), scaled(DOLLAR_WORDS))
 

@@ -89,22 +89,37 @@ def compare_json(value: Column, c: Compare) -> Column:
     return F.coalesce(present & _ordered(c.op, number, right), F.lit(False))
 
 
+def _node(path: Column, node: Column) -> Column:
+    return F.struct(path.alias("path"), node.alias("node"))
+
+
+_NONE = "array<struct<path:string,node:variant>>"
+
+
+def _spread(at: Column) -> Column:
+    """The items of array nodes, each with its index in its path."""
+    item = lambda x: lambda v, i: _node(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), v)
+    own = lambda x: F.coalesce(F.transform(F.try_variant_get(x["node"], "$", "array<variant>"), item(x)), F.array().cast(_NONE))
+    return F.flatten(F.transform(at, own))
+
+
+def _take(at: Column, kind: str, what) -> Column:
+    """One step of a path. The lambdas take one argument each: a second one would be an index."""
+    if kind == "field":
+        return F.transform(at, lambda x: _node(F.concat(x["path"], F.lit(f".{what}")), F.try_variant_get(x["node"], f"$.{what}", "variant")))
+    items = _spread(at)
+    if kind == "index":
+        return F.filter(items, lambda x: F.endswith(x["path"], F.lit(f"[{what}]")))
+    if kind == "filter":
+        return F.filter(items, lambda x: compare_json(F.try_variant_get(x["node"], f"$.{what.path}", "variant"), what))
+    return items
+
+
 def json_matches(doc: Column, path: str) -> Column:
     """array<struct<path, node variant>> of the non-null nodes that a path selects in a variant."""
-    at = F.array(F.struct(F.lit("$").alias("path"), doc.alias("node")))
-    items = lambda x: F.try_variant_get(x["node"], "$", "array<variant>")
-    node = lambda p, n: F.struct(p.alias("path"), n.alias("node"))
-    spread = lambda x: F.coalesce(F.transform(items(x), lambda v, i: node(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), v)), F.array().cast("array<struct<path:string,node:variant>>"))
+    at = F.array(_node(F.lit("$"), doc))
     for kind, what in parse_path(path):
-        if kind == "field":
-            at = F.transform(at, lambda x, w=what: node(F.concat(x["path"], F.lit(f".{w}")), F.try_variant_get(x["node"], f"$.{w}", "variant")))
-        elif kind == "index":
-            at = F.filter(F.flatten(F.transform(at, spread)), lambda x, w=what: F.endswith(x["path"], F.lit(f"[{w}]")))
-        else:
-            at = F.flatten(F.transform(at, spread))
-            if kind == "filter":
-                at = F.filter(at, lambda x, w=what: compare_json(F.try_variant_get(x["node"], f"$.{w.path}", "variant"), w))
-        at = F.filter(at, lambda x: x["node"].isNotNull())
+        at = F.filter(_take(at, kind, what), lambda x: x["node"].isNotNull())
     return F.filter(at, lambda x: ~F.is_variant_null(x["node"]))
 
 
@@ -129,25 +144,27 @@ def regex_nodes(doc: Column, path: str, pattern: str) -> Column:
     return F.filter(json_matches(doc, path), lambda x: compare_json(x["node"], Compare("", "=~", pattern)))
 
 
-def _by_path(a: Column, keep) -> Column:
-    return F.filter(a, keep)
+def _has_path(nodes: Column, path: Column) -> Column:
+    return F.exists(nodes, lambda y: y["path"] == path)
+
+
+def _shared(a: Column, b: Column, wanted: bool) -> Column:
+    return F.filter(a, lambda x: _has_path(b, x["path"]) == F.lit(wanted))
 
 
 def select_all(*parts: Column) -> Column:
     """Nodes, as the first part has them, whose paths all parts select; none without parts."""
-    if not parts:
-        return F.array().cast("array<struct<path:string,node:variant>>")
-    out = parts[0]
+    out = parts[0] if parts else F.array().cast(_NONE)
     for p in parts[1:]:
-        out = F.filter(out, lambda x, p=p: F.exists(p, lambda y: y["path"] == x["path"]))
+        out = _shared(out, p, True)
     return out
 
 
 def select_any(*parts: Column) -> Column:
     """Nodes of all parts, each path once, the first part's node winning."""
-    out = parts[0]
+    out = parts[0] if parts else F.array().cast(_NONE)
     for p in parts[1:]:
-        out = F.concat(out, F.filter(p, lambda x, o=out: ~F.exists(o, lambda y: y["path"] == x["path"])))
+        out = F.concat(out, _shared(p, out, False))
     return out
 
 
