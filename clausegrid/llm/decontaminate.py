@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, utf8
 
-#: Words of the benchmark in one broadcast block; about 60 bytes each in a worker.
-BLOCK_WORDS = 1 << 20
+#: Words of the benchmark in one broadcast block; about 300 bytes each in a worker.
+BLOCK_WORDS = 1 << 18
 #: Words of documents in one suffix array.
 SHARD_WORDS = 1 << 20
 
@@ -54,7 +54,7 @@ def make_block(items: list[tuple[str, list[bytes]]], window: int) -> dict:
     rows: dict[tuple[int, ...], set[str]] = {}
     prefix = min([window, 3, *(len(w) for _, w in items)])
     heads = set()
-    suffixes = []
+    texts = []
     for name, own in items:
         ids = [number.setdefault(w, len(number) + 1) for w in own]
         m = min(window, len(ids))
@@ -62,10 +62,10 @@ def make_block(items: list[tuple[str, list[bytes]]], window: int) -> dict:
             rows.setdefault(tuple(ids[k:k + m]), set()).add(name)
         for k in range(len(ids) - prefix + 1):
             heads.add(tuple(ids[k:k + prefix]))
-            suffixes.append(np.array(ids[k:], dtype=np.int32))
+        texts.append(np.array(ids, dtype=np.int32))
     keys = list(rows)
     return {"words": dict(number), "keys": keys, "items": [sorted(rows[k]) for k in keys], "prefix": prefix,
-            "heads": _heads(np.array(sorted(heads), dtype=np.int64).reshape(len(heads), prefix)), "suffixes": suffixes, "window": window}
+            "heads": _heads(np.array(sorted(heads), dtype=np.int64).reshape(len(heads), prefix)), "texts": texts, "window": window}
 
 
 def _heads(cols: np.ndarray) -> np.ndarray:
@@ -134,9 +134,10 @@ def longest_matches(ids: np.ndarray, places: np.ndarray, first: np.ndarray, bloc
     The best neighbour of a sought suffix is next to its place in the suffix order, as far as the order goes
     (``window`` words); all that tie there are stepped on word by word.
     """
-    best, where = np.zeros(len(block["suffixes"]), dtype=np.int64), np.full(len(block["suffixes"]), -1, dtype=np.int64)
+    sought = [text[k:] for text in block["texts"] for k in range(len(text) - block["prefix"] + 1)]  # views
+    best, where = np.zeros(len(sought), dtype=np.int64), np.full(len(sought), -1, dtype=np.int64)
     depth = block["window"]
-    for s, own in enumerate(block["suffixes"]):
+    for s, own in enumerate(sought):
         for m in range(min(depth, len(own)), block["prefix"] - 1, -1):
             probe = np.zeros((1, depth), dtype=">u4")
             probe[0, :m] = own[:m]
@@ -189,6 +190,7 @@ def search_shard(texts: list[list[bytes]], blocks, longest: bool = False):
 def broadcast_benchmark(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> list:
     """The benchmark's items in broadcast blocks. A null or word-less text has no window; a null item_id is ''."""
     spark = benchmark.sparkSession
+    block_words = max(block_words, 2 * window)
     out, held, size = [], [], 0
 
     def close():
@@ -214,7 +216,7 @@ def _loaded(blocks):
     for b in blocks:
         yield b.value
         if len(blocks) > 1:  # one block in memory at a time
-            b.unpersist_value() if hasattr(b, "unpersist_value") else b.__dict__.pop("_value", None)
+            b.__dict__.pop("_value", None)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -65,7 +65,7 @@ def draw_counts(rng: np.random.Generator, room: np.ndarray, sample: int) -> np.n
     for j, good in enumerate(map(int, room)):
         rest -= good
         if good and sample:
-            take = good if not rest else (
+            take = sample if not rest else (
                 int(rng.hypergeometric(good, rest, sample)) if good + rest < _NUMPY_LIMIT else _draw_large(rng, good, rest, sample))
             out[j], sample = take, sample - take
     return out
