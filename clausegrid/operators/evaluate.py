@@ -46,6 +46,9 @@ class Rule:
     mode: str | None = None
     required_facts: tuple[str, ...] = ()
     required_any: tuple[str, ...] = ()
+    schema: dict = field(default_factory=dict)
+    examples: dict | None = None
+    anchors: tuple[dict, ...] = ()
 
     @staticmethod
     def from_json(r: dict) -> "Rule":
@@ -54,7 +57,7 @@ class Rule:
             r["id"], r.get("lambda", "true"), r.get("predicate") or "true", r.get("version", "1.0.0"), r.get("naturalLanguage", ""), r.get("selector"), r.get("severity", "Violation"),
             r.get("applicability", "Mandatory"), float(r.get("gateThreshold") or 0), r.get("remediation"), r.get("anchor"), r.get("evidenceQuote", ""), span.get("documentId", ""),
             int(span.get("charStart") or 0), int(span.get("charLength") or 0), dict(r.get("metadata") or {}), tuple(r.get("appliesToDocKinds") or ()), r.get("evaluationMode"),
-            tuple(r.get("requiredFacts") or ()), tuple(r.get("requiredFactsAny") or ()))
+            tuple(r.get("requiredFacts") or ()), tuple(r.get("requiredFactsAny") or ()), dict(r.get("appliesToSchema") or {}), r.get("examples"), tuple(r.get("semanticAnchors") or ()))
 
 
 @dataclass(frozen=True)
@@ -169,9 +172,9 @@ def render(template: str | None, rule: Rule, env: ex.Env | None) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
-def clause_span(rule: Rule, env: ex.Env) -> tuple[Column, Column]:
-    """(start, length) in the section's text of what the verdict points at: the rule's anchor pattern, else the first of
-    its literals that stands in the text, widened to whole lines; nulls if nothing is found. Offsets are code points."""
+def hit_span(rule: Rule, env: ex.Env) -> tuple[Column, Column]:
+    """(start, length) in the section's text, as code points, of what a verdict points at: the rule's anchor pattern, else
+    the first of its literals that stands in the text, whatever the case; nulls without one."""
     text = env.member(("input1", "text"))
     try:
         words = ex.literals(ex.parse(rule.lambda_))
@@ -184,13 +187,20 @@ def clause_span(rule: Rule, env: ex.Env) -> tuple[Column, Column]:
         at, size = F.when(here > 0, here - 1).otherwise(at), F.when(here > 0, len(w)).otherwise(size)
     if rule.anchor:
         pat = f"(?is){rule.anchor}"
-        here = F.regexp_instr(text, F.lit(pat))
-        at, size = F.when(here > 0, here - 1).otherwise(at), F.when(here > 0, F.char_length(F.regexp_extract(text, pat, 0))).otherwise(size)
-    head = F.substring(text, F.lit(1), at)
-    begin = F.char_length(head) - F.char_length(F.substring_index(head, "\n", -1))
-    rest = F.substring(text, at + size + 1, F.char_length(text))
-    stop = at + size + F.char_length(F.substring_index(rest, "\n", 1))
-    return begin, stop - begin
+        long = F.char_length(F.regexp_extract(text, pat, 0))
+        at, size = F.when(long > 0, F.regexp_instr(text, F.lit(pat)) - 1).otherwise(at), F.when(long > 0, long).otherwise(size)
+    return at, size
+
+
+def clause_of(text: Column, at: Column, size: Column) -> Column:
+    """struct<start, length> of the lines that a hit touches; without a hit, of all from the first that is not empty to
+    the last; null for an empty text."""
+    n = F.char_length(text)
+    lead = n - F.char_length(F.ltrim(text, F.lit("\n")))
+    whole = F.char_length(F.trim(text, F.lit("\n")))
+    begin = at - F.char_length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1))
+    stop = at + size + F.char_length(F.substring_index(F.substring(text, at + size + 1, n), "\n", 1))
+    return F.when(whole > 0, F.struct(F.coalesce(begin, lead).alias("start"), F.coalesce(stop - begin, whole).alias("length")))
 
 
 def applies_to_kind(rule: Rule, rules: RuleSet, kind: Column | None) -> Column:
@@ -254,7 +264,7 @@ def _state(rule: Rule, rules: RuleSet, env: ex.Env, o: Options, sections: DataFr
 
 
 def verdict_id(rule: Rule, rules: RuleSet, document: Column, start: Column, length: Column, outcome: Column, clause: tuple[Column, Column] | None = None) -> Column:
-    pred = hashing.compose("predicate", rule.id, rule.version, rule.predicate)
+    pred = hashing.content_hash(F.lit(rule.predicate))
     base = [F.lit("verdict"), F.lit(rule.id), F.lit(rule.version), F.lit(rules.id), F.lit(rules.version), pred, document, start, length, outcome]
     joined = [x for c in base for x in (F.coalesce(c.cast("string"), F.lit("")), F.lit(hashing.UNIT))]
     if clause is not None:
@@ -296,16 +306,22 @@ def _evaluate(sections: DataFrame, part: list[Rule], rules: RuleSet, env: ex.Env
     states = {f"__s{k}": F.struct(*(c.alias(n) for n, c in zip(("outcome", "error"), _state(r, rules, env, o, sections)))) for k, r in enumerate(part)}
     seen = F.col("section_id").isNotNull()
     stated = sections.withColumns({n: F.when(seen, c) for n, c in states.items()})
+    # a column a step: what several columns use is computed once
+    shown = stated.withColumns({f"__h{k}": F.struct(*(c.alias(n) for n, c in zip(("at", "size"), hit_span(r, env)))) for k, r in enumerate(part)})
+    shown = shown.withColumns({f"__c{k}": clause_of(F.col("text"), F.col(f"__h{k}.at"), F.col(f"__h{k}.size")) for k in range(len(part))})
     made = []
+    spanned = "span_start" in sections.columns  # of the section's heading, where there is one
+    own_start, own_length = (F.col("span_start"), F.col("span_length")) if spanned else (F.col("char_start"), F.char_length("text"))
     for k, r in enumerate(part):
         outcome, error = F.col(f"__s{k}.outcome"), F.col(f"__s{k}.error")
-        begin, size = clause_span(r, env)
-        start, length = F.col("char_start"), F.char_length("text")
+        start, length = F.coalesce(F.col("char_start") + F.col(f"__h{k}.at"), own_start), F.coalesce(F.col(f"__h{k}.size"), own_length)
+        clause, span = F.col("char_start") + F.col(f"__c{k}.start"), F.col(f"__c{k}.length")
         made.append(_struct(
             rule_id=F.lit(r.id), section_id=F.col("section_id"), ord=F.col("ord"), outcome=outcome, error=error, remediation=F.when(outcome == "Fail", render(r.remediation, r, env)),
-            start=start, length=length, clause_start=start + begin, clause_length=size,
-            verdict_id=verdict_id(r, rules, F.col("doc_id"), start, length, outcome, (start + begin, size))))
-    here = stated.select("doc_id", F.inline(F.filter(F.array(*made), lambda v: v["outcome"].isNotNull() & (v["outcome"] != "floor"))))
+            start=start, length=length, clause_start=clause, clause_length=span,
+            verdict_id=verdict_id(r, rules, F.col("doc_id"), start, length, outcome, (clause, span))))
+    spoken = [F.when(F.col(f"__s{k}.outcome") != "floor", m) for k, m in enumerate(made)]  # null, and not computed, where a rule says nothing
+    here = shown.select("doc_id", F.inline(F.array_compact(F.array(*spoken))))
     # what no section answered: counts per rule and document, one row of counters a document
     counters = [F.count_if(F.col(f"__s{k}.outcome") == "floor").alias(f"f{k}") for k in range(len(part))]
     counters += [F.count_if(F.col(f"__s{k}.outcome").isNotNull() & (F.col(f"__s{k}.outcome") != "floor")).alias(f"n{k}") for k in range(len(part))]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterable
 
@@ -23,18 +24,51 @@ def address(*parts: str) -> str:
     return PREFIX + hashlib.sha256("".join(p + UNIT for p in parts).encode()).hexdigest()
 
 
+def rule_fingerprint(r: Rule) -> str:
+    """Address of what a rule decides by; optional parts count only where they are set."""
+    parts = [r.id, r.version, r.predicate, r.lambda_, r.remediation or "", r.anchor or "", json.dumps(r.schema, separators=(",", ":")), r.severity, r.applicability]
+    listed = lambda xs: UNIT.join(sorted(x.strip() for x in xs if x.strip()))
+    if r.gate_threshold > 0:
+        parts.append(f"gate:{r.gate_threshold!r}".removesuffix(".0"))
+    if r.examples is not None:
+        parts += ["examples.positive:" + UNIT.join(r.examples.get("positive", ())), "examples.negative:" + UNIT.join(r.examples.get("negative", ()))]
+    if r.kinds:
+        parts.append("appliesToDocKinds:" + listed(r.kinds))
+    for a in sorted(r.anchors, key=lambda a: a["name"]):
+        grams = ",".join(str(n) for n in sorted(a["ngram"])) if a.get("ngram") else "1-2"
+        parts.append(f"anchor:{a['name']}|{a['anchorText']}|{a.get('threshold', 0.78)!r}|{grams}")
+    if r.mode:
+        parts.append("evaluationMode:" + r.mode)
+    if r.required_facts:
+        parts.append("requiredFacts:" + listed(r.required_facts))
+    if r.required_any:
+        parts.append("requiredFactsAny:" + listed(r.required_any))
+    return address(*parts)
+
+
+def ruleset_fingerprint(s: RuleSet) -> str:
+    parts = [s.id, s.version, s.domain, *(rule_fingerprint(r) for r in sorted(s.rules, key=lambda r: r.id))]
+    if s.kinds:
+        parts.append("appliesToDocKinds:" + UNIT.join(sorted(k.strip() for k in s.kinds if k.strip())))
+    parts += [f"phrasebook:{b}={UNIT.join(sorted(ps))}" for b, ps in sorted(s.phrasebooks.items())]
+    if s.embedder:
+        parts.append("embedderId:" + s.embedder)
+    return address(*parts)
+
+
 def rule_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
     """The rule set as a table, with a content address for each rule."""
-    rows = [(rules.id, rules.version, r.id, r.version, r.natural_language, r.predicate, r.lambda_, r.severity, r.applicability, float(r.gate_threshold), r.remediation or "",
-             address(r.id, r.version, r.natural_language, r.predicate, r.lambda_, r.severity, r.applicability, repr(float(r.gate_threshold)), r.remediation or "")) for r in rules.rules]
-    return spark.createDataFrame(rows, "ruleset_id string, ruleset_version string, rule_id string, version string, natural_language string, predicate string, lambda string, severity string, "
+    rows = [(rules.id, rules.version, rules.domain, r.id, r.version, r.natural_language, r.predicate, r.lambda_, r.severity, r.applicability, float(r.gate_threshold), r.remediation or "", rule_fingerprint(r)) for r in rules.rules]
+    return spark.createDataFrame(rows, "ruleset_id string, ruleset_version string, domain string, rule_id string, version string, natural_language string, predicate string, lambda string, severity string, "
                                        "applicability string, gate_threshold double, remediation string, fingerprint string")
 
 
 def ruleset_fingerprints(rules: DataFrame) -> DataFrame:
     """Address of each rule set from its rules' addresses in rule order."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("rule_id", "fingerprint"))), lambda r: r["fingerprint"])
-    return rules.groupBy("ruleset_id", "ruleset_version").agg(compose_list(ordered).alias("fingerprint"), F.count("*").alias("n_rules"))
+    head = F.array("ruleset_id", "ruleset_version", "domain")
+    return rules.groupBy("ruleset_id", "ruleset_version", "domain").agg(ordered.alias("parts"), F.count("*").alias("n_rules")).select(
+        "ruleset_id", "ruleset_version", compose_list(F.concat(head, F.col("parts"))).alias("fingerprint"), "n_rules")
 
 
 def apply_overlay(rules: DataFrame, disabled: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,7 +79,7 @@ def apply_overlay(rules: DataFrame, disabled: DataFrame) -> tuple[DataFrame, Dat
     return active, audit
 
 
-_COMPARED = ("version", "natural_language", "predicate", "lambda", "severity", "applicability", "gate_threshold", "remediation")
+_COMPARED = ("version", "predicate", "lambda", "severity", "applicability", "gate_threshold", "remediation")
 
 
 def diff(old: DataFrame, new: DataFrame, fields: Iterable[str] = _COMPARED) -> DataFrame:

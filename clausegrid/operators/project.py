@@ -42,20 +42,22 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def group_by_heading(blocks: DataFrame) -> DataFrame:
-    """Blocks (doc_id, block_ord, kind, text, char_start[, heading_path]) to sections: a heading begins one, and blocks
+    """Blocks (doc_id, block_ord, kind, text, char_start[, char_length, heading_path]) to sections: a heading begins one, and blocks
     before the first heading are one without heading. A document's blocks meet in one window, so they stay in order."""
     order = Window.partitionBy("doc_id").orderBy("block_ord")
     is_heading = F.col("kind") == "heading"
     path = F.col("heading_path") if "heading_path" in blocks.columns else F.lit(None).cast("string")
+    size = F.col("char_length") if "char_length" in blocks.columns else F.char_length("text")
     grouped = blocks.withColumn("grp", F.sum(is_heading.cast("int")).over(order)).withColumn("path", path)
     body = F.sort_array(F.collect_list(F.when(~is_heading, F.struct("block_ord", "text"))))
     out = grouped.groupBy("doc_id", "grp").agg(
         F.max(F.when(is_heading, F.col("text"))).alias("heading"), F.max(F.when(is_heading, F.col("path"))).alias("heading_path"),
         F.array_join(F.transform(body, lambda b: b["text"]), "\n").alias("text"),
-        F.coalesce(F.min_by(F.when(~is_heading, F.col("char_start")), F.when(~is_heading, F.col("block_ord"))), F.min("char_start")).alias("char_start"), F.min("block_ord").alias("first"))
+        F.coalesce(F.min_by(F.when(~is_heading, F.col("char_start")), F.when(~is_heading, F.col("block_ord"))), F.min("char_start")).alias("char_start"),
+        F.min_by("char_start", "block_ord").alias("span_start"), F.min_by(size, "block_ord").alias("span_length"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("grp")) - 1
     return out.withColumn("ord", place).select(
-        "doc_id", "ord", section_id(F.col("ord")).alias("section_id"), F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("heading_path", F.lit("/")).alias("heading_path"), "text", "char_start")
+        "doc_id", "ord", section_id(F.col("ord")).alias("section_id"), F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("heading_path", F.lit("/")).alias("heading_path"), "text", "char_start", "span_start", "span_length")
 
 
 def _any(text: Column, words) -> Column:

@@ -17,9 +17,9 @@ def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.evaluate(demo.sections(spark, sf), demo.RULES)
 
 
-@query(f"{demo.VERDICTS} SELECT doc_id, rule_id, section_id, outcome, error, remediation, start, length FROM v")
+@query(f"{demo.VERDICTS} SELECT doc_id, rule_id, section_id, outcome, error, remediation FROM v")
 def q_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdicts(spark, sf).select("doc_id", "rule_id", "section_id", "outcome", "error", "remediation", F.col("start").cast("bigint").alias("start"), F.col("length").cast("bigint").alias("length"))
+    return _verdicts(spark, sf).select("doc_id", "rule_id", "section_id", "outcome", "error", "remediation")
 
 
 @query(f"{demo.VERDICTS}, r AS (SELECT doc_id, count(*) AS total, {demo.COUNTS} FROM v GROUP BY doc_id) SELECT *, {demo.SCORE} AS score, skipped = total AS wrong_profile FROM r")
@@ -35,16 +35,17 @@ def q_rule_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{demo.VERDICTS}, x AS (SELECT v.*, predicate, src FROM v JOIN rules USING (rule_id))
-SELECT doc_id, rule_id, 'lr1:' || sha256(array_to_string(['verdict', rule_id, '1.0.0', 'rs_demo', '1.0.0', 'lr1:' || sha256(array_to_string(['predicate', rule_id, '1.0.0', predicate, ''], chr(31))), src, CAST(start AS VARCHAR), CAST(length AS VARCHAR), outcome, ''], chr(31))) AS verdict_id
+SELECT doc_id, rule_id, 'lr1:' || sha256(array_to_string(['verdict', rule_id, '1.0.0', 'rs_demo', '1.0.0', 'lr1:' || sha256(predicate), src, CAST(start AS VARCHAR), CAST(length AS VARCHAR), outcome, ''], chr(31))) AS verdict_id
 FROM x WHERE section_id IS NULL""")
 def q_verdict_id(spark: SparkSession, sf: str) -> DataFrame:
     return _verdicts(spark, sf).where("section_id is null").select("doc_id", "rule_id", "verdict_id")
 
 
 @query(f"""{demo.VERDICTS}, t AS (SELECT h.*, instr(lower(text), 'gst') AS p FROM here h WHERE rule_id = 'D-TAX-001')
-SELECT doc_id, section_id, CASE WHEN p > 0 THEN char_start END AS clause_start, CASE WHEN p > 0 THEN length(text) END AS clause_length FROM t""")
+SELECT doc_id, section_id, CASE WHEN p > 0 THEN char_start + p - 1 ELSE char_start END AS start, CASE WHEN p > 0 THEN 3 ELSE length(text) END AS length, char_start AS clause_start, length(text) AS clause_length FROM t""")
 def q_clause_span(spark: SparkSession, sf: str) -> DataFrame:
-    return _verdicts(spark, sf).where("rule_id = 'D-TAX-001' and section_id is not null").select("doc_id", "section_id", F.col("clause_start").cast("bigint").alias("clause_start"), F.col("clause_length").cast("bigint").alias("clause_length"))
+    v = _verdicts(spark, sf).where("rule_id = 'D-TAX-001' and section_id is not null")
+    return v.select("doc_id", "section_id", *(F.col(c).cast("bigint").alias(c) for c in ("start", "length", "clause_start", "clause_length")))
 
 
 _KINDED = RuleSet("rs_kind", "1", (replace(demo.RULES.rules[3], kinds=("FR", "de")), replace(demo.RULES.rules[0], id="D-ALL-001", kinds=())), domain="demo")
@@ -158,7 +159,7 @@ def _changed() -> RuleSet:
     return replace(demo.RULES, version="1.1.0", rules=(replace(r[0], lambda_="true", severity="Warning"), r[1], replace(r[2], id="D-SUP-003"), r[3], replace(r[4], natural_language="Other words.")))
 
 
-@query("""SELECT * FROM (VALUES ('D-SEC-001', 'changed', 'lambda,severity'), ('D-SUP-001', 'unchanged', ''), ('D-SUP-002', 'removed', ''), ('D-SUP-003', 'added', ''), ('D-TAX-001', 'unchanged', ''), ('D-TAX-002', 'changed', 'natural_language')) t(rule_id, change, fields)""")
+@query("""SELECT * FROM (VALUES ('D-SEC-001', 'changed', 'lambda,severity'), ('D-SUP-001', 'unchanged', ''), ('D-SUP-002', 'removed', ''), ('D-SUP-003', 'added', ''), ('D-TAX-001', 'unchanged', ''), ('D-TAX-002', 'unchanged', '')) t(rule_id, change, fields)""")
 def q_ruleset_diff(spark: SparkSession, sf: str) -> DataFrame:
     return governance.diff(governance.rule_rows(spark, demo.RULES), governance.rule_rows(spark, _changed()))
 
