@@ -2,7 +2,7 @@
 
 P(word | before) = P(class | before) * P(word | class, before). Both factors are softmaxes
 over sums of weight rows chosen by hashed features of the words before: the previous word,
-the two before as an n-gram, and skips of one and two words. The most frequent words have
+the two before as an n-gram, and a skip to the second word before. The most frequent words have
 weights of their own (CLASSES classes of SLOTS words); all other words fall into classes
 by their endings and share their class's mass by their smoothed counts, so that the model
 gives every word, seen or not, a probability.
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, id_mod, utf8
 
-CLASSES, SLOTS, ENDINGS = 32, 32, 16
+CLASSES, SLOTS, ENDINGS = 20, 40, 12
 ALL = CLASSES + ENDINGS
 #: Most words that are sent to every worker with their counts.
 HEAD = 1 << 17
@@ -40,7 +40,7 @@ SMOOTH = 0.1
 HELD_WORDS = 300_000
 
 #: Hashed rows of each feature in the class table and in the word table; row 0 (and one row a class) is the bias.
-_CLASS_ROWS = (1 << 14, 1 << 14, 1 << 13, 1 << 13)
+_CLASS_ROWS = (1 << 14, 1 << 14, 1 << 13)  # all tables stay below 2^16 rows: rows are sorted as 16-bit numbers
 _WORD_ROWS = (1 << 14, 1 << 13)
 _C_AT = np.cumsum((1, *_CLASS_ROWS))
 _W_AT = np.cumsum((CLASSES, *_WORD_ROWS))
@@ -112,17 +112,17 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The words one, two and three before each token; 0 before a text's first. first: texts' starts."""
+    """The words one and two before each token; 0 before a text's first. first: texts' starts."""
     begin = np.zeros(len(ids), dtype=np.int64)
     begin[first] = first
     begin = np.maximum.accumulate(begin)
     at = np.arange(len(ids))
-    return [np.where(at - k >= begin, ids[np.maximum(at - k, 0)].astype(np.int64) + 1, 0) for k in (1, 2, 3)]
+    return [np.where(at - k >= begin, ids[np.maximum(at - k, 0)].astype(np.int64) + 1, 0) for k in (1, 2)]
 
 
 def class_rows(before: list[np.ndarray]) -> list[np.ndarray]:
-    one, two, three = before
-    keys = (_mix(one, 1), _mix(one * (1 << 20) + two, 2), _mix(two, 3), _mix(three, 4))
+    one, two = before
+    keys = (_mix(one, 1), _mix(one * (1 << 20) + two, 2), _mix(two, 3))
     return [(k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, _CLASS_ROWS, _C_AT)]
 
 
@@ -146,7 +146,7 @@ def _sum_rows(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 def _climb(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], grad: np.ndarray) -> None:
     """Moves each row along its mean gradient, less for rows met seldom."""
     for r in rows:
-        order = np.argsort(r, kind="stable")
+        order = np.argsort(r.astype(np.uint16), kind="stable")
         s = r[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         n = np.diff(np.r_[first, len(s)]).astype(np.float32)
@@ -157,9 +157,13 @@ def _climb(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], grad: np
 def batches_of(texts: list[bytes], index: _Index):
     """(ids of the tokens of many texts, where each text starts), and the words themselves by text."""
     own = [t.lower().split() for t in texts]
-    flat = np.fromiter((k for w in own for k in (*map(index.__getitem__, w), index[END])), dtype=np.int32)
+    get, end = index.__getitem__, index[END]
+    flat: list[int] = []
+    for w in own:
+        flat.extend(map(get, w))
+        flat.append(end)
     size = np.array([len(w) + 1 for w in own], dtype=np.int64)
-    return flat, np.cumsum(size) - size, own
+    return np.array(flat, dtype=np.int32), np.cumsum(size) - size, own
 
 
 def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray) -> None:
@@ -248,14 +252,15 @@ def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
     weights = voc.weights()
     tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
 
-    def add(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        moved = sum(np.frombuffer(x, dtype=np.float32) for x in pdf.moved)
-        seen = sum(np.frombuffer(x, dtype=np.float32) for x in pdf.seen)
-        return moved, seen
+    parts = -(-tasks // 64)  # with many tasks a block is merged in two steps
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        moved, seen = add(pdf)
-        return pd.DataFrame({"side": [key[0]], "block": [key[1]], "part": [0], "moved": [moved.tobytes()], "seen": [seen.tobytes()]})
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Mean of the moves, weighted by how many words each task saw of a row."""
+        seen = [np.frombuffer(x, dtype=np.float32) for x in pdf.seen]
+        total = np.sum(seen, axis=0)
+        moved = sum(np.frombuffer(x, dtype=np.float16).astype(np.float32).reshape(len(n), -1) * n[:, None] for x, n in zip(pdf.moved, seen))
+        mean = (moved / np.maximum(total, 1)[:, None]).astype(np.float16)
+        return pd.DataFrame({"side": [key[0]], "block": [key[1]], "part": [0], "moved": [mean.tobytes()], "seen": [total.tobytes()]})
 
     form = "side int, block int, part int, moved binary, seen binary"
     for k in range(ROUNDS):
@@ -271,19 +276,20 @@ def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
                 ids, first, _ = batches_of(utf8(b.column("text")), index)
                 train_on(own, seen, voc, ids, first)
             for side, (w, was, n) in enumerate(zip(own, begun, seen)):
-                moved = (w - was) * n[:, None]
+                moved = (w - was).astype(np.float16)
                 for at in range(0, len(w), _BLOCK):
                     if n[at:at + _BLOCK].any():
-                        yield pa.RecordBatch.from_pylist([{"side": side, "block": at // _BLOCK, "part": TaskContext.get().partitionId() % 32, "moved": moved[at:at + _BLOCK].tobytes(), "seen": n[at:at + _BLOCK].tobytes()}],
+                        yield pa.RecordBatch.from_pylist([{"side": side, "block": at // _BLOCK, "part": TaskContext.get().partitionId() % parts, "moved": moved[at:at + _BLOCK].tobytes(), "seen": n[at:at + _BLOCK].tobytes()}],
                                                          schema=pa.schema([("side", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("moved", pa.binary()), ("seen", pa.binary())]))
 
         turn = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(tasks)
-        once = turn.mapInArrow(run, form).groupBy("side", "block", "part").applyInPandas(merge, form)
-        for r in once.groupBy("side", "block").applyInPandas(merge, form).collect():  # one weight table
-            n = np.frombuffer(r["seen"], dtype=np.float32)
-            moved = np.frombuffer(r["moved"], dtype=np.float32).reshape(len(n), -1)
-            at = r["block"] * _BLOCK
-            weights[r["side"]][at:at + len(n)] += moved / np.maximum(n, 1)[:, None]
+        moves = turn.mapInArrow(run, form)
+        if parts > 1:
+            moves = moves.groupBy("side", "block", "part").applyInPandas(merge, form)
+        for r in moves.groupBy("side", "block").applyInPandas(merge, form).collect():  # one weight table
+            moved = np.frombuffer(r["moved"], dtype=np.float16).astype(np.float32)
+            own = weights[r["side"]][r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK]
+            own += moved.reshape(own.shape)
         held.unpersist()
     return weights
 
