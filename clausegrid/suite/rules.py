@@ -58,7 +58,7 @@ def q_dockind_gate(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.evaluate(s, _KINDED, Options(kind_col="lang")).where("outcome = 'Skipped'").select("doc_id", "rule_id", "outcome", "error")
 
 
-@query("SELECT doc_id, CAST(2 AS BIGINT) AS total, CAST(2 AS BIGINT) AS skipped, 1.0 AS score, TRUE AS wrong_profile FROM documents WHERE lang = 'es'")
+@query("SELECT doc_id, CAST(2 AS BIGINT) AS total, CAST(2 AS BIGINT) AS skipped, CAST(1 AS DOUBLE) AS score, TRUE AS wrong_profile FROM documents WHERE lang = 'es'")
 def q_wrong_profile(spark: SparkSession, sf: str) -> DataFrame:
     rules = replace(_KINDED, kinds=("fr",))
     s = demo.sections(spark, sf).join(table(spark, sf, "documents").where("lang = 'es'").select("doc_id", "lang"), "doc_id")
