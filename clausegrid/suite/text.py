@@ -71,38 +71,39 @@ def q_paragraph_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.transform("p", lambda x: x["char_start"].cast("string")), ",").alias("starts"), F.size("p").cast("bigint").alias("n"))
 
 
-# ---- features, on clauses built from order lines so that the SQL can compute what is stated ----
+# ---- features, on clauses built from parts so that the SQL can compute what is stated ----
 
 
 def _clauses(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "lineitem")
-    days, pct = F.col("l_quantity").cast("int"), F.round(F.col("l_tax") * 100).cast("int")
+    t = table(spark, sf, "part")
+    days, pct, months = F.col("p_size"), F.col("p_size") % 20, F.col("p_partkey") % 12 + 1
     text = F.concat(
-        F.lit("The buyer shall pay each invoice within "), days.cast("string"), F.lit(" days.\nLate fees are "), pct.cast("string"), F.lit("% per annum; a notice runs "), F.col("l_linenumber").cast("string"),
-        F.lit(" months.\nThe cyber cover is $"), F.format_number("l_extendedprice", 0), F.lit(", the general liability cover $"), (days + 1).cast("string"), F.lit(" million, for two years."))
-    return t.select("l_orderkey", "l_linenumber", text.alias("text"), days.alias("days"))
+        F.lit("The buyer shall pay each invoice within "), days.cast("string"), F.lit(" days.\nLate fees are "), pct.cast("string"), F.lit("% per annum; a notice runs "), months.cast("string"),
+        F.lit(" months.\nThe cyber cover is $"), F.format_number("p_retailprice", 0), F.lit(", the general liability cover $"), (days + 1).cast("string"), F.lit(" million, for two years."))
+    return t.select("p_partkey", text.alias("text"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS VARCHAR).replace('.0', '') AS day_counts, CAST(trunc(l_quantity) AS BIGINT) AS day_count_max, CAST(trunc(l_quantity) AS BIGINT) AS day_count_for_payment,
-  CAST(0 AS BIGINT) AS day_count_for_notice, CAST(l_linenumber AS BIGINT) AS month_count_min, CAST(2 AS BIGINT) AS year_count_max FROM lineitem""".replace("CAST(trunc(l_quantity) AS VARCHAR).replace('.0', '')", "CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR)"))
-def q_features_days(spark: SparkSession, sf: str) -> DataFrame:
+def _features(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     f = textfeatures.text_features(F.col("text"))
-    names = ("day_count_max", "day_count_for_payment", "day_count_for_notice", "month_count_min", "year_count_max")
-    return _clauses(spark, sf).select("l_orderkey", "l_linenumber", F.array_join(F.transform(f["day_counts"], lambda v: v.cast("string")), ",").alias("day_counts"), *(f[n].alias(n) for n in names))
+    return _clauses(spark, sf).select("p_partkey", *(f[n].alias(n) for n in names))
+
+
+@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) AS day_counts, CAST(p_size AS BIGINT) AS day_count_max, CAST(p_size AS BIGINT) AS day_count_for_payment, CAST(0 AS BIGINT) AS day_count_for_notice,
+  CAST(p_partkey % 12 + 1 AS BIGINT) AS month_count_min, CAST(2 AS BIGINT) AS year_count_max FROM part""")
+def q_features_days(spark: SparkSession, sf: str) -> DataFrame:
+    out = _features(spark, sf, "day_counts", "day_count_max", "day_count_for_payment", "day_count_for_notice", "month_count_min", "year_count_max")
+    return out.withColumn("day_counts", F.array_join(F.transform("day_counts", lambda v: v.cast("string")), ","))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(round(l_tax * 100) AS DOUBLE) AS percent_max, round_even(CAST(round(l_tax * 100) AS DOUBLE) / 12.0, 4) AS percent_max_per_month FROM lineitem""")
+@query("SELECT p_partkey, CAST(p_size % 20 AS DOUBLE) AS percent_max, round_even(CAST(p_size % 20 AS DOUBLE) / 12.0, 4) AS percent_max_per_month FROM part")
 def q_features_percent(spark: SparkSession, sf: str) -> DataFrame:
-    f = textfeatures.text_features(F.col("text"))
-    return _clauses(spark, sf).select("l_orderkey", "l_linenumber", f["percent_max"].alias("percent_max"), f["percent_max_per_month"].alias("percent_max_per_month"))
+    return _features(spark, sf, "percent_max", "percent_max_per_month")
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice, 0) AS BIGINT) AS dollar_min, CAST((trunc(l_quantity) + 1) * 1000000 AS BIGINT) AS dollar_max,
-  CAST((trunc(l_quantity) + 1) * 1000000 AS BIGINT) AS dollar_for_cyber, CAST((trunc(l_quantity) + 1) * 1000000 AS BIGINT) AS dollar_for_gcl, CAST(0 AS BIGINT) AS dollar_for_professional FROM lineitem""")
+@query("""SELECT p_partkey, CAST(round_even(p_retailprice, 0) AS BIGINT) AS dollar_min, CAST((p_size + 1) * 1000000 AS BIGINT) AS dollar_max, CAST((p_size + 1) * 1000000 AS BIGINT) AS dollar_for_cyber,
+  CAST((p_size + 1) * 1000000 AS BIGINT) AS dollar_for_gcl, CAST(0 AS BIGINT) AS dollar_for_professional FROM part""")
 def q_features_dollars(spark: SparkSession, sf: str) -> DataFrame:
-    f = textfeatures.text_features(F.col("text"))
-    names = ("dollar_min", "dollar_max", "dollar_for_cyber", "dollar_for_gcl", "dollar_for_professional")
-    return _clauses(spark, sf).select("l_orderkey", "l_linenumber", *(f[n].alias(n) for n in names))
+    return _features(spark, sf, "dollar_min", "dollar_max", "dollar_for_cyber", "dollar_for_gcl", "dollar_for_professional")
 
 
 @query(r"""SELECT doc_id, regexp_matches(text, '(?is)th.nd') AS rx, (contains(lower(text), 'nda') OR contains(lower(text), 'and the')) AS phrase,
