@@ -32,7 +32,7 @@ CLASSES, SLOTS, ENDINGS = 20, 40, 12
 ALL = CLASSES + ENDINGS
 #: Most words that are sent to every worker with their counts.
 HEAD = 1 << 17
-ROUNDS, STEP, BATCH, DAMP = 2, 0.6, 1 << 14, 6.0
+ROUNDS, STEP, BATCH, DAMP = 2, 0.6, 1 << 12, 6.0
 #: The token behind a text's last word; no word can hold white space.
 END = b"\n"
 SMOOTH = 0.1
@@ -132,8 +132,10 @@ def word_rows(before: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    """Logits are held below 60, so that their exponentials need no shift; sums are products with ones."""
+    z = np.minimum(z, np.float32(60))
+    total = np.exp(z) @ np.ones(z.shape[1], dtype=np.float32)
+    return z - np.log(np.maximum(total, np.float32(1e-37)))[:, None]
 
 
 def _sum_rows(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -175,10 +177,11 @@ def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary,
         part = slice(k, k + BATCH)
         own = [b[part] for b in before]
         rows = class_rows(own)
-        rows.append(np.zeros(len(own[0]), dtype=np.int64))
-        grad = -np.exp(_log_softmax(_sum_rows(c, rows)))
+        grad = -np.exp(_log_softmax(_sum_rows(c, rows) + c[0]))
         grad[np.arange(len(grad)), cls[part]] += 1
         _climb(c, seen[0], rows, grad)
+        c[0] += STEP * (np.ones(len(grad), dtype=np.float32) @ grad) / (len(grad) + DAMP)
+        seen[0][0] += len(grad)
         weighted = np.flatnonzero(slot[part] >= 0)
         if len(weighted):
             rows = word_rows([b[weighted] for b in own], cls[part][weighted])
