@@ -2,10 +2,12 @@
 
 P(word | before) = P(class | before) * P(word | class, before). Both factors are softmaxes
 over sums of weight rows chosen by hashed features of the words before: the previous word,
-the two before as an n-gram, and a skip to the second word before. The most frequent words have
-weights of their own (CLASSES classes of SLOTS words); all other words fall into classes
-by their endings and share their class's mass by their smoothed counts, so that the model
-gives every word, seen or not, a probability.
+the two before as an n-gram, and skips to the second and third word before. The most frequent
+words have weights of their own (a square number of them: classes of as many slots); all other
+words fall into classes by their endings and share their class's mass by their smoothed counts,
+so that the model gives every word, seen or not, a probability. Weighted words and hashed rows
+grow with the cube root of the vocabulary, which on the given documents more than holds the
+share of tokens that are weighted.
 
 Counts cover all training texts. Words of large count go to every worker, up to HEAD of
 them; what the others add is found by a join, so no table that grows with the corpus is
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, id_mod, utf8
 
-CLASSES, SLOTS, ENDINGS = 20, 40, 12
-ALL = CLASSES + ENDINGS
+#: Classes, and slots of a class, of the smallest model, which serves LEAST_WORDS distinct words; classes by endings.
+SIDE, LEAST_WORDS, ENDINGS = 32, 1 << 17, 16
 #: Most words that are sent to every worker with their counts.
 HEAD = 1 << 17
 ROUNDS, STEP, BATCH, DAMP = 2, 0.6, 1 << 12, 6.0
@@ -39,17 +41,29 @@ SMOOTH = 0.1
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 300_000
 
-#: Hashed rows of each feature in the class table and in the word table; row 0 (and one row a class) is the bias.
-_CLASS_ROWS = (1 << 14, 1 << 14, 1 << 13)  # all tables stay below 2^16 rows: rows are sorted as 16-bit numbers
+#: Hashed rows of each feature in the smallest class table and word table; row 0 (and one row a class) is the bias.
+_CLASS_ROWS = (1 << 14, 1 << 14, 1 << 13, 1 << 13)
 _WORD_ROWS = (1 << 14, 1 << 13)
-_C_AT = np.cumsum((1, *_CLASS_ROWS))
-_W_AT = np.cumsum((CLASSES, *_WORD_ROWS))
+#: Numbers that a table holds at most, so that a worker can hold its own copy.
+_NUMBERS = 1 << 25
 _BLOCK = 1024
 
 
 def ending_class(word: bytes) -> int:
-    """Class, behind the others, of a word without weights: by a hash of its last bytes."""
-    return CLASSES + zlib.crc32(word[-2:]) % ENDINGS
+    """Which of the classes behind the others a word without weights is in: by a hash of its last bytes."""
+    return zlib.crc32(word[-2:]) % ENDINGS
+
+
+def side_of(distinct: int) -> int:
+    """Classes, and slots of each, for so many distinct words: their product grows as the words' cube root."""
+    side = SIDE * (max(distinct, LEAST_WORDS) / LEAST_WORDS) ** (1 / 6)
+    return min(round(side), int(HEAD**0.5))
+
+
+def _starts(bias: int, rows: tuple[int, ...], side: int, width: int) -> np.ndarray:
+    """Where each feature's rows begin, and where the last end: as many times the smallest table's as words are weighted."""
+    times = min((side / SIDE) ** 2, _NUMBERS / width / sum(rows))
+    return np.cumsum((bias, *(int(n * times) for n in rows)))
 
 
 class _Index(dict):
@@ -58,7 +72,7 @@ class _Index(dict):
     head = 0
 
     def __missing__(self, word):
-        return self.head + ending_class(word) - CLASSES
+        return self.head + ending_class(word)
 
 
 class Vocabulary:
@@ -70,26 +84,30 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         c = np.array([counts[k] for k in order], dtype=np.float64)
         h = len(c)
+        self.classes = self.slots = side = side_of(distinct)
+        self.class_at = _starts(1, _CLASS_ROWS, side, side + ENDINGS)
+        self.word_at = _starts(side, _WORD_ROWS, side, side)
+        width = side + ENDINGS
         self.log_count = np.log10(c + SMOOTH)
         # class, slot (-1: none) of head words, then of words known by their ending only
-        own = min(h, CLASSES * SLOTS)
-        self.cls = np.array([k % CLASSES if k < own else ending_class(w) for k, w in enumerate(self.words)] + list(range(CLASSES, ALL)), dtype=np.int32)
-        self.slot = np.array([k // CLASSES if k < own else -1 for k in range(h)] + [-1] * ENDINGS, dtype=np.int32)
-        n, v = np.zeros(ALL), np.zeros(ALL)
+        own = min(h, side * side)
+        self.cls = np.array([k % side if k < own else side + ending_class(w) for k, w in enumerate(self.words)] + list(range(side, width)), dtype=np.int32)
+        self.slot = np.array([k // side if k < own else -1 for k in range(h)] + [-1] * ENDINGS, dtype=np.int32)
+        n, v = np.zeros(ENDINGS), np.zeros(ENDINGS)
         for k, (tokens, types) in mass.items():
             n[k], v[k] = tokens, types
         for k in range(own):  # words with weights leave the mass of their ending's class
             e = ending_class(self.words[k])
             n[e] -= c[k]
             v[e] -= 1
-        z = n[CLASSES:] + SMOOTH * (v[CLASSES:] + 1)
-        self.log_mass = np.r_[np.zeros(CLASSES), np.log10(z)]
-        prior = np.zeros(ALL)
+        z = n + SMOOTH * (v + 1)
+        self.log_mass = np.r_[np.zeros(side), np.log10(z)]
+        prior = np.zeros(width)
         np.add.at(prior, self.cls[:own], c[:own] + SMOOTH)
-        prior[CLASSES:] = z
+        prior[side:] = z
         with np.errstate(divide="ignore"):
             self.class_bias = np.maximum(np.log(prior / prior.sum()), -1e4).astype(np.float32)
-            word = np.zeros((CLASSES, SLOTS))
+            word = np.zeros((side, side))
             word[self.cls[:own], self.slot[:own]] = c[:own] + SMOOTH
             self.word_bias = np.maximum(np.log(word / np.maximum(word.sum(axis=1, keepdims=True), 1e-9)), -1e4).astype(np.float32)
         self.denominator = np.log10(total + SMOOTH * (distinct + 1))
@@ -101,8 +119,9 @@ class Vocabulary:
 
     def weights(self) -> list[np.ndarray]:
         """The unigram model: biases alone."""
-        c, w = np.zeros((_C_AT[-1], ALL), dtype=np.float32), np.zeros((_W_AT[-1], SLOTS), dtype=np.float32)
-        c[0], w[:CLASSES] = self.class_bias, self.word_bias
+        c = np.zeros((self.class_at[-1], self.classes + ENDINGS), dtype=np.float32)
+        w = np.zeros((self.word_at[-1], self.slots), dtype=np.float32)
+        c[0], w[:self.classes] = self.class_bias, self.word_bias
         return [c, w]
 
 
@@ -112,23 +131,23 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
 
 
 def contexts(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The words one and two before each token; 0 before a text's first. first: texts' starts."""
+    """The words one, two and three before each token; 0 before a text's first. first: texts' starts."""
     begin = np.zeros(len(ids), dtype=np.int64)
     begin[first] = first
     begin = np.maximum.accumulate(begin)
     at = np.arange(len(ids))
-    return [np.where(at - k >= begin, ids[np.maximum(at - k, 0)].astype(np.int64) + 1, 0) for k in (1, 2)]
+    return [np.where(at - k >= begin, ids[np.maximum(at - k, 0)].astype(np.int64) + 1, 0) for k in (1, 2, 3)]
 
 
-def class_rows(before: list[np.ndarray]) -> list[np.ndarray]:
-    one, two = before
-    keys = (_mix(one, 1), _mix(one * (1 << 20) + two, 2), _mix(two, 3))
-    return [(k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, _CLASS_ROWS, _C_AT)]
+def class_rows(before: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    one, two, three = before
+    keys = (_mix(one, 1), _mix(one * (1 << 20) + two, 2), _mix(two, 3), _mix(three, 4))
+    return [(k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, np.diff(at), at)]
 
 
-def word_rows(before: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
-    keys = (_mix(before[0] * 64 + cls, 5), _mix(before[1] * 64 + cls, 6))
-    return [cls.astype(np.int64), *((k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, _WORD_ROWS, _W_AT))]
+def word_rows(before: list[np.ndarray], cls: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    keys = (_mix(before[0] * 512 + cls, 5), _mix(before[1] * 512 + cls, 6))
+    return [cls.astype(np.int64), *((k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, np.diff(at), at))]
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -145,10 +164,17 @@ def _sum_rows(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _order(r: np.ndarray) -> np.ndarray:
+    """Stable order of row numbers, sorted as 16-bit numbers: numpy's radix sort."""
+    r = r - r.min()
+    low = np.argsort(r.astype(np.uint16), kind="stable")
+    return low if r.max() < 1 << 16 else low[np.argsort((r[low] >> 16).astype(np.uint16), kind="stable")]
+
+
 def _climb(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], grad: np.ndarray) -> None:
     """Moves each row along its mean gradient, less for rows met seldom."""
     for r in rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
+        order = _order(r)
         s = r[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         n = np.diff(np.r_[first, len(s)]).astype(np.float32)
@@ -176,7 +202,7 @@ def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary,
     for k in range(0, len(ids), BATCH):
         part = slice(k, k + BATCH)
         own = [b[part] for b in before]
-        rows = class_rows(own)
+        rows = class_rows(own, voc.class_at)
         grad = -np.exp(_log_softmax(_sum_rows(c, rows) + c[0]))
         grad[np.arange(len(grad)), cls[part]] += 1
         _climb(c, seen[0], rows, grad)
@@ -184,7 +210,7 @@ def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary,
         seen[0][0] += len(grad)
         weighted = np.flatnonzero(slot[part] >= 0)
         if len(weighted):
-            rows = word_rows([b[weighted] for b in own], cls[part][weighted])
+            rows = word_rows([b[weighted] for b in own], cls[part][weighted], voc.word_at)
             grad = -np.exp(_log_softmax(_sum_rows(w, rows)))
             grad[np.arange(len(grad)), slot[part][weighted]] += 1
             _climb(w, seen[1], rows, grad)
@@ -199,11 +225,11 @@ def log10_model(weights: list[np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
     for k in range(0, len(ids), BATCH):
         part = slice(k, k + BATCH)
         own = [b[part] for b in before]
-        z = _sum_rows(c, class_rows(own)) + c[0]
+        z = _sum_rows(c, class_rows(own, voc.class_at)) + c[0]
         lp = _log_softmax(z)[np.arange(len(z)), cls[part]].astype(np.float64)
         weighted = np.flatnonzero(slot[part] >= 0)
         if len(weighted):
-            z = _sum_rows(w, word_rows([b[weighted] for b in own], cls[part][weighted]))
+            z = _sum_rows(w, word_rows([b[weighted] for b in own], cls[part][weighted], voc.word_at))
             lp[weighted] += _log_softmax(z)[np.arange(len(z)), slot[part][weighted]]
         out[part] = lp / np.log(10) - voc.log_mass[cls[part]]
     return out

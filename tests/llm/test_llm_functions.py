@@ -270,6 +270,21 @@ def test_language_model_is_a_distribution():
     assert abs(total + unknown - 1) < 1e-4
 
 
+def test_language_model_grows_with_the_vocabulary():
+    """At no size fewer than 1024 weighted words, 16 endings and the skip to the third word; more of each row with more words."""
+    small, large = (lm.Vocabulary([lm.END], [5], {lm.ending_class(lm.END): (5, 1)}, 5, n) for n in (1, 1 << 23))
+    assert small.classes * small.slots >= 1024 and lm.ENDINGS >= 16
+    assert large.classes * large.slots > 3 * small.classes * small.slots
+    for a, b in zip(small.weights(), large.weights()):
+        assert len(b) > 3 * len(a) and b.shape[1] > a.shape[1]
+    assert max(w.size for w in lm.Vocabulary([lm.END], [5], {lm.ending_class(lm.END): (5, 1)}, 5, 1 << 50).weights()) < 1.1 * (1 << 25)
+    ids = np.array([1, 2, 3, 0, 4, 2, 3, 0], dtype=np.int32)
+    one, two = (np.array([r[k] for r in lm.class_rows(lm.contexts(ids, np.array([0, 4])), small.class_at)]) for k in (3, 7))
+    assert (one[:3] == two[:3]).all() and one[3] != two[3]
+    r = np.random.default_rng(3).integers(0, 1 << 20, 5000)
+    assert (lm._order(r) == np.argsort(r, kind="stable")).all()
+
+
 def test_toxicity_learns_a_planted_word():
     rng = np.random.default_rng(2)
     texts = [(" ".join(rng.choice([f"w{k}" for k in range(400)], 60)) + (" vileword" if k % 4 == 0 else "")).encode() for k in range(600)]
