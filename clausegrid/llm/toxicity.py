@@ -4,8 +4,8 @@ Words are hashed to two rows of one embedding table and their vectors added, so
 words share a vector only if both rows collide. Filters of several widths slide over a
 text's vectors; each filter's maximum over the whole text feeds a logistic output. The
 training sample is bounded (SAMPLE rows of a class, of WORDS words at most); scoring reads
-every text whole. A verdict threshold is calibrated for each language; the score itself
-knows nothing but the text.
+every text whole. A verdict threshold is chosen for each language from the out-of-fold scores
+of all labelled rows, of any length; the score itself knows nothing but the text.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ ROWS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 4, 64, 0.05
 #: Toxic calibration rows that a language needs for a threshold of its own.
 LEAST_TOXIC = 40
+#: Thresholds to choose from.
+GRID = np.arange(0.3, 0.9, 0.02)
 #: Share of truly toxic rows among those that a threshold rejects.
 PRECISION = 0.9
 #: Calibration scores each row with a model that has not seen it: this many models.
@@ -169,7 +171,8 @@ def train(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int
 
 
 def calibrate(model: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list) -> None:
-    """From logits of rows that their model had not seen: Platt's scale (with his smoothed targets), and thresholds."""
+    """From logits of rows that their model had not seen: Platt's scale (with his smoothed targets), and thresholds
+    of these rows; ``fit`` replaces them by those of all labelled rows."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
@@ -183,23 +186,57 @@ def calibrate(model: Model, z: np.ndarray, y: np.ndarray, weight: np.ndarray, la
         if abs(da) + abs(db) < 1e-6:
             break
     model.scale, model.shift = a, b
-    p = 1 / (1 + np.exp(-np.clip(a * z + b, -60, 60)))
-    model.default = _threshold(p, y, weight)
-    for lang in set(langs):
-        own = np.array([x == lang for x in langs])
-        if y[own].sum() >= LEAST_TOXIC:
-            model.thresholds[lang] = _threshold(p[own], y[own], weight[own])
+    set_thresholds(model, zip(langs, y.astype(int), score_bins(model, z), np.ones(len(z), dtype=np.int64)))
 
 
-def _threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+def score_bins(model: Model, z: np.ndarray) -> np.ndarray:
+    """How many thresholds of GRID the score of each logit reaches."""
+    return np.searchsorted(GRID, 1 / (1 + np.exp(-np.clip(model.scale * z + model.shift, -60, 60))), side="right")
+
+
+def set_thresholds(model: Model, counts) -> None:
+    """counts: (lang, toxic, bin, n) of labelled rows, unweighted."""
+    by_lang: dict[str | None, np.ndarray] = {}
+    for lang, toxic, k, n in counts:
+        by_lang.setdefault(lang, np.zeros((2, len(GRID) + 1), dtype=np.int64))[toxic, k] += n
+    model.default = _threshold(sum(by_lang.values(), np.zeros((2, len(GRID) + 1), dtype=np.int64)))
+    model.thresholds = {lang: _threshold(n) for lang, n in by_lang.items() if n[1].sum() >= LEAST_TOXIC}
+
+
+def _threshold(n: np.ndarray) -> float:
     """The least threshold, from 0.3 on, at which PRECISION of what is rejected is toxic, one clean row added for
-    caution; 0.9 if there is none."""
-    for t in np.arange(0.3, 0.9, 0.02):
-        hit = p >= t
-        toxic, clean = (weight * y)[hit].sum(), (weight * (1 - y))[hit].sum()
-        if toxic >= PRECISION * (toxic + clean + 1):
-            return float(t)
-    return 0.9
+    caution; 0.9 if there is none. n: rows by label and bin."""
+    clean, toxic = n[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+    good = np.flatnonzero(toxic >= PRECISION * (toxic + clean + 1))
+    return float(GRID[good[0]]) if len(good) else 0.9
+
+
+def _labelled_bins(docs: DataFrame, marks: DataFrame, models: list[Model]):
+    """(lang, toxic, bin, n) over all labelled rows, each scored by the model of its fold, which has not seen it."""
+    held = docs.sparkSession.sparkContext.broadcast(models)
+    rows = docs.select("doc_id", "text", "lang").join(marks, "doc_id").select("lang", "toxic", _fold().alias("fold"), "text")
+
+    def run(batches):
+        for b in batches:
+            fold, texts = b.column("fold").to_numpy(), utf8(b.column("text"))
+            got, own, size = np.empty(len(texts), dtype=np.int32), [], 0
+            for k, t in enumerate(texts):
+                own.append(word_hashes(t))
+                size += len(own[-1])
+                if size > 1 << 17 or k + 1 == len(texts):
+                    part = slice(k + 1 - len(own), k + 1)
+                    for f, m in enumerate(held.value):
+                        of = np.flatnonzero(fold[part] == f)
+                        got[part][of] = score_bins(m, m.logits([own[i] for i in of]))
+                    own, size = [], 0
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("toxic"), pa.array(got)], names=["lang", "toxic", "bin"])
+
+    schema = T.StructType([docs.schema["lang"], T.StructField("toxic", T.IntegerType()), T.StructField("bin", T.IntegerType())])
+    return [tuple(r) for r in rows.mapInArrow(run, schema).groupBy("lang", "toxic", "bin").count().collect()]
+
+
+def _fold():
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -225,9 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield out.filter(short)
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    got = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()
+    got = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).withColumn("fold", _fold()).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()
     y = np.array([r["toxic"] for r in got], dtype=np.float64)
-    fold = np.arange(len(got)) % FOLDS
+    fold = np.array([r["fold"] for r in got], dtype=np.int64)
     if any(len(set(y[fold != k])) < 2 for k in range(FOLDS)):
         model = Model()
         model.constant = n.get(1, 0) / (sum(n.values()) + 20)
@@ -238,10 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     some = lambda keep: [t for t, k in zip(texts, keep) if k]
     z = np.empty(len(got))
-    for k in range(FOLDS):
-        z[fold == k] = train(some(fold != k), y[fold != k], np.sqrt(weight[fold != k])).logits(some(fold == k))
+    unseen = [train(some(fold != k), y[fold != k], np.sqrt(weight[fold != k])) for k in range(FOLDS)]
+    for k, m in enumerate(unseen):
+        z[fold == k] = m.logits(some(fold == k))
     model = train(texts, y, np.sqrt(weight))
     calibrate(model, z, y, weight, [r["lang"] for r in got])
+    for m in unseen:
+        m.scale, m.shift = model.scale, model.shift
+    set_thresholds(model, _labelled_bins(docs, marks, unseen))
     return model
 
 

@@ -201,6 +201,26 @@ def test_toxicity_learns_and_keeps_rows(spark, docs, empty):
     assert toxicity.score(empty, labels).count() == 0
 
 
+def test_toxicity_thresholds_count_every_labelled_row(spark, monkeypatch):
+    """Of any length and beyond the sample, but not the held-out fold; the sample's rows alone gave no threshold to 'fr'."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{j}" for j in range(200)], 30 if k % 7 else 300)) + (" vile" if k % 4 == 0 else "") for k in range(500)]
+    d = spark.createDataFrame([(k, t, "fr" if k % 2 == 0 else "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(500)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 30)
+    monkeypatch.setattr(toxicity, "WORDS", 100)
+    seen = []
+    keep = toxicity.set_thresholds
+    monkeypatch.setattr(toxicity, "set_thresholds", lambda m, c: (seen.append(c := list(c)), keep(m, c)))
+    model = toxicity.fit(d, labels)
+    own = [k for k in range(500) if zlib.crc32(str(k).encode()) % 4 != 2]
+    got = Counter()
+    for lang, toxic, _, n in seen[-1]:
+        got[lang, toxic] += n
+    assert got == Counter(("fr" if k % 2 == 0 else "en", int(k % 4 == 0)) for k in own)
+    assert "fr" in model.thresholds
+
+
 def test_quality_by_plain_numpy(spark, docs, empty, monkeypatch):
     got = {(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judge(docs).collect()}
     want = {(*quality.counts((t or "").encode())[:5], quality.base_failed(*(quality.counts((t or "").encode())[k] for k in (0, 4)))) for _, t, _, _ in rows()}
