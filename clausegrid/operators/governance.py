@@ -7,8 +7,10 @@ import json
 import re
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import PREFIX, UNIT, compose_list
 from ..plans import expression as ex
@@ -127,14 +129,24 @@ def signature_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
 
 
 def candidates(sections: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(doc_id, section_id, rule_id) by the index: equal atoms on category are an equi-join; the few others meet a
-    broadcast table, which is the size of a rule set."""
-    eq = signatures.where("kind = 'eq' and field = 'category'").select("rule_id", F.col("literal").alias("category")).distinct()
-    by_category = sections.select("doc_id", "section_id", "category").join(eq, "category").select("doc_id", "section_id", "rule_id")
-    text = signatures.where("kind = 'contains' and field = 'text'").select("rule_id", "literal")
-    by_text = sections.select("doc_id", "section_id", "text").join(F.broadcast(text), F.contains(F.col("text"), F.col("literal"))).select("doc_id", "section_id", "rule_id")
-    everywhere = sections.select("doc_id", "section_id").join(F.broadcast(signatures.where("universal").select("rule_id")))
-    return by_category.unionByName(by_text).unionByName(everywhere.select("doc_id", "section_id", "rule_id")).distinct()
+    """(doc_id, section_id, rule_id) by the index: atoms of any field that sections have, arrays by their JSON text. Equal
+    atoms are an equi-join on field and literal; contains atoms meet a broadcast table, which is the size of a rule set."""
+    held = []
+    for r in signatures.where("field is not null").select("field").distinct().orderBy("field").collect():
+        try:
+            kind = sections.select(F.col(r["field"])).schema[0].dataType
+        except AnalysisException:  # no section has the field
+            continue
+        nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+        held.append(F.struct(F.lit(r["field"]).alias("field"), (F.to_json(F.col(r["field"])) if nested else F.col(r["field"]).cast("string")).alias("value")))
+    keys = ["doc_id", "section_id", "rule_id"]
+    out = sections.select("doc_id", "section_id").join(F.broadcast(signatures.where("universal").select("rule_id"))).select(keys)
+    if held:
+        fields = sections.select("doc_id", "section_id", F.inline(F.array(*held)))
+        eq = signatures.where("kind = 'eq'").select("rule_id", "field", F.col("literal").alias("value")).distinct()
+        part = F.broadcast(signatures.where("kind = 'contains'").select("rule_id", F.col("field").alias("f"), "literal"))
+        out = out.unionByName(fields.join(eq, ["field", "value"]).select(keys)).unionByName(fields.join(part, (F.col("field") == F.col("f")) & F.contains(F.col("value"), F.col("literal"))).select(keys))
+    return out.distinct()
 
 
 def vocabulary_coverage(rules: DataFrame, declared: list[str]) -> DataFrame:

@@ -154,6 +154,18 @@ def q_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return governance.candidates(demo.sections(spark, sf), sig.where("not (kind = 'contains')"))
 
 
+_INDEXED = replace(demo.RULES, rules=(*demo.RULES.rules, replace(demo.RULES.rules[3], id="D-TXT-001", predicate='input1.text.Contains("gst")'), replace(demo.RULES.rules[3], id="D-ALL-001", predicate="true")))
+
+
+@query(f"""WITH {demo.SECTIONS}
+SELECT doc_id, section_id, 'D-SEC-001' AS rule_id FROM s WHERE category = 'secrecy' UNION ALL SELECT doc_id, section_id, 'D-SUP-001' FROM s WHERE category = 'supply' OR {demo.has_topic_sql('supply')}
+UNION ALL SELECT doc_id, section_id, 'D-SUP-002' FROM s WHERE category = 'supply' UNION ALL SELECT doc_id, section_id, 'D-TAX-001' FROM s WHERE category = 'tax' UNION ALL SELECT doc_id, section_id, 'D-TAX-002' FROM s WHERE category = 'tax'
+UNION ALL SELECT doc_id, section_id, 'D-TXT-001' FROM s WHERE contains(text, 'gst') UNION ALL SELECT doc_id, section_id, 'D-ALL-001' FROM s""")
+def q_candidates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of atom and a universal rule; q_candidates has the equal atoms alone."""
+    return governance.candidates(demo.sections(spark, sf), governance.signature_rows(spark, _INDEXED))
+
+
 def _changed() -> RuleSet:
     r = demo.RULES.rules
     return replace(demo.RULES, version="1.1.0", rules=(replace(r[0], lambda_="true", severity="Warning"), r[1], replace(r[2], id="D-SUP-003"), r[3], replace(r[4], natural_language="Other words.")))
