@@ -135,25 +135,30 @@ def enrich(sections: DataFrame, topics: TopicMap, features: bool = True, inherit
     return operative(out)
 
 
-def inherit_amended(sections: DataFrame, topics: TopicMap, rounds: int = 4) -> DataFrame:
+def inherit_amended(sections: DataFrame, topics: TopicMap) -> DataFrame:
     """A section without topic of its own that amends another by title takes the earlier section's topic, or the topic
-    that the title itself names. A chain of amendments of length n settles in n rounds."""
+    that the title itself names. A document's amending sections are folded in order, so chains of any length settle."""
     title = F.lit(None).cast("string")
     for p in reversed(topics.amendments):
         found = F.trim(F.regexp_extract("text", p, 1))
         title = F.when(F.char_length(found) > 0, found).otherwise(title)
     out = sections.withColumn("title", F.when(F.col("primary_topic").isNull(), F.lower(title))).withColumn("inherited_from", F.lit(None).cast("string"))
-    for _ in range(rounds):
-        earlier = out.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.lower("heading").alias("h"), F.col("section_id").alias("pid"), F.col("primary_topic").alias("pt"))
-        asks = out.where("title is not null and primary_topic is null").select("doc_id", "ord", "title")
-        near = (asks.join(earlier, (F.col("doc_id") == F.col("d")) & (F.col("o") < F.col("ord")) & F.contains(F.col("h"), F.col("title")))
-                .groupBy("doc_id", "ord").agg(F.min_by(F.struct("pid", "pt"), "o").alias("parent")).where("parent.pt is not null"))
-        joined = out.join(near, ["doc_id", "ord"], "left")
-        gained = F.col("primary_topic").isNull() & F.col("parent").isNotNull()
-        out = joined.select(*(c for c in out.columns if c not in ("primary_topic", "inherited_from", "scored")),
-                            F.when(gained, F.col("parent.pt")).otherwise(F.col("primary_topic")).alias("primary_topic"),
-                            F.when(gained, F.col("parent.pid")).otherwise(F.col("inherited_from")).alias("inherited_from"),
-                            F.when(gained, _with_score(F.col("scored"), F.col("parent.pt"), INHERITED_SCORE)).otherwise(F.col("scored")).alias("scored"))
+    earlier = out.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.lower("heading").alias("h"), F.col("section_id").alias("pid"), F.col("primary_topic").alias("pt"))
+    asks = out.where("title is not null and primary_topic is null").select("doc_id", "ord", "title")
+    near = (asks.join(earlier, (F.col("doc_id") == F.col("d")) & (F.col("o") < F.col("ord")) & F.contains(F.col("h"), F.col("title")))
+            .groupBy("doc_id", "ord").agg(F.min_by(F.struct("o", "pid", "pt"), "o").alias("p")))
+    chain = F.sort_array(F.collect_list(F.struct("ord", "p.o", "p.pid", "p.pt")))
+    topic = lambda acc, e: F.coalesce(e["pt"], F.element_at(acc, e["o"]))  # noqa: E731  null: the parent has none
+    step = lambda acc, e: F.map_concat(acc, F.create_map(e["ord"], topic(acc, e)))
+    kind = f"map<{sections.schema['ord'].dataType.simpleString()},string>"
+    known = near.groupBy("doc_id").agg(chain.alias("c")).select("doc_id", "c", F.aggregate("c", F.create_map().cast(kind), step).alias("m"))
+    parents = known.select("doc_id", "m", F.inline("c")).select("doc_id", "ord", F.struct("pid", F.element_at("m", F.col("ord")).alias("pt")).alias("parent")).where("parent.pt is not null")
+    joined = out.join(parents, ["doc_id", "ord"], "left")
+    gained = F.col("primary_topic").isNull() & F.col("parent").isNotNull()
+    out = joined.select(*(c for c in out.columns if c not in ("primary_topic", "inherited_from", "scored")),
+                        F.when(gained, F.col("parent.pt")).otherwise(F.col("primary_topic")).alias("primary_topic"),
+                        F.when(gained, F.col("parent.pid")).otherwise(F.col("inherited_from")).alias("inherited_from"),
+                        F.when(gained, _with_score(F.col("scored"), F.col("parent.pt"), INHERITED_SCORE)).otherwise(F.col("scored")).alias("scored"))
     by_title = primary_topic(F.col("title"), topics)
     named = F.col("primary_topic").isNull() & by_title.isNotNull()
     return out.withColumn("scored", F.when(named, _with_score(F.col("scored"), by_title, BY_TITLE_SCORE)).otherwise(F.col("scored"))).withColumn(

@@ -36,3 +36,12 @@ def test_outline_addresses(spark):
     assert len(same) == 3 and all(v.startswith("lr1:") for v in same.values()) and len(set(same.values())) == 3
     one = tree.where("doc_id in ('a', 'c')").withColumn("doc_id", F.lit("x"))
     assert clauses.tree_fingerprints(one.where("title != 'V'").dropDuplicates(["node_id"])).count() == 1
+
+
+def test_amendments_of_amendments_have_no_limit(spark):
+    from clausegrid.operators import project
+
+    topics = project.TopicMap("t", (("tax", ("gst",)),), amendments=(r"amends (\w+)",))
+    made = [("d", 0, "s0", "gst k0x", "", 0)] + [("d", k, f"s{k}", f"k{k}x", f"amends k{k - 1}x", 0) for k in range(1, 9)] + [("d", 9, "s9", "other", "amends none", 0)]
+    got = project.enrich(spark.createDataFrame(made, "doc_id string, ord int, section_id string, heading string, text string, char_start int"), topics, features=False)
+    assert {r["ord"]: (r["primary_topic"], r["inherited_from"]) for r in got.collect()} == {0: ("tax", None), **{k: ("tax", f"s{k - 1}") for k in range(1, 9)}, 9: ("unknown", None)}
