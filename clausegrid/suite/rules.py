@@ -65,6 +65,17 @@ def q_wrong_profile(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.report(evaluate.evaluate(s, rules, Options(kind_col="lang"))).select("doc_id", "total", "skipped", "score", "wrong_profile")
 
 
+@query(f"""{demo.VERDICTS}, f AS (SELECT DISTINCT doc_id, lang FROM documents),
+x AS (SELECT v.doc_id, outcome FROM v JOIN f ON v.doc_id = f.doc_id WHERE lang = 'fr' AND rule_id = 'D-SEC-001' OR lang IN ('fr', 'de') AND rule_id = 'D-TAX-001' UNION ALL SELECT doc_id, 'Skipped' FROM f WHERE lang = 'de'),
+r AS (SELECT doc_id, count(*) AS total, {demo.COUNTS} FROM x GROUP BY doc_id)
+SELECT doc_id, total, skipped, {demo.SCORE} AS score, skipped = total AS wrong_profile FROM r
+UNION ALL SELECT doc_id, CAST(2 AS BIGINT), CAST(2 AS BIGINT), CAST(1 AS DOUBLE), TRUE FROM documents WHERE lang NOT IN ('fr', 'de')""")
+def q_wrong_profile_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of every language; q_wrong_profile has the wholly skipped Spanish ones alone."""
+    s = demo.sections(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluate.report(evaluate.evaluate(s, replace(_KINDED, kinds=("fr",)), Options(kind_col="lang"))).select("doc_id", "total", "skipped", "score", "wrong_profile")
+
+
 _FLOOR = RuleSet("rs_floor", "1", (Rule("F-001", 'input1.text.Contains("ion")', natural_language="And the thing.", evidence_quote="thing pour nicht erver"),))
 
 
