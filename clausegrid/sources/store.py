@@ -23,7 +23,7 @@ def _lower_keys(value):
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", "true").text(path).first()[0].lstrip("﻿")
+    return spark.read.text(path, wholetext=True).first()[0].lstrip("\ufeff")
 
 
 def load_ruleset(spark: SparkSession, path: str) -> RuleSet:
