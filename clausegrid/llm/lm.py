@@ -11,9 +11,12 @@ share of tokens that are weighted.
 
 Counts cover all training texts. Words of large count go to every worker, up to HEAD of
 them; what the others add is found by a join, so no table that grows with the corpus is
-ever broadcast or collected. Training starts from the unigram model, and each document
-takes part in one of ROUNDS rounds: tasks take gradient steps on their share, and the rows
-of the weight table are averaged by how many words each task saw of them.
+ever broadcast or collected. Texts become word numbers once; training and scoring read
+those. Training starts from the unigram model, and each document takes part in one of
+ROUNDS rounds, in one share of it: a share takes gradient steps on a copy of the weights,
+and the rows of the weight table are averaged by how many words each share saw of them.
+Shares are chosen by hashes of the documents and are as many as their tokens ask for, so
+the model does not depend on the cluster or on how the table is stored.
 """
 
 from __future__ import annotations
@@ -130,12 +133,10 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
     return (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
 
 
-def contexts(ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The words one, two and three before each token; 0 before a text's first. first: texts' starts."""
-    begin = np.zeros(len(ids), dtype=np.int64)
-    begin[first] = first
-    begin = np.maximum.accumulate(begin)
-    at = np.arange(len(ids))
+def contexts(ids: np.ndarray, first: np.ndarray, lo: int = 0, hi: int | None = None) -> list[np.ndarray]:
+    """The words one, two and three before each of the tokens lo to hi; 0 before a text's first. first: texts' starts."""
+    at = np.arange(lo, len(ids) if hi is None else min(hi, len(ids)))
+    begin = first[np.searchsorted(first, at, "right") - 1]
     return [np.where(at - k >= begin, ids[np.maximum(at - k, 0)].astype(np.int64) + 1, 0) for k in (1, 2, 3)]
 
 
@@ -151,16 +152,16 @@ def word_rows(before: list[np.ndarray], cls: np.ndarray, at: np.ndarray) -> list
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
-    """Logits are held below 60, so that their exponentials need no shift; sums are products with ones."""
-    z = np.minimum(z, np.float32(60))
-    total = np.exp(z) @ np.ones(z.shape[1], dtype=np.float32)
-    return z - np.log(np.maximum(total, np.float32(1e-37)))[:, None]
+    """In place; sums are products with ones."""
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], dtype=np.float32))[:, None]
+    return z
 
 
 def _sum_rows(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    out = table[rows[0]]
+    out = np.take(table, rows[0], axis=0)
     for r in rows[1:]:
-        out += table[r]
+        out += np.take(table, r, axis=0)
     return out
 
 
@@ -171,48 +172,67 @@ def _order(r: np.ndarray) -> np.ndarray:
     return low if r.max() < 1 << 16 else low[np.argsort((r[low] >> 16).astype(np.uint16), kind="stable")]
 
 
+#: Members of a row's group that are added one after the other for all groups at once; the rest of large groups is reduced.
+_ABREAST = 3
+
+
+def _sum_groups(grad: np.ndarray, order: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of grad[order] over each group: places first to first + n."""
+    out = np.take(grad, order[first], axis=0)
+    for k in range(1, _ABREAST):
+        more = np.flatnonzero(n > k)
+        out[more] += np.take(grad, order[first[more] + k], axis=0)
+    large = np.flatnonzero(n > _ABREAST)
+    if len(large):
+        rest = n[large] - _ABREAST
+        begin = np.cumsum(rest) - rest
+        at = np.arange(rest.sum()) + np.repeat(first[large] + _ABREAST - begin, rest)
+        own = np.take(grad, order[at], axis=0)
+        if own.shape[1] % 2 == 0:  # two numbers a step
+            out[large] += np.add.reduceat(own.view(np.complex64), begin, axis=0).view(np.float32)
+        else:
+            out[large] += np.add.reduceat(own, begin, axis=0)
+    return out
+
+
 def _climb(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], grad: np.ndarray) -> None:
     """Moves each row along its mean gradient, less for rows met seldom."""
     for r in rows:
         order = _order(r)
         s = r[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        n = np.diff(np.r_[first, len(s)]).astype(np.float32)
-        table[s[first]] += STEP * np.add.reduceat(grad[order], first, axis=0) / (n + DAMP)[:, None]
-        seen[s[first]] += n
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        n = np.diff(first, append=len(s))
+        out = _sum_groups(grad, order, first, n)
+        n = n.astype(np.float32)
+        out *= (np.float32(STEP) / (n + np.float32(DAMP)))[:, None]
+        own = s[first]
+        table[own] += out
+        seen[own] += n
 
 
-def batches_of(texts: list[bytes], index: _Index):
-    """(ids of the tokens of many texts, where each text starts), and the words themselves by text."""
-    own = [t.lower().split() for t in texts]
-    get, end = index.__getitem__, index[END]
-    flat: list[int] = []
-    for w in own:
-        flat.extend(map(get, w))
-        flat.append(end)
-    size = np.array([len(w) + 1 for w in own], dtype=np.int64)
-    return np.array(flat, dtype=np.int32), np.cumsum(size) - size, own
+def _gradient(z: np.ndarray, true: np.ndarray) -> np.ndarray:
+    """Of the log likelihood by the logits: one for the true one, less every one's probability."""
+    grad = np.negative(np.exp(_log_softmax(z), out=z), out=z)
+    grad[np.arange(len(grad)), true] += 1
+    return grad
 
 
 def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray) -> None:
     """Gradient steps on the tokens, BATCH at a time, in place."""
     c, w = weights
-    before = contexts(ids, first)
     cls, slot = voc.cls[ids], voc.slot[ids]
     for k in range(0, len(ids), BATCH):
         part = slice(k, k + BATCH)
-        own = [b[part] for b in before]
+        own = contexts(ids, first, k, k + BATCH)
         rows = class_rows(own, voc.class_at)
-        grad = -np.exp(_log_softmax(_sum_rows(c, rows) + c[0]))
-        grad[np.arange(len(grad)), cls[part]] += 1
+        grad = _gradient(_sum_rows(c, rows) + c[0], cls[part])
         _climb(c, seen[0], rows, grad)
         c[0] += STEP * (np.ones(len(grad), dtype=np.float32) @ grad) / (len(grad) + DAMP)
         seen[0][0] += len(grad)
         weighted = np.flatnonzero(slot[part] >= 0)
         if len(weighted):
             rows = word_rows([b[weighted] for b in own], cls[part][weighted], voc.word_at)
-            grad = -np.exp(_log_softmax(_sum_rows(w, rows)))
-            grad[np.arange(len(grad)), slot[part][weighted]] += 1
+            grad = _gradient(_sum_rows(w, rows), slot[part][weighted])
             _climb(w, seen[1], rows, grad)
 
 
@@ -220,11 +240,10 @@ def log10_model(weights: list[np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
     """Per token: log10 of its class and, in it, of its weighted word or of one count unit in its ending's mass."""
     c, w = weights
     out = np.empty(len(ids))
-    before = contexts(ids, first)
     cls, slot = voc.cls[ids], voc.slot[ids]
     for k in range(0, len(ids), BATCH):
         part = slice(k, k + BATCH)
-        own = [b[part] for b in before]
+        own = contexts(ids, first, k, k + BATCH)
         z = _sum_rows(c, class_rows(own, voc.class_at)) + c[0]
         lp = _log_softmax(z)[np.arange(len(z)), cls[part]].astype(np.float64)
         weighted = np.flatnonzero(slot[part] >= 0)
@@ -274,17 +293,61 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
     return voc, least
 
 
-def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
-    """The weights after ROUNDS rounds; ``docs``: text. Each document's text decides its round."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(voc)
-    weights = voc.weights()
-    tasks = max(1, 2 * spark.sparkContext.defaultParallelism)
+def encode(rows: DataFrame, known, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``rows``, ids (int32 numbers of the tokens), and the words outside the head with their counts.
+
+    known: the broadcast Vocabulary. A null text has the END alone."""
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
 
-    parts = -(-tasks // 64)  # with many tasks a block is merged in two steps
+    def run(batches):
+        index = known.value.index()
+        end_known, get, end = END in index, index.__getitem__, index[END]
+        for b in batches:
+            out: dict[str, list] = {"ids": [], "rare": [], "times": []}
+            for t in utf8(b.column("text")):
+                own = t.lower().split()
+                ids = np.fromiter(map(get, own), dtype=np.int32, count=len(own))
+                rare = Counter(own[k] for k in np.flatnonzero(ids >= index.head))
+                if not end_known:
+                    rare[END] += 1
+                out["ids"].append(np.append(ids, np.int32(end)).tobytes())
+                out["rare"].append(list(rare))
+                out["times"].append(list(rare.values()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out["ids"], pa.binary()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int32()))], names=schema.names)
+
+    return rows.select(*keep, "text").mapInArrow(run, schema)
+
+
+def _texts_at_a_time(column: pa.Array, tokens: int = 1 << 17):
+    """(ids of many texts, where each begins), some texts at a time: up to so many tokens, or one text."""
+    held, size = [], 0
+    for x in column.to_pylist():
+        ids = np.frombuffer(x, dtype=np.int32)
+        if held and size + len(ids) > tokens:
+            yield np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+            held, size = [], 0
+        held.append(ids)
+        size += len(ids)
+    if held:
+        yield np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
+
+
+_MOVES = pa.schema([("side", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("moved", pa.binary()), ("seen", pa.binary())])
+#: Shares whose moves of a block are merged in one group; more are merged in two steps.
+_MERGED = 64
+
+
+def train(texts: DataFrame, voc: Vocabulary, known) -> list[np.ndarray]:
+    """The weights after ROUNDS rounds; ``texts``: key (a hash that spreads the documents), ids. ``known``: voc, broadcast.
+
+    A share has about as many tokens as the tables have numbers: what shares send is in proportion to what they read."""
+    spark = texts.sparkSession
+    weights = voc.weights()
+    shares = max(1, -(-voc.total // (ROUNDS * sum(w.size for w in weights))))
+    parts = -(-shares // _MERGED)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Mean of the moves, weighted by how many words each task saw of a row."""
+        """Mean of the moves, weighted by how many words each share saw of a row."""
         seen = [np.frombuffer(x, dtype=np.float32) for x in pdf.seen]
         total = np.sum(seen, axis=0)
         moved = sum(np.frombuffer(x, dtype=np.float16).astype(np.float32).reshape(len(n), -1) * n[:, None] for x, n in zip(pdf.moved, seen))
@@ -296,23 +359,35 @@ def train(docs: DataFrame, voc: Vocabulary) -> list[np.ndarray]:
         held = spark.sparkContext.broadcast(weights)
 
         def run(batches):
-            from pyspark import TaskContext
-
             voc, begun = known.value, held.value
-            index, own = voc.index(), [w.copy() for w in begun]
-            seen = [np.zeros(len(w), dtype=np.float32) for w in own]
+            share = own = seen = None
+
+            def moves():
+                for side, (w, was, n) in enumerate(zip(own, begun, seen)):
+                    for at in range(0, len(w), _BLOCK):
+                        part = slice(at, at + _BLOCK)
+                        if n[part].any():
+                            moved = (w[part] - was[part]).astype(np.float16)
+                            yield pa.RecordBatch.from_pylist([{"side": side, "block": at // _BLOCK, "part": share % parts, "moved": moved.tobytes(), "seen": n[part].tobytes()}], schema=_MOVES)
+
             for b in batches:
-                ids, first, _ = batches_of(utf8(b.column("text")), index)
-                train_on(own, seen, voc, ids, first)
-            for side, (w, was, n) in enumerate(zip(own, begun, seen)):
-                moved = (w - was).astype(np.float16)
-                for at in range(0, len(w), _BLOCK):
-                    if n[at:at + _BLOCK].any():
-                        yield pa.RecordBatch.from_pylist([{"side": side, "block": at // _BLOCK, "part": TaskContext.get().partitionId() % parts, "moved": moved[at:at + _BLOCK].tobytes(), "seen": n[at:at + _BLOCK].tobytes()}],
-                                                         schema=pa.schema([("side", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("moved", pa.binary()), ("seen", pa.binary())]))
-
-        turn = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).select("text").coalesce(tasks)
-        moves = turn.mapInArrow(run, form)
+                at = b.column("share").to_numpy()
+                edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+                for lo, hi in zip(edges, edges[1:]):
+                    if lo == hi:
+                        continue
+                    if share != at[lo]:
+                        if share is not None:
+                            yield from moves()
+                        share, own, seen = int(at[lo]), [w.copy() for w in begun], [np.zeros(len(w), dtype=np.float32) for w in begun]
+                    for ids, first in _texts_at_a_time(b.column("ids").slice(lo, hi - lo)):
+                        train_on(own, seen, voc, ids, first)
+            if share is not None:
+                yield from moves()
+
+        turn = texts.where(F.pmod("key", F.lit(ROUNDS)) == k).select(F.pmod(F.shiftright("key", 8), F.lit(shares)).cast("int").alias("share"), "key", "ids")
+        dealt = turn.repartitionById(shares, F.col("share")).sortWithinPartitions("share", "key", "ids").select("share", "ids")
+        moves = dealt.mapInArrow(run, form)
         if parts > 1:
             moves = moves.groupBy("side", "block", "part").applyInPandas(merge, form)
         for r in moves.groupBy("side", "block").applyInPandas(merge, form).collect():  # one weight table
@@ -334,56 +409,41 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     narrow = docs.select("doc_id", (id_mod("doc_id", 10) == 0).alias("held_out"), "text")
-    fold = narrow.where("not held_out").select("text")
-    counts = cut(count_words(fold), "word-counts")
+    counts = cut(count_words(narrow.where("not held_out").select("text")), "word-counts")
     voc, least = vocabulary(counts, head)
-    weights = spark.sparkContext.broadcast(train(fold.where("text is not null"), voc))
     known = spark.sparkContext.broadcast(voc)
-    rows = narrow.withColumn("row", F.monotonically_increasing_id())
+    # copies of a text are dealt to different shares by their ids
+    rows = narrow.withColumns({"row": F.monotonically_increasing_id(), "key": F.xxhash64(F.col("doc_id").cast("string"), "text")})
+    texts = cut(encode(rows, known, ["row", "doc_id", "held_out", "key"]), "lm-texts")
+    weights = spark.sparkContext.broadcast(train(texts.where("not held_out").select("key", "ids"), voc, known))
     fields = [("row", T.LongType()), ("doc_id", narrow.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_head", T.LongType()),
-              ("base", T.DoubleType()), ("model", T.DoubleType()), ("rare", T.ArrayType(T.BinaryType())), ("times", T.ArrayType(T.IntegerType()))]
+              ("base", T.DoubleType()), ("model", T.DoubleType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def run(batches):
         voc = known.value
-        index = voc.index()
-        end_known = END in index
+        h = len(voc.words)
+        log_count = np.append(voc.log_count, np.zeros(ENDINGS))
         for b in batches:
-            texts = utf8(b.column("text"))
-            at, out = 0, {f: [] for f, _ in fields[3:]}
-            while at < len(texts):  # some texts at a time: 2^17 bytes, or one text
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 1 << 19):
-                    size += len(texts[upto])
-                    upto += 1
-                ids, first, words = batches_of(texts[at:upto], index)
+            out: dict[str, list] = {f: [] for f, _ in fields[3:]}
+            for ids, first in _texts_at_a_time(b.column("ids")):
                 lp = log10_model(weights.value, voc, ids, first)
-                in_head = ids < index.head
-                count_part = np.where(in_head, voc.log_count[np.minimum(ids, max(index.head - 1, 0))], 0.0) if index.head else np.zeros(len(ids))
+                count_part = log_count[ids]
                 lp += np.where(voc.slot[ids] < 0, count_part, 0.0)
-                n = np.diff(np.r_[first, len(ids)])
-                out["n_tokens"] += n.tolist()
-                out["n_head"] += np.add.reduceat(in_head.astype(np.int64), first).tolist()
+                out["n_tokens"] += np.diff(first, append=len(ids)).tolist()
+                out["n_head"] += np.add.reduceat((ids < h).astype(np.int64), first).tolist()
                 out["base"] += np.add.reduceat(count_part, first).tolist()
                 out["model"] += np.add.reduceat(lp, first).tolist()
-                for w, s in zip(words, first):
-                    off = np.flatnonzero(~in_head[s:s + len(w)])
-                    rare = Counter(w[k] for k in off)
-                    if not end_known:
-                        rare[END] += 1
-                    out["rare"].append(list(rare))
-                    out["times"].append(list(rare.values()))
-                at = upto
-            kinds = {"rare": pa.list_(pa.binary()), "times": pa.list_(pa.int32()), "base": pa.float64(), "model": pa.float64()}
+            kinds = {"base": pa.float64(), "model": pa.float64()}
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *(pa.array(v, kinds.get(f, pa.int64())) for f, v in out.items())], names=schema.names)
 
-    held = cut(rows.mapInArrow(run, schema), "lm-scores")
+    scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(run, schema)
     # what the rare words add: their counts are met by a join, where each word is one key of small count
-    rare = held.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
     met = rare.join(counts.where(F.col("n") < least).select("word", "n"), "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     added = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("added"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("met"))
     plus = F.coalesce("added", F.lit(0.0))
-    return held.drop("rare", "times").join(added, "row", "left").select(
+    return scored.join(added, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(voc.total).cast("long").alias("train_tokens"),
         (F.col("base") + plus - F.col("n_tokens") * float(voc.denominator)).alias("base_score"), (F.col("model") + plus).alias("score"))

@@ -285,6 +285,25 @@ def test_language_model_grows_with_the_vocabulary():
     assert (lm._order(r) == np.argsort(r, kind="stable")).all()
 
 
+@pytest.mark.parametrize("width", [6, 7])
+def test_language_model_sums_gradients_by_row(width):
+    rng = np.random.default_rng(width)
+    rows, grad = rng.integers(0, 40, 500) ** 2 // 30, rng.normal(size=(500, width)).astype(np.float32)
+    table, seen = np.zeros((60, width), dtype=np.float32), np.zeros(60, dtype=np.float32)
+    lm._climb(table, seen, [rows], grad)
+    n = np.bincount(rows, minlength=60)
+    want = np.stack([grad[rows == k].sum(axis=0) * lm.STEP / (n[k] + lm.DAMP) for k in range(60)])
+    assert (seen == n).all() and np.abs(table - want).max() < 1e-5
+
+
+def test_language_model_contexts_by_slices():
+    ids, first = np.arange(10, dtype=np.int32) + 5, np.array([0, 4, 5])
+    whole = lm.contexts(ids, first)
+    assert whole[0].tolist() == [0, 6, 7, 8, 0, 0, 11, 12, 13, 14] and whole[2].tolist() == [0, 0, 0, 6, 0, 0, 0, 0, 11, 12]
+    for a, b in zip(whole, lm.contexts(ids, first, 3, 7)):
+        assert (a[3:7] == b).all()
+
+
 def test_toxicity_learns_a_planted_word():
     rng = np.random.default_rng(2)
     texts = [(" ".join(rng.choice([f"w{k}" for k in range(400)], 60)) + (" vileword" if k % 4 == 0 else "")).encode() for k in range(600)]

@@ -185,6 +185,25 @@ def test_language_model_counts_and_base(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_gains_on_held_out_texts_whatever_the_partitions(spark, monkeypatch):
+    """Words that follow each other in pairs: the model has to learn them. Partitions and copies do not change a score."""
+    rng = np.random.default_rng(11)
+    pairs = [f"a{k} b{k}" for k in range(60)]
+    made = [(k, " ".join(rng.choice(pairs, 40)), "en") for k in range(1500)]
+    d = spark.createDataFrame(made, "doc_id long, text string, row string")
+    one = {r["doc_id"]: r for r in lm.score(d.repartition(1)).collect()}
+    many = {r["doc_id"]: r for r in lm.score(d.repartition(7)).collect()}
+    held = [r for r in one.values() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in held)
+    assert sum(r["score"] - r["base_score"] for r in held) / n > 0.3
+    assert all(abs(one[k]["score"] - many[k]["score"]) < 1e-9 for k in one)
+    copies = spark.createDataFrame([(k, made[0][1]) for k in range(3000, 3400)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(lm, "train", lambda texts, voc, known: (seen.append([r["key"] for r in texts.select("key").collect()]), voc.weights())[1])
+    lm.score(copies)
+    assert len(set(seen[0])) == len(seen[0]) > 300
+
+
 def test_toxicity_learns_and_keeps_rows(spark, docs, empty):
     rng = np.random.default_rng(3)
     made = [(k, " ".join(rng.choice([f"w{j}" for j in range(200)], 40)) + (" vile" if k % 5 == 0 else ""), "en", "s") for k in range(700)]
