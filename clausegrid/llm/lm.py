@@ -22,6 +22,7 @@ the model does not depend on the cluster or on how the table is stored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -70,11 +71,16 @@ def _starts(bias: int, rows: tuple[int, ...], side: int, width: int) -> np.ndarr
 
 
 class _Index(dict):
-    """Word to its place among the head words; other words to len(head) plus the number of their ending."""
+    """Word to its place among the head words; other words, which are noted, to len(head) plus the number of their ending."""
 
     head = 0
 
+    def __init__(self, words):
+        super().__init__(words)
+        self.noted: list[bytes] = []
+
     def __missing__(self, word):
+        self.noted.append(word)
         return self.head + ending_class(word)
 
 
@@ -133,6 +139,11 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
     return (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
 
 
+def _spread(mixed: np.ndarray, n: int, start: int) -> np.ndarray:
+    """Numbers of 44 bits to n rows (under 2^20) from ``start`` on, by a product in place of a remainder."""
+    return (mixed * np.uint64(n) >> np.uint64(44)).astype(np.int64) + start
+
+
 def contexts(ids: np.ndarray, first: np.ndarray, lo: int = 0, hi: int | None = None) -> list[np.ndarray]:
     """The words one, two and three before each of the tokens lo to hi; 0 before a text's first. first: texts' starts."""
     at = np.arange(lo, len(ids) if hi is None else min(hi, len(ids)))
@@ -143,25 +154,33 @@ def contexts(ids: np.ndarray, first: np.ndarray, lo: int = 0, hi: int | None = N
 def class_rows(before: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
     one, two, three = before
     keys = (_mix(one, 1), _mix(one * (1 << 20) + two, 2), _mix(two, 3), _mix(three, 4))
-    return [(k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, np.diff(at), at)]
+    return [_spread(k, n, s) for k, n, s in zip(keys, np.diff(at), at)]
 
 
 def word_rows(before: list[np.ndarray], cls: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     keys = (_mix(before[0] * 512 + cls, 5), _mix(before[1] * 512 + cls, 6))
-    return [cls.astype(np.int64), *((k % np.uint64(n)).astype(np.int64) + s for k, n, s in zip(keys, np.diff(at), at))]
+    return [cls.astype(np.int64), *(_spread(k, n, s) for k, n, s in zip(keys, np.diff(at), at))]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    """In place; sums are products with ones."""
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z) @ np.ones(z.shape[1], dtype=np.float32))[:, None]
-    return z
+def _exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp(z), its sums by row) up to a factor a row, which z is shifted by where it has to be; sums are products with ones."""
+    ones = np.ones(z.shape[1], dtype=np.float32)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if not 1e-30 < total.min() <= total.max() < 1e38:
+        z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e @ ones
+    return e, total
 
 
-def _sum_rows(table: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+def _sum_rows(table: np.ndarray, rows: list[np.ndarray], bias: np.ndarray | None = None) -> np.ndarray:
     out = np.take(table, rows[0], axis=0)
     for r in rows[1:]:
         out += np.take(table, r, axis=0)
+    if bias is not None:
+        out += bias
     return out
 
 
@@ -206,17 +225,24 @@ def _climb(table: np.ndarray, seen: np.ndarray, rows: list[np.ndarray], grad: np
         n = n.astype(np.float32)
         out *= (np.float32(STEP) / (n + np.float32(DAMP)))[:, None]
         own = s[first]
-        table[own] += out
+        out += np.take(table, own, axis=0)
+        table[own] = out
         seen[own] += n
 
 
 def _gradient(z: np.ndarray, true: np.ndarray) -> np.ndarray:
     """Of the log likelihood by the logits: one for the true one, less every one's probability."""
-    grad = np.negative(np.exp(_log_softmax(z), out=z), out=z)
+    grad, total = _exponentials(z)
+    grad *= (np.float32(-1) / total)[:, None]
     grad[np.arange(len(grad)), true] += 1
     return grad
 
 
+def _log_probability(z: np.ndarray, true: np.ndarray) -> np.ndarray:
+    total = _exponentials(z)[1]  # may shift z
+    return z[np.arange(len(z)), true] - np.log(total)
+
+
 def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary, ids: np.ndarray, first: np.ndarray) -> None:
     """Gradient steps on the tokens, BATCH at a time, in place."""
     c, w = weights
@@ -225,7 +251,7 @@ def train_on(weights: list[np.ndarray], seen: list[np.ndarray], voc: Vocabulary,
         part = slice(k, k + BATCH)
         own = contexts(ids, first, k, k + BATCH)
         rows = class_rows(own, voc.class_at)
-        grad = _gradient(_sum_rows(c, rows) + c[0], cls[part])
+        grad = _gradient(_sum_rows(c, rows, c[0]), cls[part])
         _climb(c, seen[0], rows, grad)
         c[0] += STEP * (np.ones(len(grad), dtype=np.float32) @ grad) / (len(grad) + DAMP)
         seen[0][0] += len(grad)
@@ -244,12 +270,10 @@ def log10_model(weights: list[np.ndarray], voc: Vocabulary, ids: np.ndarray, fir
     for k in range(0, len(ids), BATCH):
         part = slice(k, k + BATCH)
         own = contexts(ids, first, k, k + BATCH)
-        z = _sum_rows(c, class_rows(own, voc.class_at)) + c[0]
-        lp = _log_softmax(z)[np.arange(len(z)), cls[part]].astype(np.float64)
+        lp = _log_probability(_sum_rows(c, class_rows(own, voc.class_at), c[0]), cls[part]).astype(np.float64)
         weighted = np.flatnonzero(slot[part] >= 0)
         if len(weighted):
-            z = _sum_rows(w, word_rows([b[weighted] for b in own], cls[part][weighted], voc.word_at))
-            lp[weighted] += _log_softmax(z)[np.arange(len(z)), slot[part][weighted]]
+            lp[weighted] += _log_probability(_sum_rows(w, word_rows([b[weighted] for b in own], cls[part][weighted], voc.word_at)), slot[part][weighted])
         out[part] = lp / np.log(10) - voc.log_mass[cls[part]]
     return out
 
@@ -302,15 +326,17 @@ def encode(rows: DataFrame, known, keep: list[str]) -> DataFrame:
     def run(batches):
         index = known.value.index()
         end_known, get, end = END in index, index.__getitem__, index[END]
+        index.noted.clear()
         for b in batches:
             out: dict[str, list] = {"ids": [], "rare": [], "times": []}
             for t in utf8(b.column("text")):
-                own = t.lower().split()
-                ids = np.fromiter(map(get, own), dtype=np.int32, count=len(own))
-                rare = Counter(own[k] for k in np.flatnonzero(ids >= index.head))
+                ids = array("i", map(get, t.lower().split()))
+                ids.append(end)
                 if not end_known:
-                    rare[END] += 1
-                out["ids"].append(np.append(ids, np.int32(end)).tobytes())
+                    index.noted.append(END)
+                rare = Counter(index.noted)
+                index.noted.clear()
+                out["ids"].append(ids.tobytes())
                 out["rare"].append(list(rare))
                 out["times"].append(list(rare.values()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out["ids"], pa.binary()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int32()))], names=schema.names)
