@@ -42,11 +42,18 @@ _ROLES = frozenset("navigation banner contentinfo complementary search alert ale
 #: Parts of class names and ids that mark what is not the article.
 _COMMENTS = frozenset("comment comments commentlist commenters disqus reply replies respond discussion guestbook usercomments ugc".split())
 _OTHER = frozenset((
-    "ad ads adbox adslot adunit adsense advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner "
-    "nav navbar navigation menu menus submenu sidebar sidebars aside rail footer foot masthead topbar breadcrumb breadcrumbs crumbs pagination pager "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox newsletter subscribe subscription signup signin login paywall "
-    "share sharing social follow related recommended recommendations trending popular teaser teasers widget widgets toolbar tools search skip hidden print "
-    "copyright legal disclaimer tagcloud tags outbrain taboola").split())
+    "ad ads adbox adslot adunit adsense advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos banner "
+    "nav navbar navigation menu menus submenu sidebar sidebars aside footer masthead topbar breadcrumb breadcrumbs crumbs pagination pager "
+    "cookie cookies consent gdpr notice notices notification popup modal lightbox newsletter subscribe subscription signup signin login paywall "
+    "sharing teaser teasers widget widgets toolbar hidden copyright tagcloud outbrain taboola").split())
+#: These mark it only in a name that says nothing else: its other parts are neutral, or mark it too.
+_MAYBE = frozenset("related recommended recommendations trending popular follow social legal disclaimer search print skip tools tags share rail foot promotion overlay alert".split())
+_NEUTRAL = frozenset((
+    "post posts article articles story stories page site link links list lists box block blocks bar area item items section sections wrap wrapper container content contents group inner outer "
+    "main top bottom left right news video videos more also module panel region zone unit button buttons btn icon icons count title heading col column row grid card cards form field text").split())
+#: A header is no part of the article unless it stands in it, or its name says that it is the article's own.
+_HEADER = frozenset("header pageheader siteheader".split())
+_OWN = frozenset("article entry post story".split())
 _WITHOUT = frozenset("has with no without is show hide toggle".split())
 _ARTICLE = frozenset("article articlebody content entry post story body text main maincontent".split())
 
@@ -63,10 +70,11 @@ def _parts(value: str) -> list[str]:
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "junk", "items", "mass", "links", "n_links", "waste", "bonus", "depth")
+    __slots__ = ("tag", "parent", "path", "junk", "inside", "items", "mass", "links", "n_links", "waste", "bonus", "depth")
 
-    def __init__(self, tag, parent, path, junk, bonus, depth):
+    def __init__(self, tag, parent, path, junk, inside, bonus, depth):
         self.tag, self.parent, self.path, self.junk, self.bonus, self.depth = tag, parent, path, junk, bonus, depth
+        self.inside = inside  # an article, or an element of one
         self.items: list = []  # child nodes and strings, in order
         self.mass = self.links = self.n_links = self.waste = 0
 
@@ -89,19 +97,23 @@ def _is_junk(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
             own = _parts(word)
             if own and own[0] in _WITHOUT:
                 continue
-            if not _COMMENTS.isdisjoint(own):
+            joined = "".join(own)
+            if not _COMMENTS.isdisjoint(own) or joined in _COMMENTS:
+                return True
+            if tag in ("article", "main"):
+                continue
+            if not _OTHER.isdisjoint(own) or joined in _OTHER:
                 return True
-            if tag not in ("article", "main") and not _OTHER.isdisjoint(own):
+            if (not _MAYBE.isdisjoint(own) or joined in _MAYBE) and all(p in _MAYBE or p in _NEUTRAL or p.isdigit() or joined in _MAYBE for p in own):
                 return True
-            joined = "".join(own)
-            if joined in _COMMENTS or (tag not in ("article", "main") and joined in _OTHER):
+            if not in_article and (not _HEADER.isdisjoint(own) or joined in _HEADER) and _OWN.isdisjoint(own):
                 return True
     return False
 
 
 def parse(html: str) -> _Node:
     """The page as a tree. Any input gives one: unclosed, crossed and cut-off markup is closed as it comes."""
-    root = _Node("root", None, "", False, 1.0, 0)
+    root = _Node("root", None, "", False, False, 1.0, 0)
     stack = [root]
     at, end = 0, len(html)
 
@@ -144,13 +156,13 @@ def parse(html: str) -> _Node:
                     break
         up = stack[-1]
         attrs = _attributes(m[3] or m[6] or "") if (m[3] or m[6] or "").strip(" /\t\r\n") else {}
-        in_article = tag == "header" and any(n.tag == "article" for n in stack)
         step = _step(tag, attrs)
         bonus = 1.3 if tag == "article" or attrs.get("itemprop", "").lower() == "articlebody" else 1.15 if tag == "main" or attrs.get("role") == "main" else 1.0
         if bonus == 1.0 and attrs and tag in _CONTAINER and not _ARTICLE.isdisjoint(_parts(attrs.get("class", "") + " " + attrs.get("id", ""))):
             bonus = 1.1
         deep = up.depth < 32
-        node = _Node(tag, up, f"{up.path}/{step}" if deep else up.path, up.junk or _is_junk(tag, attrs, in_article), bonus, up.depth + 1)
+        inside = up.inside or bonus == 1.3 or bonus == 1.1 and not _OWN.isdisjoint(_parts(attrs.get("class", "") + " " + attrs.get("id", "")))
+        node = _Node(tag, up, f"{up.path}/{step}" if deep else up.path, up.junk or _is_junk(tag, attrs, up.inside), inside, bonus, up.depth + 1)
         up.items.append(node)
         if tag in _VOID or (m[3] or m[6] or "").endswith("/") and tag not in _BLOCK and tag not in _RAW:
             continue
@@ -205,7 +217,8 @@ def votes(html: str) -> list[tuple[str, float]]:
 
 
 def _is_menu(n: _Node) -> bool:
-    return n.tag in ("ul", "ol", "div", "section", "table", "p") and n.n_links >= 3 and n.links > 0.6 * n.mass
+    """Three links or more, short ones, and hardly anything else; a paragraph is none."""
+    return n.tag in ("ul", "ol", "div", "section", "table") and n.n_links >= 3 and n.links > 0.8 * n.mass and n.links < 40 * n.n_links
 
 
 def blocks(container: _Node) -> list[str]:
