@@ -3,9 +3,10 @@
 Words are hashed to two rows of one embedding table and their vectors added, so that two
 words share a vector only if both rows collide. Filters of several widths slide over a
 text's vectors; each filter's maximum over the whole text feeds a logistic output. The
-training sample is bounded (SAMPLE rows of a class, of WORDS words at most); scoring reads
-every text whole. A verdict threshold is chosen for each language from the out-of-fold scores
-of all labelled rows, of any length; the score itself knows nothing but the text.
+training sample is bounded (SAMPLE rows of a class, SAMPLE_BYTES of their whole texts in all),
+whatever the lengths of its texts; scoring reads every text whole. A verdict threshold is
+chosen for each language from the out-of-fold scores of all labelled rows; the score itself
+knows nothing but the text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,9 @@ from .decontaminate import words
 
 #: Labelled rows of each class that training takes at most, chosen by the hash of their id.
 SAMPLE = 4000
-#: A longer text is not taken for training.
-WORDS = 2000
+#: Bytes of text of each class that training takes at most: rows are taken in the same order while they fit in; only a
+#: text that is larger by itself cannot be one of them.
+SAMPLE_BYTES = 1 << 25
 ROWS, WIDTH, FILTERS, WIDTHS = 1 << 17, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE = 4, 64, 0.05
 #: Toxic calibration rows that a language needs for a threshold of its own.
@@ -242,7 +244,8 @@ def _fold():
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on labelled rows outside the held-out fold (crc32 of the id as text mod 4 is 2).
 
-    A document with several labels counts as toxic if one says so. Null ids, texts and marks are left out. Without
+    A document with several labels counts as toxic if one says so. Null ids and marks are left out; a null text has no
+    words; rows that repeat an id are trained on once and counted for thresholds each. Without
     rows of both classes the model is a constant: the share of toxic labels, shrunk to 0.
     """
     spark = docs.sparkSession
@@ -252,14 +255,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     key = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = marks.where("toxic = 0").orderBy(key, "doc_id").limit(SAMPLE).unionByName(marks.where("toxic = 1").orderBy(key, "doc_id").limit(SAMPLE))
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")  # 2 * SAMPLE ids at most
+    # 2 * SAMPLE ids at most, here and in what follows
+    sized = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.coalesce(F.max("size"), F.lit(0)).alias("size"))
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = sized.where(F.col("size") <= SAMPLE_BYTES).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "toxic")
+    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(fitting), "doc_id")
 
     def run(batches):
         for b in batches:
-            ids = [word_hashes(t) for t in utf8(b.column("text"))]
-            short = pa.array([len(i) <= WORDS for i in ids], pa.bool_())
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("toxic"), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
-            yield out.filter(short)
+            ids = [word_hashes(t).tobytes() for t in utf8(b.column("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("toxic"), pa.array(ids, pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.BinaryType())])
     got = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).withColumn("fold", _fold()).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()
@@ -319,7 +324,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score stays below their language's threshold, with all their columns."""
+    """The rows of ``docs`` whose score stays below their language's threshold, with all their columns.
+
+    Nulls, empty texts and repeated rows are treated as in ``score``; null languages are one of their own. Without labels
+    of both classes nothing is rejected; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def build(b, s):
