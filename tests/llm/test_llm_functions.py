@@ -112,12 +112,14 @@ def test_base_counts_by_definition(text):
 def test_chi2_quantile():
     assert abs(quality.chi2_quantile(0.99, 7) - 18.475) < 0.05
     assert abs(quality.chi2_quantile(0.5, 7) - 6.346) < 0.05
+    assert abs(quality.chi2_share(18.475, 7) - 0.99) < 0.001 and abs(quality.consistency(0.5, 7) - 1 / 0.6036) < 0.05 and quality.consistency(1.0, 7) == 1
 
 
 def brute_hits(docs, items, window):
+    """(hit words, items, longest match as (words, place, item)) of each document, by the definition."""
     out = []
     for d in docs:
-        hit, names = set(), set()
+        hit, names, best = set(), set(), None
         for name, own in items:
             m = min(window, len(own))
             for k in range(len(own) - m + 1 if own else 0):
@@ -125,30 +127,48 @@ def brute_hits(docs, items, window):
                     if d[p:p + m] == own[k:k + m]:
                         hit.update(range(p, p + m))
                         names.add(name)
-        out.append((len(hit), names))
+                        n = m
+                        while p + n < len(d) and k + n < len(own) and d[p + n] == own[k + n]:
+                            n += 1
+                        best = min(best or (0,), (-n, p, name))
+        out.append((len(hit), names, best and (-best[0], *best[1:])))
     return out
 
 
+def shown(found):
+    return [(int(h.sum()), n, best) for h, n, best in zip(*found)]
+
+
 @pytest.mark.parametrize("window", [2, 4, 10])
 @pytest.mark.parametrize("blocks", [1, 3])
-def test_suffix_arrays_find_every_window(window, blocks):
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 20])
+def test_suffix_arrays_find_every_window_and_longest_match(window, blocks, pairs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
     rnd = random.Random(window)
-    words = [f"w{k}".encode() for k in range(6)]
+    words = [f"w{k}".encode() for k in range(4)]
     docs = [[rnd.choice(words) for _ in range(rnd.randint(0, 60))] for _ in range(30)]
     items = [(f"i{k}", [rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 8, 14]))]) for k in range(9)]
-    items += [("copy", items[3][1]), ("cut", docs[4][3:20] or [b"w0"])]
+    items += [("copy", items[3][1]), ("cut", docs[4][3:20] or [b"w0"]), ("long", docs[7][2:31]), ("same", [b"w1"] * 25)]
+    docs += [[b"w1"] * 40, docs[7][5:] + docs[4]]
     made = [decontaminate.make_block(items[k::blocks], window) for k in range(blocks)]
-    hit, names, _ = decontaminate.search_shard(docs, made)
-    assert [(int(h.sum()), n) for h, n in zip(hit, names)] == brute_hits(docs, items, window)
+    assert shown(decontaminate.search_shard(docs, made, longest=True)) == brute_hits(docs, items, window)
+    assert decontaminate.search_shard(docs, made)[2] == [None] * len(docs)
+
+
+def test_a_match_goes_on_through_the_pieces_of_an_item():
+    rnd = random.Random(3)
+    own = [f"w{rnd.randint(0, 5)}".encode() for _ in range(90)]
+    pieces = [("i", own[k:k + 20], k) for k in range(0, 81, 11)]
+    docs = [own, own[4:70], [b"x", *own[15:60], b"y"], own[30:45], own[::-1], []]
+    for blocks in ([pieces], [[p] for p in pieces]):
+        made = [decontaminate.make_block(b, 10) for b in blocks]
+        assert shown(decontaminate.search_shard(docs, made, longest=True)) == brute_hits(docs, [("i", own)], 10)
 
 
-def test_longest_match_and_its_place():
-    block = decontaminate.make_block([("i", b"a b c d e f g h".split())], 4)
-    for text, length in ((b"x a b c d e f g y", 7), (b"a b c q", 3), (b"a b q", 0), (b"", 0)):
-        assert decontaminate.search_shard([text.split()], [block], longest=True)[2] == [length]
-    ids = np.array([0, 1, 2, 3, 4, 5, 0], dtype=np.int32)
-    best, where = decontaminate.longest_matches(ids, *decontaminate.suffix_array(ids, block), block)
-    assert best[0] == 5 and where[0] == 1 and best[2] == 3 and where[2] == 3 and where[5] == -1
+def test_a_short_item_leaves_the_array_sparse():
+    block = decontaminate.make_block([("one", [b"a"]), ("long", b"a b c d e f g h i j k".split())], 10)
+    ids = np.array([2, 2, 1, 2, 3, 3, 1, 0], dtype=np.int32)  # b b a b c c a, then a word of no item
+    assert sorted(decontaminate.suffix_array(ids, block)[0].tolist()) == [2, 6]
 
 
 def test_words_of_decontamination():
@@ -240,9 +260,14 @@ def test_html_edges():
 
 
 def test_branches_merge_only_when_alike():
-    got = urlfilter.merge_branches(["a", "b", "c", "d"], [1000, 1000, 1000, 0], [900, 905, 100, 0])
-    assert got["a"] == got["b"] == "a|b|d" or got["a"] == got["b"]
-    assert got["c"] != got["a"]
+    assert urlfilter.merge_bins([1000, 1000, 1000, 3], [100, 900, 905, 3]) == [0, 1, 1, 1]
+    assert urlfilter.merge_bins([], []) == [] and urlfilter.merge_bins([2, 2], [0, 2]) == [0, 0]
+
+
+def test_threshold_is_the_best_on_held_out_labels():
+    assert urlfilter.choose_threshold([]) == urlfilter.choose_threshold([(0.9, 10, 9), (0.7, 10, 6)]) == urlfilter.THRESHOLD
+    assert urlfilter.choose_threshold([(0.66, 4, 0), (0.9, 100, 95)]) == 0.67
+    assert urlfilter.choose_threshold([(0.2, 10, 1), (0.4, 10, 8), (0.9, 9, 9)]) == 0.4
 
 
 def test_language_model_is_a_distribution():
@@ -314,3 +339,25 @@ def test_toxicity_learns_a_planted_word():
     s = model.scores(hashed[500:])
     assert ((s >= 0.3) == (y[500:] == 1)).mean() > 0.97
     assert 0 <= model.scores([toxicity.word_hashes(b"")])[0] <= 1
+
+
+def test_toxicity_wide_filters_learn_an_order():
+    """Two words that are toxic only side by side, in this order: both stand in every text, so no single word tells."""
+    rng = np.random.default_rng(6)
+    rest = [f"w{k}" for k in range(100)]
+
+    def text(toxic):
+        own = list(rng.choice(rest, 30))
+        at = sorted(rng.choice(28, 2, replace=False))
+        if toxic:
+            own[at[0]:at[0]] = ["red", "blue"]
+        else:
+            own[at[1] + 1:at[1] + 1] = ["red"]
+            own[at[0]:at[0]] = ["blue"]
+        return " ".join(own).encode()
+
+    y = np.array([float(k % 2) for k in range(3000)])
+    hashed = [toxicity.word_hashes(text(v)) for v in y]
+    model = toxicity.train(hashed[:2400], y[:2400], np.ones(2400))
+    right = ((model.logits(hashed[2400:]) > 0) == (y[2400:] == 1)).mean()
+    assert right > 0.9

@@ -93,23 +93,30 @@ def test_keep_one_keeps_one_row_of_each_group(docs):
 def test_contamination_by_brute_force(spark, docs, empty):
     all_rows = rows()
     passage = " ".join(all_rows[7][1].split()[2:14])
-    items = [(1, passage), (2, passage), (3, "w1"), (4, None), (5, "!!!"), (6, "absent words " * 9), (None, all_rows[8][1])]
+    items = [(1, passage), (2, passage), (3, "w1"), (4, None), (5, "!!!"), (6, "absent words " * 9), (None, all_rows[8][1]), (7, " ".join(t for _, t, _, _ in all_rows[11:13]))]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     tidy = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     for block in (1 << 20, 7):
         got = decontaminate.contamination(docs, bench, 10, block).collect()
         want = []
         for i, t, _, _ in all_rows:
-            w, hit, names = tidy(t), set(), set()
+            w, hit, names, best = tidy(t), set(), set(), (0, None, None)
             for name, text in items:
                 own = tidy(text)
                 m = min(10, len(own))
-                heads = {tuple(own[k:k + m]) for k in range(len(own) - m + 1)} if own else set()
+                heads = defaultdict(list)
+                for k in range(len(own) - m + 1 if own else 0):
+                    heads[tuple(own[k:k + m])].append(k)
                 for p in range(len(w) - m + 1) if heads else ():
-                    if tuple(w[p:p + m]) in heads:
+                    for k in heads.get(tuple(w[p:p + m]), ()):
                         hit.update(range(p, p + m))
                         names.add("" if name is None else str(name))
-            want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+                        n = m
+                        while p + n < len(w) and k + n < len(own) and w[p + n] == own[k + n]:
+                            n += 1
+                        if best[0] == 0 or (-n, p, "" if name is None else str(name)) < (-best[0], *best[1:]):
+                            best = (n, p, "" if name is None else str(name))
+            want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit), *best))
         assert same(got, want)
     clean = decontaminate.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(not r[5] for r in want)
@@ -196,7 +203,7 @@ def test_language_model_gains_on_held_out_texts_whatever_the_partitions(spark, m
     held = [r for r in one.values() if r["held_out"]]
     n = sum(r["n_tokens"] for r in held)
     assert sum(r["score"] - r["base_score"] for r in held) / n > 0.3
-    assert all(abs(one[k]["score"] - many[k]["score"]) < 1e-9 for k in one)
+    assert all(abs(one[k]["score"] - many[k]["score"]) < 1e-3 for k in one)  # sums of 32-bit numbers
     copies = spark.createDataFrame([(k, made[0][1]) for k in range(3000, 3400)], "doc_id long, text string")
     seen = []
     monkeypatch.setattr(lm, "train", lambda texts, voc, known: (seen.append([r["key"] for r in texts.select("key").collect()]), voc.weights())[1])
@@ -227,7 +234,6 @@ def test_toxicity_thresholds_count_every_labelled_row(spark, monkeypatch):
     d = spark.createDataFrame([(k, t, "fr" if k % 2 == 0 else "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(500)], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "SAMPLE", 30)
-    monkeypatch.setattr(toxicity, "WORDS", 100)
     seen = []
     keep = toxicity.set_thresholds
     monkeypatch.setattr(toxicity, "set_thresholds", lambda m, c: (seen.append(c := list(c)), keep(m, c)))
@@ -240,6 +246,20 @@ def test_toxicity_thresholds_count_every_labelled_row(spark, monkeypatch):
     assert "fr" in model.thresholds
 
 
+def test_toxicity_trains_on_texts_of_any_length(spark, monkeypatch):
+    """Texts are taken in hash order while they fit in; the long ones are toxic here, and none is left out for its length."""
+    seen = []
+    keep = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, *a: (seen.append(sorted(map(len, texts))), keep(texts, *a))[1])
+    d = spark.createDataFrame([(k, " ".join(["calm"] * (4000 if k % 5 == 0 else 20))) for k in range(60)] + [(3, "calm " * 20), (61, None)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(62)], "doc_id long, toxic int")
+    toxicity.fit(d, labels)
+    assert seen[-1].count(4000) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(0, 60, 5))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5 * 20_000)
+    toxicity.fit(d, labels)
+    assert 4 <= seen[-1].count(4000) <= 5
+
+
 def test_quality_by_plain_numpy(spark, docs, empty, monkeypatch):
     got = {(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judge(docs).collect()}
     want = {(*quality.counts((t or "").encode())[:5], quality.base_failed(*(quality.counts((t or "").encode())[k] for k in (0, 4)))) for _, t, _, _ in rows()}
@@ -253,17 +273,61 @@ def test_quality_by_plain_numpy(spark, docs, empty, monkeypatch):
     assert all(out[k]["kept"] for k in range(500)) and not any(out[k]["kept"] for k in range(500, 570))
     kept = quality.keep_good(d)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == set(range(500))
-    # the estimate itself, by plain concentration steps from the same starts
-    x = np.array([quality.counts(t.encode())[5] for t in clean + junk])
-    floor = np.diag(np.square(quality.FLOORS))
-    m, s = np.median(x, axis=0), np.diag((1.4826 * np.median(abs(x - np.median(x, axis=0)), axis=0)) ** 2) + floor
-    for _ in range(quality.STEPS):
-        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-        core = np.argsort(d2)[:int(quality.CORE * len(x)) + 1]
-        m, s = x[core].mean(axis=0), np.cov(x[core].T, bias=True) + floor
-    d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    # the estimate itself and the verdict, by plain numpy; one group: language and corpus are drawn to themselves
+    raw = [quality.counts(t.encode()) for t in clean + junk]
+    x, shares = np.array([r[5] for r in raw]), np.array([quality.vector(r[0], r[6], r[5])[7:] for r in raw])
+    mean, cov = plain_mcd(x, shares)
+    d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
     mine = np.array([out[k]["distance2"] for k in range(len(x))])
-    assert np.abs(np.log((mine + 1) / (d2 + 1))).max() < 0.15
+    assert np.abs(np.log((mine + 1) / (d2 + 1))).max() < 0.1
+    assert [out[k]["kept"] for k in range(len(x))] == [not out[k]["base_failed"] and mine[k] <= quality.chi2_quantile(0.99, 7) for k in range(len(x))]
+
+
+def plain_mcd(x, shares):
+    """Concentration steps from medians and absolute deviations and from sign correlations, then reweighting."""
+    p = x.shape[1]
+
+    def fit(at, share):
+        noise = np.array([c * shares[at].mean(axis=0)[int(of == "lines")] for c, of in quality.NOISE])
+        c = np.cov(x[at].T, bias=True) * quality.consistency(share, p)
+        return x[at].mean(axis=0), c + np.diag(np.maximum(noise - np.diag(c), 0))
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    mid = np.median(x, axis=0)
+    dev = 1.4826 * np.median(abs(x - mid), axis=0)
+    m, c = mid, np.diag(dev**2 + 1e-3)
+    for _ in range(quality.STEPS):
+        core = np.argsort(distance(m, c))[:int(quality.CORE * len(x)) + 1]
+        m, c = fit(core, len(core) / len(x))
+    for _ in range(quality.REWEIGHTS):
+        m, c = fit(np.flatnonzero(distance(m, c) <= quality.chi2_quantile(quality.WITHIN, p)), quality.WITHIN)
+    return m, c
+
+
+def test_robust_estimate_rejects_its_share_of_gaussian_data(spark):
+    """With a fifth of outliers, about one in a hundred of the rest is beyond the 99 % quantile, and scales are the data's."""
+    rng = np.random.default_rng(7)
+    root = rng.normal(size=(7, 7)) * np.array([1, 2, 0.5, 3, 1, 1, 0.2])
+    good = rng.normal(size=(4000, 7)) @ root + 5
+    bad = rng.normal(size=(1000, 7)) * 0.3 + 60
+    x = np.concatenate([good, bad])
+    rows = spark.createDataFrame([(["g"], [*map(float, v), 1e-9, 1e-9]) for v in x], "keys array<string>, x array<double>")
+    m = quality.mcd_models(rows).first()
+    mean, cov = np.array(m["mean"]), np.array(m["cov"]).reshape(7, 7)
+    d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    out = d2 > quality.chi2_quantile(0.99, 7)
+    assert out[4000:].all() and 0.005 < out[:4000].mean() < 0.015 and abs(np.median(d2[:4000]) - 6.35) < 0.4
+    assert np.abs(np.sqrt(np.diag(cov)) / np.sqrt(np.diag(root.T @ root)) - 1).max() < 0.06
+
+
+def test_groups_are_drawn_to_their_wholes_without_a_step():
+    mean, cov = np.ones(2), np.eye(2)
+    near, far = np.zeros(2), 4 * np.eye(2)
+    pulled = [quality.shrunk(n, mean, cov, (near, far))[0][0] for n in (*range(400), 10**6)]
+    assert all(0 < b - a < 0.01 for a, b in zip(pulled, pulled[1:400]))
+    assert quality.shrunk(0, mean, cov, (near, far))[1].tolist() == far.tolist() and abs(pulled[-1] - 1) < 1e-3
 
 
 def test_urls_by_rule_and_by_tree(spark):
@@ -281,10 +345,35 @@ def test_urls_by_rule_and_by_tree(spark):
     got = urlfilter.judge_urls(p, labels).collect()
     assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got) and {r["template"] for r in got} == {"//spam/#", "//news/#"}
     wide = spark.createDataFrame([(k, f"http://site.it/{chr(97 + k % 26)}{chr(97 + k // 26)}x/y") for k in range(300)], "page_id long, url string")
-    assert {r["template"] for r in urlfilter.judge_urls(wide, labels.limit(0)).collect()} == {"//*/y"}
+    assert {r["template"] for r in urlfilter.judge_urls(wide, labels.limit(0)).collect()} == {"/*/*/*"}
     assert urlfilter.judge_urls(p.limit(0), labels).count() == 0
 
 
+def test_one_bad_branch_among_hundreds_is_blocked(spark):
+    """At any fan: thin segments are one wildcard, whatever their few labels say; a well-labelled bad one stands out."""
+    made = [(k, f"http://s.it/a{chr(97 + k % 20)}{chr(97 + k // 20 % 10)}/{k}", 1) for k in range(4000)]  # 200 good sections
+    made += [(5000 + k, f"http://s.it/bad/{k}", 0) for k in range(60)]
+    made += [(6000 + k, f"http://s.it/t{chr(97 + k % 26)}{chr(97 + k // 26)}/x", int(k % 10 > 0)) for k in range(500)]  # one label each
+    p = spark.createDataFrame([r[:2] for r in made], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in made], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in urlfilter.judge_urls(p, labels).collect()}
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == set(range(5000, 5060))
+    assert got[5000]["template"] == "//bad/#" and got[6001]["template"] == "//*/x"
+
+
+def test_branches_with_different_subtrees_stay_apart(spark):
+    """a/x and b/y are bad, a/y and b/x good, three levels down: a and b have one purity and must not be merged."""
+    made = [(k, f"http://s.it/{'ab'[k % 2]}/m/{'xy'[k // 2 % 2]}/{k}", int((k % 2) != (k // 2 % 2))) for k in range(800)]
+    p = spark.createDataFrame([r[:2] for r in made], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in made], "doc_id long, quality int, toxic int")
+    got = urlfilter.judge_urls(p, labels).collect()
+    assert all((r["verdict"] == "allow") == bool(made[r["page_id"]][2]) for r in got)
+    same_kind = [(k, f"http://s.it/{'abcd'[k % 4]}/{k}", int(k % 4 > 1)) for k in range(800)]
+    p = spark.createDataFrame([r[:2] for r in same_kind], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in same_kind], "doc_id long, quality int, toxic int")
+    assert {(r["template"], r["verdict"]) for r in urlfilter.judge_urls(p, labels).collect()} == {("//a+1/#", "block"), ("//c+1/#", "allow")}
+
+
 def test_html_consensus(spark):
     page = lambda k, body: f"<html><body><div class='top'>Site menu</div><div class='box{k}'><p>{body}</p></div><div class='foot'>{'legal words ' * 3}</div></body></html>"
     rows = [(k, f"http://h.it/{k}", page(k, f"Some article text, number {k}, that is long enough to win. " * 4)) for k in range(20)]
@@ -298,6 +387,48 @@ def test_html_consensus(spark):
     assert htmlextract.main_text(p.limit(0)).count() == 0
 
 
+def generated_pages(rng, hosts=12, each=6):
+    """Hosts with layouts of their own; each page with the text that a reader would call its article."""
+    words = [f"word{k}" for k in range(300)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    wraps = ['<article class="a{k}">', '<main>', '<div class="post-content p{k}">', '<div id="story">', '<section class="box{k}">', '<td width="70%">', '<div class="has-sidebar c{k}"><div class="inner">']
+    tops = ['<header><a href="/">Site {s}</a></header>', '<div class="header">SITE HEADER {s}</div>', '<div class="site-header top">Name {s}</div>', '<nav><a href=a>{s}</a></nav>', '<div class="topbar">{s}</div>']
+    sides = ['<aside>{s}</aside>', '<div class="sidebar">{s}</div>', '<div class="related-posts">{s}</div>', '<ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul>', '<div id="cookie-notice">{s}</div>',
+             '<div class="ad-slot">{s}</div>', '<form><label>{s}</label><input></form>', '<section id="comments"><div class="comment">{s} {s}</div></section>', '<div class="social share"><a href=x>{s}</a></div>']
+    feet = ['<footer>{s}</footer>', '<div class="footer">{s}</div>', '<div id="newsletter">{s}</div>']
+    fill = lambda t: t.format(s=say(6), k=rng.integers(0, 99))
+    out = []
+    for h in range(hosts):
+        wrap = wraps[h % len(wraps)]
+        top, side, foot = rng.choice(tops, 2, replace=False), rng.choice(sides, 3, replace=False), rng.choice(feet, 1)
+        for k in range(each):
+            blocks, html = [], []
+            for b in range(rng.integers(3, 7)):
+                text = say(rng.integers(8, 40))
+                blocks.append(text)
+                html.append({0: "<p>{}</p>", 1: "<p>{}", 2: '<div class="related-work">{}</div>', 3: "<h2>{}</h2>", 4: '<div class="entry-header">{}</div>'}[int(rng.integers(0, 5))].format(text.replace(" ", " \n ", 1)))
+                if rng.random() < 0.3:
+                    html.append(fill('<div class="advert">{s}</div>'))
+            links = [say(2) for _ in range(3)]
+            blocks.append(" and ".join(links))
+            html.append("<p>" + " and ".join(f"<a href=x>{x}</a>" for x in links) + "</p>")
+            opening = fill(wrap)
+            closing = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opening)))
+            if opening.startswith("<td"):
+                opening, closing = "<table><tr>" + opening, closing + "</tr></table>"
+            before, after = "".join(map(fill, top)), "".join(map(fill, [*side, *foot]))
+            out.append((h * 100 + k, f"http://h{h}.it/{k}", f"<html><head><title>t</title></head><body>{before}{opening}{''.join(html)}{closing}{after}</body></html>", "\n\n".join(blocks)))
+    return out
+
+
+def test_html_of_hosts_with_layouts_of_their_own(spark):
+    made = generated_pages(np.random.default_rng(21))
+    p = spark.createDataFrame([r[:3] for r in made], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmlextract.main_text(p).collect()}
+    wrong = [(i, html, got[i], want) for i, _, html, want in made if got[i] != want]
+    assert not wrong, (len(wrong), wrong[0])
+
+
 def test_shared_folder_is_the_sessions():
     class Session:
         conf = {"spark.checkpoint.dir": "file:///shared/here/"}
