@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, id_mod, utf8
+from .common import bounded_batches, cut, id_mod, utf8
 from .decontaminate import words
 
 #: Labelled rows of each class that training takes at most, chosen by the hash of their id.
@@ -213,36 +213,50 @@ def _threshold(n: np.ndarray) -> float:
     return float(GRID[good[0]]) if len(good) else 0.9
 
 
-def _labelled_bins(docs: DataFrame, marks: DataFrame, models: list[Model]):
+def _by_fold(models: list[Model], fold: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """The ``score_bins`` of each text by the model of its fold."""
+    got = np.empty(len(texts), dtype=np.int32)
+    for f, m in enumerate(models):
+        of = np.flatnonzero(fold == f)
+        got[of] = score_bins(m, m.logits([texts[i] for i in of]))
+    return got
+
+
+def _counts(bins: DataFrame, marks: DataFrame) -> list[tuple]:
+    """(lang, toxic, bin, n) over all labelled rows of (doc_id, lang, bin); no text is moved to its label."""
+    return [tuple(r) for r in bins.join(marks, "doc_id").groupBy("lang", "toxic", "bin").count().collect()]
+
+
+def _labelled_bins(docs: DataFrame, marks: DataFrame, models: list[Model]) -> list[tuple]:
     """(lang, toxic, bin, n) over all labelled rows, each scored by the model of its fold, which has not seen it."""
     held = docs.sparkSession.sparkContext.broadcast(models)
-    rows = docs.select("doc_id", "text", "lang").join(marks, "doc_id").select("lang", "toxic", _fold().alias("fold"), "text")
+    rows = docs.select("doc_id", "lang", _fold().alias("fold"), "text").where(id_mod("doc_id", 4) != 2)
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("bin", T.IntegerType())])
 
     def run(batches):
         for b in batches:
-            fold, texts = b.column("fold").to_numpy(), utf8(b.column("text"))
-            got, own, size = np.empty(len(texts), dtype=np.int32), [], 0
-            for k, t in enumerate(texts):
-                own.append(word_hashes(t))
-                size += len(own[-1])
-                if size > 1 << 17 or k + 1 == len(texts):
-                    part = slice(k + 1 - len(own), k + 1)
-                    for f, m in enumerate(held.value):
-                        of = np.flatnonzero(fold[part] == f)
-                        got[part][of] = score_bins(m, m.logits([own[i] for i in of]))
-                    own, size = [], 0
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("toxic"), pa.array(got)], names=["lang", "toxic", "bin"])
-
-    schema = T.StructType([docs.schema["lang"], T.StructField("toxic", T.IntegerType()), T.StructField("bin", T.IntegerType())])
-    return [tuple(r) for r in rows.mapInArrow(run, schema).groupBy("lang", "toxic", "bin").count().collect()]
+            fold = b.column("fold").to_numpy()
+            bins = [_by_fold(held.value, fold[part], texts) for part, texts in _some(b)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(np.concatenate(bins))], names=schema.names)
+
+    return _counts(rows.mapInArrow(run, schema), marks)
 
 
 def _fold():
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int")
+    return F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FOLDS)), F.lit(0)).cast("int")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains on labelled rows outside the held-out fold (crc32 of the id as text mod 4 is 2).
+    """The model of ``train_model`` with thresholds by language from all labelled rows outside the held-out fold."""
+    model, unseen, marks = train_model(docs, labels)
+    if unseen:
+        set_thresholds(model, _labelled_bins(docs, marks, unseen))
+    return model
+
+
+def train_model(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[Model], DataFrame]:
+    """(model, the models that have not seen each fold, labels) from labelled rows outside the held-out fold (crc32 of
+    the id as text mod 4 is 2).
 
     A document with several labels counts as toxic if one says so. Null ids and marks are left out; a null text has no
     words; rows that repeat an id are trained on once and counted for thresholds each. Without
@@ -274,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         model = Model()
         model.constant = n.get(1, 0) / (sum(n.values()) + 20)
         model.default = 0.9
-        return model
+        return model, [], marks
     texts = [np.frombuffer(r["ids"], dtype=np.uint64) for r in got]
     share = n[1] / (n[0] + n[1])  # the sample's classes are weighted back to their share of all labels
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
@@ -287,21 +301,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     calibrate(model, z, y, weight, [r["lang"] for r in got])
     for m in unseen:
         m.scale, m.shift = model.scale, model.shift
-    set_thresholds(model, _labelled_bins(docs, marks, unseen))
-    return model
+    return model, unseen, marks
 
 
-def _score_batches(model, batches, names, build):
-    for b in batches:
-        texts, scores, size = [], [], 0
-        for t in utf8(b.column(b.schema.names.index("text"))):
-            texts.append(word_hashes(t))
-            size += len(texts[-1])
-            if size > 1 << 17:
-                scores.append(model.scores(texts))
-                texts, size = [], 0
-        scores.append(model.scores(texts))
-        yield build(b, np.concatenate(scores))
+def _some(b: pa.RecordBatch):
+    """(rows, their texts' words) of a batch, some texts at a time: 2^17 words, or one text; once for an empty batch."""
+    texts, size, at = [], 0, 0
+    for t in utf8(b.column(b.schema.names.index("text"))):
+        texts.append(word_hashes(t))
+        size += len(texts[-1])
+        if size > 1 << 17:
+            yield slice(at, at + len(texts)), texts
+            at, texts, size = at + len(texts), [], 0
+    if texts or not at:
+        yield slice(at, at + len(texts)), texts
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -310,17 +323,27 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text is scored as a text without words. A null id counts as the empty string for the fold. Each
     row gives one row; other columns are not looked at.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    narrow = docs.select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "lang", "text")
-    schema = T.StructType([narrow.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()),
-                           T.StructField("predicted", T.IntegerType()), T.StructField("toxic", T.BooleanType())])
+    model, unseen, marks = train_model(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast((model, unseen))
+    narrow = docs.select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "lang", _fold().alias("fold"), "text")
+    schema = T.StructType([narrow.schema["doc_id"], T.StructField("held_out", T.BooleanType()), narrow.schema["lang"], T.StructField("score", T.DoubleType()), T.StructField("bin", T.IntegerType())])
 
-    def build(b, s):
-        m = model.value
-        bound = np.array([m.thresholds.get(x, m.default) for x in b.column("lang").to_pylist()])
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.3).astype(np.int32)), pa.array(s >= bound)], names=schema.names)
+    def run(batches):
+        model, unseen = held.value
+        for b in batches:
+            fold, scores, bins = b.column("fold").to_numpy(), [], []
+            for part, texts in _some(b):
+                scores.append(model.scores(texts))
+                bins.append(_by_fold(unseen, fold[part], texts) if unseen else np.zeros(len(texts), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("lang"), pa.array(np.concatenate(scores)), pa.array(np.concatenate(bins))], names=schema.names)
 
-    return narrow.mapInArrow(lambda batches: _score_batches(model.value, batches, schema.names, build), schema)
+    scored = cut(narrow.mapInArrow(run, schema), "toxicity")  # one pass over the texts
+    if unseen:
+        set_thresholds(model, _counts(scored.where("not held_out").select("doc_id", "lang", "bin"), marks))
+    bound = F.lit(model.default)
+    for lang, least in model.thresholds.items():
+        bound = F.when(F.col("lang").eqNullSafe(F.lit(lang)), least).otherwise(bound)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), (F.col("score") >= bound).alias("toxic"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -330,9 +353,10 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of both classes nothing is rejected; an empty table stays empty."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def build(b, s):
+    def run(batches):
         m = model.value
-        bound = np.array([m.thresholds.get(x, m.default) for x in b.column(b.schema.names.index("lang")).to_pylist()])
-        return b.filter(pa.array(s < bound))
+        for b in batches:
+            bound = np.array([m.thresholds.get(x, m.default) for x in b.column(b.schema.names.index("lang")).to_pylist()])
+            yield b.filter(pa.array(np.concatenate([m.scores(texts) for _, texts in _some(b)]) < bound))
 
-    return docs.mapInArrow(lambda batches: _score_batches(model.value, batches, None, build), docs.schema)
+    return docs.mapInArrow(run, docs.schema)
