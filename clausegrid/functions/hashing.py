@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def content_hash(text: Column) -> Column:
     return F.concat(F.lit(PREFIX), F.sha2(text.cast("binary"), 256))
 
 
+def address(*parts: str) -> str:
+    """The composed address of literal parts, as ``compose`` makes it of columns."""
+    return PREFIX + hashlib.sha256("".join(p + UNIT for p in parts).encode()).hexdigest()
+
+
 def normalise_source(text: Column) -> Column:
     """Text sources are addressed without a byte order mark and with line feeds alone."""
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")

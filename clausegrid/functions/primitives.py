@@ -21,8 +21,14 @@ ACRONYM_ROW = r"^[A-Z]{2,6}\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+){1,5}$"
 SENTENCE_END = r"(?<!\d)[.!?](?:\s+|$)"
 SENTENCE_WORDS = 8
 FLOOR_STOPWORDS = (
-    "the and for are but not you all any can had has have was were been being from that this with which shall should must will may upon into onto "
-    "also only such than then when where while these those their there them they because however therefore").split()
+    "the", "and", "for", "are", "but", "not", "you", "all", "any", "can", "had", "has", "have", "was", "were", "been", "being", "from", "that",
+    "this", "with", "which", "shall", "should", "must", "will", "may", "upon", "into", "onto", "also", "only", "such", "than", "then", "when",
+    "where", "while", "these", "those", "their", "there", "them", "they", "because", "however", "therefore",
+)
+
+#: What a rule's anchor is bound to in a section, best first.
+BINDINGS = "array<struct<text:string,similarity:double,char_start:int,char_length:int>>"
+NUMBER = r"-?\d+(?:\.\d+)?"
 
 
 def _blank(text: Column) -> Column:
@@ -94,5 +100,36 @@ def number_near(text: Column, word: str, width: int) -> Column:
     """First number within ``width`` characters of the first place of ``word``; NaN without one."""
     at = F.locate(word.lower(), F.lower(text))
     around = F.substring(text, F.greatest(F.lit(1), at - width), F.lit(2 * width + len(word)))
-    found = F.regexp_extract(around, r"-?\d+(?:\.\d+)?", 0)
+    found = F.regexp_extract(around, NUMBER, 0)
     return F.when((at > 0) & (F.char_length(found) > 0), found.try_cast("double")).otherwise(F.lit(float("nan")))
+
+
+def _around(text: Column, binding: Column, width: int) -> Column:
+    w = max(1, min(width, 4096))
+    lo = F.greatest(F.lit(0), binding["char_start"] - w)
+    return F.substring(text, lo + 1, F.greatest(F.lit(0), binding["char_start"] + binding["char_length"] + w - lo))
+
+
+def nearest_text(text: Column, bindings: Column, width: int = 40) -> Column:
+    """The text up to ``width`` (1 to 4096) characters around the first binding; empty without one."""
+    return F.when((F.char_length(text) > 0) & (F.size(bindings) > 0), _around(text, F.get(bindings, F.lit(0)), width)).otherwise("")
+
+
+def number_near_bindings(text: Column, bindings: Column, width: int = 40) -> Column:
+    """The first number around the first binding that has one; NaN without any."""
+    found = F.filter(F.transform(bindings, lambda b: F.regexp_extract(_around(text, b, width), NUMBER, 0)), lambda x: F.char_length(x) > 0)
+    return F.coalesce(F.when(F.char_length(text) > 0, F.get(found, F.lit(0)).try_cast("double")), F.lit(float("nan")))
+
+
+def anchor_span(bindings: Column, anchor: str, text: Column | None = None) -> Column:
+    """The best binding: most similar, then first, then least text; without one, if a text is given, the first place where
+    the anchor's name stands in it as a word, whatever the case, with similarity 1; null without either."""
+    best = F.get(F.array_sort(bindings, lambda a, b: F.when(a["similarity"] != b["similarity"], F.when(a["similarity"] > b["similarity"], -1).otherwise(1))
+                              .when(a["char_start"] != b["char_start"], F.when(a["char_start"] < b["char_start"], -1).otherwise(1))
+                              .when(a["text"] < b["text"], -1).when(a["text"] > b["text"], 1).otherwise(0)), F.lit(0))
+    if text is None or not anchor:
+        return best
+    pattern = r"(?iU)\b" + re.escape(anchor) + r"\b"
+    at = F.regexp_instr(text, F.lit(pattern))
+    literal = F.when(at > 0, F.struct(F.regexp_extract(text, pattern, 0).alias("text"), F.lit(1.0).alias("similarity"), (at - 1).cast("int").alias("char_start"), F.lit(len(anchor)).alias("char_length")))
+    return F.coalesce(best, literal)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PREFIX, UNIT
+from ..functions.primitives import BINDINGS
 from .project import TopicMap, enrich
 
 # ---- fixed values ----
@@ -102,12 +103,17 @@ def duration_near(text: str | None, anchor: str, width: int = 120, bindings: lis
     return min(found)[-1] if found else None
 
 
-def duration_near_column(text: Column, anchor: str, width: int = 120) -> Column:
+def seconds_near(text: Column, anchor: str, width: int = 120, bindings: Column | None = None) -> Column:
+    """``duration_near`` as a column; bindings: as ``semantic.bind`` gives them, null or empty to look for the anchor's name."""
     @F.pandas_udf("double")
-    def near(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: duration_near(t, anchor, width)).astype("float64")
-
-    return near(text)
+    def near(texts: pd.Series, starts: pd.Series, sizes: pd.Series, cosines: pd.Series) -> pd.Series:
+        bound = [None if s is None else list(zip(map(int, s), map(int, n), map(float, c))) for s, n, c in zip(starts, sizes, cosines)]
+        return pd.Series([duration_near(t, anchor, width, b) for t, b in zip(texts, bound)], dtype="float64")
+
+    of = F.lit(None).cast(BINDINGS) if bindings is None else bindings
+    each = lambda name: F.transform(of, lambda x: x[name])
+    found = near(text, *map(each, ("char_start", "char_length", "similarity")))
+    return F.when(~F.isnan(found), found)
 
 
 def tree_fingerprints(tree: DataFrame, source: str = "doc_id", builder: str = "outline", version: str = "1") -> DataFrame:

@@ -1,15 +1,17 @@
 """Rules over sections: gates, verdicts, documents that say nothing, reports.
 
-Rules are compiled on the driver into one array of structs per section and inlined: no join
-and no Python, whatever the number of documents. Rule sets are cut into batches of
-RULES_PER_PLAN so that no generated method grows with a rule set.
+Rules are compiled on the driver into one array of structs per section. A document's arrays
+meet once, where its sections already are, and what no section answered is added to them:
+one pass over the texts and no join or Python, whatever the number of rules. Rules go into
+projections of RULES_PER_STEP each, so that no generated method grows with a rule set.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..functions.vectors import cosine
 from ..plans import expression as ex
 from ..plans.selectors import section_selector
 
-RULES_PER_PLAN = 40
+RULES_PER_STEP = 40
 OUTCOMES = ("Pass", "Fail", "Error", "Gap", "NotApplicable", "Skipped")
 ARRAYS = frozenset({"topics", *(f"text_features.{n}" for n in ("day_counts", "month_counts", "year_counts", "percent_values", "dollar_amounts"))})
 
@@ -95,8 +97,9 @@ def _const(node):
     return node.value
 
 
-def functions_for(rules: RuleSet, meaning: Callable | None = None) -> dict[str, Callable]:
-    """The functions that rules may call. ``meaning(id, concept)`` gives a similarity column, if vectors are there."""
+def functions_for(rules: RuleSet, meaning: Callable | None = None, bound: Callable | None = None) -> dict[str, Callable]:
+    """The functions that rules may call. ``meaning(concept)`` gives a similarity column, null where a vector is missing,
+    if vectors are there; ``bound(anchor)`` gives the rule's bindings of an anchor, best first (see ``semantic.bind``)."""
     def book(env, text, name):
         if _const(name) not in rules.phrasebooks:
             raise ex.RuleError(f"unknown phrasebook {_const(name)!r}")
@@ -108,26 +111,66 @@ def functions_for(rules: RuleSet, meaning: Callable | None = None) -> dict[str,
         except re.error as e:
             raise ex.RuleError(str(e)) from e
 
-    def topic(env, section, name, least=None, *_):
-        return primitives.has_topic(env.member((*section.names, "topics")), env.member((*section.names, "topic_scores")), _const(name), None if least is None else float(_const(least)))
+    def bindings(name) -> Column:
+        return F.lit(None).cast(primitives.BINDINGS) if bound is None else F.coalesce(bound(_const(name)), F.array().cast(primitives.BINDINGS))
 
-    def means(env, _id, concept, least):
+    def topic(env, section, name, least=None, anchor=None):
+        there = primitives.has_topic(env.member((*section.names, "topics")), env.member((*section.names, "topic_scores")), _const(name), None if least is None else float(_const(least)))
+        return there if anchor is None else there | F.coalesce(F.size(bindings(anchor)) > 0, F.lit(False))
+
+    def similarity(env, concept) -> Column:
         if meaning is None:
             raise ex.RuleError("no vectors are configured")
-        return F.coalesce(meaning(_const(concept)) >= float(_const(least)), F.lit(False))
+        return meaning(concept)
+
+    def means(env, _id, concept, least):
+        s = similarity(env, _const(concept))
+        env.noted.append(F.when(s.isNull(), f"no vector for the section or for {_const(concept)!r}"))
+        return F.coalesce(s >= float(_const(least)), F.lit(False))
 
     def means_any(env, _id, concepts, least):
-        out = F.lit(False)
-        for c in _const(concepts).split("|"):
-            out = out | means(env, _id, ex.Lit(c.strip()), least)
-        return out
+        """In order: a concept without vector before the first hit is an error, behind it it is not noticed."""
+        hit, error = F.lit(False), F.lit(None).cast("string")
+        for c in (c.strip() for c in _const(concepts).split("|") if c.strip()):
+            s = similarity(env, c)
+            error = F.coalesce(error, F.when(~hit & s.isNull(), f"no vector for the section or for {c!r}"))
+            hit = hit | (error.isNull() & F.coalesce(s >= float(_const(least)), F.lit(False)))
+        env.noted.append(error)
+        return hit
+
+    def synthetic(env, section, name=None):
+        made = env.member((*section.names, "is_synthetic_anchor"))
+        if made is None:
+            return F.lit(False)
+        made = F.coalesce(made.cast("boolean"), F.lit(False))
+        return made if name is None else made & F.coalesce(env.member((*section.names, "synthetic_anchor")) == F.lit(_const(name) or None), F.lit(False))
+
+    def listed(env, node) -> Column:
+        return bindings(node.args[0]) if isinstance(node, ex.Call) and node.name == "SemanticBindings" else bindings(node)
+
+    def nearest(env, text, anchor, width=ex.Lit(40)):
+        return primitives.nearest_text(_text(text, env), listed(env, anchor), int(_const(width)))
+
+    def number(env, text, anchor, width=ex.Lit(40)):
+        if isinstance(anchor, ex.Lit) and bound is None:  # a word of the text stands for its anchor
+            return primitives.number_near(_text(text, env), _const(anchor), int(_const(width)))
+        return primitives.number_near_bindings(_text(text, env), listed(env, anchor), int(_const(width)))
+
+    def span(env, anchor, text=None):
+        return primitives.anchor_span(bindings(anchor), _const(anchor), None if text is None else _text(text, env))
+
+    def duration(env, text, anchor, width=ex.Lit(120)):
+        from .clauses import seconds_near
+
+        return seconds_near(_text(text, env), _const(anchor), max(0, int(_const(width))), bindings(anchor))
 
     one = lambda f: lambda env, text: f(_text(text, env))
     return {
         "RegexMatch": regex, "PhraseMatch": book, "HasTopic": topic, "ContainsMeaning": means, "MatchesAnyMeaning": means_any,
         "IsTemplateBoilerplate": one(primitives.is_template_boilerplate), "CountProseSentences": one(primitives.count_prose_sentences),
         "IsArbScaffolding": one(primitives.is_review_scaffolding), "IsGlossaryOrAppendixListing": one(primitives.is_glossary_listing),
-        "ExtractNumberNear": lambda env, text, word, width: primitives.number_near(_text(text, env), _const(word), int(_const(width))),
+        "HasSyntheticAnchor": synthetic, "SemanticBindings": lambda env, name: bindings(name), "NearestText": nearest, "ExtractNumberNear": number, "ResolveAnchorSpan": span,
+        "ExtractDurationNear": duration, "HasExtractedDurationNear": lambda env, *args: duration(env, *args).isNotNull(),
     }
 
 
@@ -217,7 +260,9 @@ class Options:
     kind_col: str | None = None
     vector_col: str | None = None  # sections' vectors
     rule_vectors: dict | None = None  # rule id to its vector
-    meaning: Callable | None = None
+    meaning: Callable | None = None  # of a concept: its similarity column (see ``semantic.meaning``)
+    bindings_col: str | None = None  # bindings of all rules' anchors (see ``semantic.bind``)
+    least_anchors: int = 0  # with it, a Pass of a rule of two anchors or more needs so many of them bound
     prefilter: bool = False  # by the atoms of predicates, whatever stands around them: drops what a negated atom would admit
 
 
@@ -228,7 +273,11 @@ def floor_words(rule: Rule) -> list[str]:
     return sorted({w for w in found if len(w) >= 3 and w not in primitives.FLOOR_STOPWORDS})
 
 
-def _state(rule: Rule, rules: RuleSet, env: ex.Env, o: Options, sections: DataFrame) -> tuple[Column, Column]:
+def binding_key(rule: Rule, anchor: str) -> str:
+    return f"{rule.id}{hashing.UNIT}{anchor}"
+
+
+def _state(rule: Rule, rules: RuleSet, env: ex.Env, o: Options) -> tuple[Column, Column]:
     """(outcome, error) of a rule at a section. Outcome null: it does not come to a verdict; 'floor': stopped by the floor."""
     none = F.lit(None).cast("string")
     kind = F.col(o.kind_col) if o.kind_col else None
@@ -241,20 +290,30 @@ def _state(rule: Rule, rules: RuleSet, env: ex.Env, o: Options, sections: DataFr
     if rule.gate_threshold > 0 and o.vector_col and (o.rule_vectors or {}).get(rule.id):
         v = F.array(*(F.lit(float(x)) for x in o.rule_vectors[rule.id]))
         gate = gate & F.coalesce(cosine(F.col(o.vector_col), v) >= rule.gate_threshold, F.lit(True))
+    if o.bindings_col:
+        env = replace(env, functions=functions_for(rules, o.meaning, lambda anchor: F.try_element_at(F.col(o.bindings_col), F.lit(binding_key(rule, anchor)))), noted=[])
     try:
-        applies, p_error = ex.truth(ex.parse(rule.predicate), env), None
+        applies, p_error = ex.checked(ex.parse(rule.predicate), env)
     except ex.RuleError as e:
-        applies, p_error = F.lit(True), f"predicate: {e}"
+        applies, p_error = F.lit(True), F.lit(str(e))
+    p_error = None if p_error is None else F.concat(F.lit("predicate: "), p_error)
     try:
-        passes, l_error = ex.truth(ex.parse(rule.lambda_), env), None
+        passes, l_error = ex.checked(ex.parse(rule.lambda_), env)
     except ex.RuleError as e:
-        passes, l_error = F.lit(False), str(e)
-    failed = f"Rule '{rule.id}' failed: {rule.natural_language}"
-    if p_error or l_error:
-        outcome, error = F.lit("Error"), F.lit(p_error or l_error)
-    else:
-        outcome, error = F.when(passes, "Pass").otherwise("Fail"), F.when(~passes, failed)
-    outcome, error = F.when(gate & applies, outcome), F.when(gate & applies, error)
+        passes, l_error = F.lit(False), F.lit(str(e))
+    outcome = F.when(passes, "Pass").otherwise("Fail")
+    error = F.when(~passes, f"Rule '{rule.id}' failed: {rule.natural_language}")
+    if o.least_anchors and len(rule.anchors) >= 2 and o.bindings_col:
+        from .semantic import cohesion
+
+        seen = [F.coalesce(F.size(F.try_element_at(F.col(o.bindings_col), F.lit(binding_key(rule, a["name"])))) > 0, F.lit(False)).cast("int") for a in rule.anchors]
+        outcome = cohesion(outcome, sum(seen[1:], seen[0]), len(rule.anchors), o.least_anchors)
+    if l_error is not None:
+        outcome, error = F.when(l_error.isNotNull(), "Error").otherwise(outcome), F.coalesce(l_error, error)
+    outcome, error = F.when(applies, outcome), F.when(applies, error)
+    if p_error is not None:
+        outcome, error = F.when(p_error.isNotNull(), "Error").otherwise(outcome), F.coalesce(p_error, error)
+    outcome, error = F.when(gate, outcome), F.when(gate, error)
     words = floor_words(rule)
     if o.floor > 0 and rule.gate_threshold <= 0 and rule.predicate == "true" and words:
         own = primitives.floor_tokens(env.member(("input1", "text")))
@@ -273,9 +332,17 @@ def verdict_id(rule: Rule, rules: RuleSet, document: Column, start: Column, leng
     return hashing.content_hash(F.concat(*joined))
 
 
+_FIELDS = ("rule_id", "section_id", "ord", "outcome", "error", "remediation", "start", "length", "clause_start", "clause_length", "verdict_id")
+
+
+def _struct(**values: Column) -> Column:
+    kinds = {"ord": "int", "start": "int", "length": "int", "clause_start": "int", "clause_length": "int"}
+    return F.struct(*(values[n].cast(kinds.get(n, "string")).alias(n) for n in _FIELDS))
+
+
 def evaluate(sections: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
     """One row per verdict: doc_id, rule_id, section_id, ord, outcome, error, remediation, start, length, clause_start,
-    clause_length, verdict_id.
+    clause_length, verdict_id. A Fail points at what its rule names and at the lines around that; others at the section.
 
     A rule that comes to no verdict in a document gives one row without section: Skipped for a document of another
     kind; NotApplicable if the floor stopped it or it is not mandatory; else a Gap. ``sections``: doc_id, ord,
@@ -283,64 +350,56 @@ def evaluate(sections: DataFrame, rules: RuleSet, options: Options = Options())
     document without sections: one with a null section_id, which no rule sees).
     """
     env = section_env(sections, functions_for(rules, options.meaning))
-    out = None
     ordered = sorted((r for r in rules.rules if r.mode != "facts"), key=lambda r: r.id)
-    for at in range(0, len(ordered), RULES_PER_PLAN):
-        part = _evaluate(sections, ordered[at:at + RULES_PER_PLAN], rules, env, options)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not ordered:
         raise ValueError("the rule set has no section rules")
-    return out
-
-
-_FIELDS = ("rule_id", "section_id", "ord", "outcome", "error", "remediation", "start", "length", "clause_start", "clause_length", "verdict_id")
-
-
-def _struct(**values: Column) -> Column:
-    kinds = {"ord": "int", "start": "int", "length": "int", "clause_start": "int", "clause_length": "int"}
-    return F.struct(*(values[n].cast(kinds.get(n, "string")).alias(n) for n in _FIELDS))
-
-
-def _evaluate(sections: DataFrame, part: list[Rule], rules: RuleSet, env: ex.Env, o: Options) -> DataFrame:
-    none = F.lit(None)
-    states = {f"__s{k}": F.struct(*(c.alias(n) for n, c in zip(("outcome", "error"), _state(r, rules, env, o, sections)))) for k, r in enumerate(part)}
-    seen = F.col("section_id").isNotNull()
-    stated = sections.withColumns({n: F.when(seen, c) for n, c in states.items()})
-    # a column a step: what several columns use is computed once
-    shown = stated.withColumns({f"__h{k}": F.struct(*(c.alias(n) for n, c in zip(("at", "size"), hit_span(r, env)))) for k, r in enumerate(part)})
-    shown = shown.withColumns({f"__c{k}": clause_of(F.col("text"), F.col(f"__h{k}.at"), F.col(f"__h{k}.size")) for k in range(len(part))})
-    made = []
     spanned = "span_start" in sections.columns  # of the section's heading, where there is one
     own_start, own_length = (F.col("span_start"), F.col("span_length")) if spanned else (F.col("char_start"), F.char_length("text"))
-    for k, r in enumerate(part):
-        outcome, error = F.col(f"__s{k}.outcome"), F.col(f"__s{k}.error")
-        start, length = F.coalesce(F.col("char_start") + F.col(f"__h{k}.at"), own_start), F.coalesce(F.col(f"__h{k}.size"), own_length)
-        clause, span = F.col("char_start") + F.col(f"__c{k}.start"), F.col(f"__c{k}.length")
-        made.append(_struct(
-            rule_id=F.lit(r.id), section_id=F.col("section_id"), ord=F.col("ord"), outcome=outcome, error=error, remediation=F.when(outcome == "Fail", render(r.remediation, r, env)),
-            start=start, length=length, clause_start=clause, clause_length=span,
-            verdict_id=verdict_id(r, rules, F.col("doc_id"), start, length, outcome, (clause, span))))
-    spoken = [F.when(F.col(f"__s{k}.outcome") != "floor", m) for k, m in enumerate(made)]  # null, and not computed, where a rule says nothing
-    here = shown.select("doc_id", F.inline(F.array_compact(F.array(*spoken))))
-    # what no section answered: counts per rule and document, one row of counters a document
-    counters = [F.count_if(F.col(f"__s{k}.outcome") == "floor").alias(f"f{k}") for k in range(len(part))]
-    counters += [F.count_if(F.col(f"__s{k}.outcome").isNotNull() & (F.col(f"__s{k}.outcome") != "floor")).alias(f"n{k}") for k in range(len(part))]
-    kind = F.first(F.col(o.kind_col)).alias("__kind") if o.kind_col else F.lit(None).cast("string").alias("__kind")
-    totals = stated.groupBy("doc_id").agg(*counters, kind)
-    absent = []
-    for k, r in enumerate(part):
-        other_kind = ~applies_to_kind(r, rules, F.col("__kind") if o.kind_col else None)
-        floored = F.col(f"f{k}") > 0
-        mandatory = F.lit(r.applicability == "Mandatory")
-        outcome = F.when(F.col(f"n{k}") > 0, none.cast("string")).when(other_kind, "Skipped").when(floored, "NotApplicable").when(mandatory, "Gap").otherwise("NotApplicable")
-        error = F.when(other_kind, F.concat(F.lit("doc_kind_mismatch:"), F.col("__kind"))).when(
-            floored, F.concat(F.lit("applicability_floor:no_relevant_section (filtered "), F.col(f"f{k}").cast("string"), F.lit(" candidate section(s))")))
-        absent.append(_struct(
-            rule_id=F.lit(r.id), section_id=none, ord=none, outcome=outcome, error=error, remediation=F.when(outcome == "Gap", F.lit(f"Document does not address: {r.natural_language}")),
-            start=F.lit(r.source_start), length=F.lit(r.source_length), clause_start=none, clause_length=none,
-            verdict_id=verdict_id(r, rules, F.lit(r.source_document), F.lit(r.source_start), F.lit(r.source_length), outcome)))
-    nowhere = totals.select("doc_id", F.inline(F.filter(F.array(*absent), lambda v: v["outcome"].isNotNull())))
-    return here.unionByName(nowhere)
+    seen = F.col("section_id").isNotNull()
+    shown, said, floored = sections, [], []
+    for at in range(0, len(ordered), RULES_PER_STEP):
+        part = list(enumerate(ordered))[at:at + RULES_PER_STEP]
+        # a column a step: what several columns use is computed once
+        shown = shown.withColumns({f"__s{k}": F.when(seen, F.struct(*(c.alias(n) for n, c in zip(("outcome", "error"), _state(r, rules, env, options))))) for k, r in part})
+        failed = {k: F.col(f"__s{k}.outcome") == "Fail" for k, _ in part}
+        shown = shown.withColumns({f"__h{k}": F.when(failed[k], F.struct(*(c.alias(n) for n, c in zip(("at", "size"), hit_span(r, env))))) for k, r in part})
+        shown = shown.withColumns({f"__c{k}": F.when(failed[k], clause_of(F.col("text"), F.col(f"__h{k}.at"), F.col(f"__h{k}.size"))) for k, _ in part})
+        made = []
+        for k, r in part:
+            outcome, error = F.col(f"__s{k}.outcome"), F.col(f"__s{k}.error")
+            start, length = F.coalesce(F.col("char_start") + F.col(f"__h{k}.at"), own_start), F.coalesce(F.col(f"__h{k}.size"), own_length)
+            clause, span = F.col("char_start") + F.col(f"__c{k}.start"), F.col(f"__c{k}.length")
+            verdict = _struct(
+                rule_id=F.lit(r.id), section_id=F.col("section_id"), ord=F.col("ord"), outcome=outcome, error=error, remediation=F.when(failed[k], render(r.remediation, r, env)),
+                start=start, length=length, clause_start=clause, clause_length=span, verdict_id=verdict_id(r, rules, F.col("doc_id"), start, length, outcome, (clause, span)))
+            made.append(F.when(outcome != "floor", verdict))  # null, and not computed, where a rule says nothing
+        said.append(F.array_compact(F.array(*made)))
+        if options.floor > 0:
+            floored.append(F.array_compact(F.array(*(F.when(F.col(f"__s{k}.outcome") == "floor", k) for k, _ in part))))
+    none = F.array().cast("array<int>")
+    kind = F.col(options.kind_col) if options.kind_col else F.lit(None).cast("string")
+    rows = shown.select("doc_id", kind.alias("__kind"), F.concat(*said).alias("said"), (F.concat(*floored) if floored else none).alias("floored"))
+    docs = rows.groupBy("doc_id").agg(F.first("__kind").alias("__kind"), F.flatten(F.collect_list("said")).alias("said"), F.flatten(F.collect_list("floored")).alias("floored"))
+    docs = docs.withColumn("spoke", F.array_distinct(F.transform("said", lambda v: v["rule_id"])))
+    absent = [_absent(k, r, rules, options) for k, r in enumerate(ordered)]
+    return docs.select("doc_id", F.inline(F.concat("said", F.array_compact(F.array(*absent)))))
+
+
+def _absent(k: int, r: Rule, rules: RuleSet, o: Options) -> Column:
+    """The verdict of a rule that said nothing in a document; null if it spoke."""
+    other_kind = ~applies_to_kind(r, rules, F.col("__kind") if o.kind_col else None)
+    times = F.size(F.filter("floored", lambda x: x == k)) if o.floor > 0 else F.lit(0)
+    outcome = F.when(other_kind, "Skipped").when(times > 0, "NotApplicable").otherwise("Gap" if r.applicability == "Mandatory" else "NotApplicable")
+    error = F.when(other_kind, F.concat(F.lit("doc_kind_mismatch:"), F.col("__kind"))).when(
+        times > 0, F.concat(F.lit("applicability_floor:no_relevant_section (filtered "), times.cast("string"), F.lit(" candidate section(s))")))
+    predicate = hashing.PREFIX + hashlib.sha256(r.predicate.encode()).hexdigest()
+    made = {x: hashing.address("verdict", r.id, r.version, rules.id, rules.version, predicate, r.source_document, str(r.source_start), str(r.source_length), x) for x in ("Skipped", "NotApplicable", "Gap")}
+    ids = F.when(outcome == "Skipped", made["Skipped"]).when(outcome == "Gap", made["Gap"]).otherwise(made["NotApplicable"])
+    none = F.lit(None)
+    verdict = _struct(
+        rule_id=F.lit(r.id), section_id=none, ord=none, outcome=outcome, error=error, remediation=F.when(outcome == "Gap", F.lit(f"Document does not address: {r.natural_language}")),
+        start=F.lit(r.source_start), length=F.lit(r.source_length), clause_start=none, clause_length=none, verdict_id=ids)
+    return F.when(~F.array_contains("spoke", r.id), verdict)
 
 
 def _counts() -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import to_days
@@ -10,8 +10,8 @@ from ..plans import expression as ex
 from .evaluate import Rule, RuleSet, functions_for, verdict_id
 
 
-def merge_facts(facts: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """facts(doc_id, section_id, concept, value string) to (doc_id, concept, value, conflicts).
+def merge_facts(facts: DataFrame, kinds: dict[str, str], by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """facts(doc_id, section_id, concept, value string) to (doc_id, concept, value, conflicts); ``by``: what to merge within.
 
     In section order: booleans are true if any is ("true" in any case), ints and durations take the least that
     parses, enums and texts the first that is not null. conflicts counts, pairwise in that order, the values that
@@ -23,9 +23,9 @@ def merge_facts(facts: DataFrame, kinds: dict[str, str]) -> DataFrame:
     low = F.lower(F.trim("value"))
     number = F.when(F.col("kind") == "int", F.trim("value").try_cast("bigint")).when(F.col("kind") == "duration", to_days(F.col("value")).cast("bigint"))
     shown = F.when(F.col("kind") == "bool", F.when(low == "true", "true").otherwise("false")).otherwise(F.col("value"))
-    rows = held.select("doc_id", "concept", "kind", "section_id", shown.alias("value"), number.alias("number"))
+    rows = held.select(*by, "concept", "kind", "section_id", shown.alias("value"), number.alias("number"))
     numeric = F.col("kind").isin("int", "duration")
-    agg = rows.groupBy("doc_id", "concept", "kind").agg(
+    agg = rows.groupBy(*by, "concept", "kind").agg(
         F.max(F.when(F.col("value") == "true", 1).otherwise(0)).alias("any"), F.min("number").alias("least"), F.min_by("value", "section_id").alias("first"),
         F.sort_array(F.collect_list(F.when(~numeric | F.col("number").isNotNull(), F.struct("section_id", "number", "value")))).alias("seq"))
     state = lambda v, n, c: F.struct(v.alias("v"), n.alias("n"), c.alias("c"))
@@ -37,40 +37,41 @@ def merge_facts(facts: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
     folded = F.aggregate("seq", state(F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.lit(0)), fold)
     value = F.when(F.col("kind") == "bool", F.when(F.col("any") == 1, "true").otherwise("false")).when(numeric, F.col("least").cast("string")).otherwise(F.col("first"))
-    return agg.select("doc_id", "concept", "kind", value.alias("value"), folded["c"].alias("conflicts")).where("value is not null")
-
-
-def scoped_facts(facts: DataFrame, rule: Rule, scope: list[str] | None = None) -> DataFrame:
-    """The facts of a rule's sections: those named by ``scope``, else all with one of its concepts."""
-    if scope:
-        return facts.where(F.col("section_id").isin(*scope))
-    wanted = [*rule.required_facts, *rule.required_any]
-    if not wanted:
-        return facts
-    own = facts.where(F.col("concept").isin(*wanted) & F.col("value").isNotNull()).select("doc_id", "section_id").distinct()
-    return facts.join(own, ["doc_id", "section_id"], "left_semi")
+    return agg.select(*by, "concept", "kind", value.alias("value"), folded["c"].alias("conflicts")).where("value is not null")
 
 
 def evaluate_fact_rules(documents: DataFrame, facts: DataFrame, rules: RuleSet, kinds: dict[str, str], scopes: dict[str, list[str]] | None = None) -> DataFrame:
     """One verdict per document and fact rule: doc_id, rule_id, outcome, error, verdict_id.
 
-    NotApplicable if a required fact is missing, or all of the alternatives are; else the lambda over ``facts.*``.
+    A rule sees the facts of its sections: those that ``scopes`` names, else all with one of its concepts, else all. It is
+    NotApplicable if a required fact is missing, or all of the alternatives are; else its lambda decides over ``facts.*``.
+    Facts are read once and merged once for each different scope, whatever the number of rules.
     """
-    out = None
-    for r in sorted((r for r in rules.rules if r.mode == "facts"), key=lambda r: r.id):
-        merged = merge_facts(scoped_facts(facts, r, (scopes or {}).get(r.id)), kinds)
-        bag = merged.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("concept", "value"))).alias("bag"))
-        joined = documents.select("doc_id").distinct().join(bag, "doc_id", "left").withColumn("bag", F.coalesce("bag", F.create_map().cast("map<string,string>")))
-        one = _fact_verdict(joined, r, rules, kinds)
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+    ordered = sorted((r for r in rules.rules if r.mode == "facts"), key=lambda r: r.id)
+    if not ordered:
         raise ValueError("the rule set has no fact rules")
-    return out
-
-
-def _fact_verdict(joined: DataFrame, r: Rule, rules: RuleSet, kinds: dict[str, str]) -> DataFrame:
+    scope_of = {r.id: ("sections", tuple(sorted(scopes[r.id]))) if (scopes or {}).get(r.id) else ("concepts", tuple(sorted({*r.required_facts, *r.required_any}))) for r in ordered}
+    number = {s: k for k, s in enumerate(sorted(set(scope_of.values())))}
+    stated = F.collect_set(F.when(F.col("value").isNotNull(), F.col("concept"))).over(Window.partitionBy("doc_id", "section_id"))
+
+    def within(kind: str, names: tuple[str, ...]) -> Column:
+        if kind == "sections":
+            return F.col("section_id").isin(*names)
+        return F.arrays_overlap("__stated", F.array(*(F.lit(n) for n in names))) if names else F.lit(True)
+
+    own = F.array_compact(F.array(*(F.when(within(*s), k) for s, k in number.items())))
+    dealt = facts.select("doc_id", "section_id", "concept", "value").withColumn("__stated", stated).withColumn("scope", F.explode(own)).drop("__stated")
+    bags = merge_facts(dealt, kinds, ("doc_id", "scope")).groupBy("doc_id", "scope").agg(F.map_from_entries(F.collect_list(F.struct("concept", "value"))).alias("bag"))
+    held = bags.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("scope", "bag"))).alias("bags"))
+    none = F.create_map().cast("map<string,string>")
+    joined = documents.select("doc_id").distinct().join(held, "doc_id", "left").select(
+        "doc_id", *(F.coalesce(F.try_element_at("bags", F.lit(k)), none).alias(f"__bag{k}") for k in number.values()))
+    return joined.select("doc_id", F.inline(F.array(*(_fact_verdict(r, rules, kinds, F.col(f"__bag{number[scope_of[r.id]]}")) for r in ordered))))
+
+
+def _fact_verdict(r: Rule, rules: RuleSet, kinds: dict[str, str], bag: Column) -> Column:
     def value(name: str) -> Column:
-        own = F.try_element_at(F.col("bag"), F.lit(name))
+        own = F.try_element_at(bag, F.lit(name))
         kind = kinds.get(name, "text")
         return own.cast("boolean") if kind == "bool" else own.try_cast("bigint") if kind in ("int", "duration") else own
 
@@ -88,9 +89,9 @@ def _fact_verdict(joined: DataFrame, r: Rule, rules: RuleSet, kinds: dict[str, s
     except ex.RuleError as e:
         passes, bad = F.lit(False), str(e)
     outcome = F.when(stop.isNotNull(), "NotApplicable").when(F.lit(bad is not None), "Error").when(passes, "Pass").otherwise("Fail")
-    error = F.coalesce(stop, F.lit(bad), F.when(outcome == "Fail", f"Rule '{r.id}' failed: {r.natural_language}"))
+    error = F.coalesce(stop, F.lit(bad).cast("string"), F.when(outcome == "Fail", f"Rule '{r.id}' failed: {r.natural_language}"))
     vid = verdict_id(r, rules, F.lit(r.source_document), F.lit(r.source_start), F.lit(r.source_length), outcome)
-    return joined.select("doc_id", F.lit(r.id).alias("rule_id"), outcome.alias("outcome"), error.alias("error"), vid.alias("verdict_id"))
+    return F.struct(F.lit(r.id).alias("rule_id"), outcome.alias("outcome"), error.alias("error"), vid.alias("verdict_id"))
 
 
 def convert_value(raw: Column, kind: str, quote: Column, text: Column, allowed: list[str] | None = None) -> Column:

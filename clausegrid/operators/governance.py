@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterable
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import PREFIX, UNIT, compose_list
+from ..functions.hashing import UNIT, address, compose_list
 from ..plans import expression as ex
 from .evaluate import Rule, RuleSet
 
@@ -21,11 +20,6 @@ _EQUALS_BACK = re.compile(r'"([^"]*)"\s*==\s*input1((?:\.[A-Za-z_]\w*)+)')
 _CONTAINS = re.compile(r'input1((?:\.[A-Za-z_]\w*)+)\.Contains\("([^"]*)"\)')
 
 
-def address(*parts: str) -> str:
-    """The composed address of literal parts, as ``hashing.compose`` makes it of columns."""
-    return PREFIX + hashlib.sha256("".join(p + UNIT for p in parts).encode()).hexdigest()
-
-
 def rule_fingerprint(r: Rule) -> str:
     """Address of what a rule decides by; optional parts count only where they are set."""
     parts = [r.id, r.version, r.predicate, r.lambda_, r.remediation or "", r.anchor or "", json.dumps(r.schema, separators=(",", ":")), r.severity, r.applicability]

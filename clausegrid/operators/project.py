@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let, running_totals
 from ..functions.textfeatures import text_features
 
 UNKNOWN = "unknown"
@@ -35,10 +36,11 @@ def section_id(position: Column) -> Column:
 
 
 def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A section for each line: doc_id, ord, section_id, text, char_start."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("ord", "text"))
-    before = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return lines.withColumn("section_id", section_id(F.col("ord"))).withColumn("char_start", F.coalesce(F.sum(F.char_length("text") + 1).over(before), F.lit(0)))
+    """A section for each line: doc_id, ord, section_id, text, char_start. A null text has none; nothing is shuffled."""
+    lines = let(F.split(F.col(text_col), "\n"), lambda own: F.zip_with(
+        own, running_totals(F.transform(own, lambda x: F.char_length(x) + 1)), lambda text, start: F.struct(text.alias("text"), start.alias("char_start"))))
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("ord", "line")).select(
+        "doc_id", "ord", F.col("line.text").alias("text"), section_id(F.col("ord")).alias("section_id"), F.col("line.char_start").alias("char_start"))
 
 
 def group_by_heading(blocks: DataFrame) -> DataFrame:
@@ -108,10 +110,18 @@ def topic_density(primary: Column, body: Column, topics: TopicMap) -> Column:
 
 def paragraph_offsets(body: Column) -> Column:
     """array<struct<char_start, char_length>> of the lines of a text; none for an empty one."""
-    lines = F.split(body, "\n")
-    start = lambda i: F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0), lambda acc, x: acc + F.char_length(x) + 1)
-    return F.when(F.char_length(body) > 0, F.transform(lines, lambda x, i: F.struct(start(i).alias("char_start"), F.char_length(x).alias("char_length")))).otherwise(
-        F.array().cast("array<struct<char_start:int,char_length:int>>"))
+    sizes = F.transform(F.split(body, "\n"), lambda x: F.char_length(x))
+    made = let(sizes, lambda own: F.zip_with(running_totals(F.transform(own, lambda n: n + 1)), own, lambda start, n: F.struct(start.cast("int").alias("char_start"), n.alias("char_length"))))
+    return F.when(F.char_length(body) > 0, made).otherwise(F.array().cast("array<struct<char_start:int,char_length:int>>"))
+
+
+def operative(sections: DataFrame) -> DataFrame:
+    """Marks, for each document and topic, the densest section that is no supplement (ties: least id). The window is over
+    documents, so that whatever else groups by document finds them together."""
+    group = [F.col("primary_topic"), F.col("is_country_supplement")]
+    order = Window.partitionBy("doc_id").orderBy(*group, F.desc("topic_density"), "section_id")
+    first = ~F.coalesce(F.lag(F.struct(*group)).over(order) == F.struct(*group), F.lit(False))
+    return sections.withColumn("is_operative_for_topic", (F.col("primary_topic") != UNKNOWN) & ~F.col("is_country_supplement") & first)
 
 
 def operative(sections: DataFrame) -> DataFrame:
@@ -142,22 +152,26 @@ def inherit_amended(sections: DataFrame, topics: TopicMap) -> DataFrame:
     for p in reversed(topics.amendments):
         found = F.trim(F.regexp_extract("text", p, 1))
         title = F.when(F.char_length(found) > 0, found).otherwise(title)
-    out = sections.withColumn("title", F.when(F.col("primary_topic").isNull(), F.lower(title))).withColumn("inherited_from", F.lit(None).cast("string"))
-    earlier = out.select(F.col("doc_id").alias("d"), F.col("ord").alias("o"), F.lower("heading").alias("h"), F.col("section_id").alias("pid"), F.col("primary_topic").alias("pt"))
-    asks = out.where("title is not null and primary_topic is null").select("doc_id", "ord", "title")
-    near = (asks.join(earlier, (F.col("doc_id") == F.col("d")) & (F.col("o") < F.col("ord")) & F.contains(F.col("h"), F.col("title")))
-            .groupBy("doc_id", "ord").agg(F.min_by(F.struct("o", "pid", "pt"), "o").alias("p")))
-    chain = F.sort_array(F.collect_list(F.struct("ord", "p.o", "p.pid", "p.pt")))
-    topic = lambda acc, e: F.coalesce(e["pt"], F.element_at(acc, e["o"]))  # noqa: E731  null: the parent has none
-    step = lambda acc, e: F.map_concat(acc, F.create_map(e["ord"], topic(acc, e)))
-    kind = f"map<{sections.schema['ord'].dataType.simpleString()},string>"
-    known = near.groupBy("doc_id").agg(chain.alias("c")).select("doc_id", "c", F.aggregate("c", F.create_map().cast(kind), step).alias("m"))
-    parents = known.select("doc_id", "m", F.inline("c")).select("doc_id", "ord", F.struct("pid", F.element_at("m", F.col("ord")).alias("pt")).alias("parent")).where("parent.pt is not null")
-    joined = out.join(parents, ["doc_id", "ord"], "left")
+    own = [c for c in sections.columns if c not in ("doc_id", "inherited_from")]
+    marked = sections.withColumns({"__title": F.when(F.col("primary_topic").isNull(), F.lower(title)), "__head": F.lower("heading")})
+    by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
+    docs = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*own, "__title", "__head")), by_ord).alias("all"))
+    kind = f"array<struct<ord:{sections.schema['ord'].dataType.simpleString()},pid:string,pt:string>>"
+    at = lambda found, ord_: F.get(F.filter(found, lambda x: x["ord"] == ord_), F.lit(0))
+
+    def settle(settled: Column, ask: Column) -> Column:
+        earlier = F.get(F.filter("all", lambda s: (s["ord"] < ask["ord"]) & F.contains(s["__head"], ask["__title"])), F.lit(0))
+        more = lambda p: F.array(F.struct(ask["ord"], p["section_id"].alias("pid"), F.coalesce(p["primary_topic"], at(settled, p["ord"])["pt"]).alias("pt")))
+        return let(earlier, lambda p: F.when(p.isNull(), settled).otherwise(F.concat(settled, more(p).cast(kind))))
+
+    asks = F.filter("all", lambda s: s["__title"].isNotNull())
+    parents = docs.select("doc_id", "all", F.filter(F.aggregate(asks, F.array().cast(kind), settle), lambda x: x["pt"].isNotNull()).alias("parents"))
+    joined = parents.select("doc_id", F.explode(F.transform("all", lambda s: F.struct(s.alias("s"), at(F.col("parents"), s["ord"]).alias("parent")))).alias("r")).select(
+        "doc_id", *(F.col(f"r.s.{c}").alias(c) for c in (*own, "__title")), F.col("r.parent").alias("parent"))
     gained = F.col("primary_topic").isNull() & F.col("parent").isNotNull()
-    out = joined.select(*(c for c in out.columns if c not in ("primary_topic", "inherited_from", "scored")),
+    out = joined.select("doc_id", *(c for c in own if c not in ("primary_topic", "scored")), F.col("__title").alias("title"),
                         F.when(gained, F.col("parent.pt")).otherwise(F.col("primary_topic")).alias("primary_topic"),
-                        F.when(gained, F.col("parent.pid")).otherwise(F.col("inherited_from")).alias("inherited_from"),
+                        F.when(gained, F.col("parent.pid")).alias("inherited_from"),
                         F.when(gained, _with_score(F.col("scored"), F.col("parent.pt"), INHERITED_SCORE)).otherwise(F.col("scored")).alias("scored"))
     by_title = primary_topic(F.col("title"), topics)
     named = F.col("primary_topic").isNull() & by_title.isNotNull()
@@ -222,15 +236,26 @@ def document_kinds(blocks: DataFrame, bigrams=KIND_BIGRAMS, window: int = KIND_B
 # ---- outline ----
 
 
-def document_tree(headings: DataFrame) -> DataFrame:
+#: Heading levels that sources give; deeper ones count as the last in an outline.
+LEVELS = 9
+
+
+def document_tree(headings: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(doc_id, node_id, parent_id, title, level, start, end) from headings (doc_id, title, level, start, doc_end): a node ends
-    where the next heading of its level or a shallower one begins; its parent is the last shallower one before it."""
-    a, b = headings.alias("a"), headings.alias("b")
-    ends = (a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") > F.col("a.start")) & (F.col("b.level") <= F.col("a.level")), "left")
-            .groupBy("a.doc_id", "a.start").agg(F.min("b.start").alias("stop")))
-    parents = (a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") < F.col("a.start")) & (F.col("b.level") < F.col("a.level")), "left")
-               .groupBy("a.doc_id", "a.start").agg(F.max("b.start").alias("parent_start")))
+    where the next heading of its level or a shallower one begins; its parent is the last shallower one before it.
+
+    Running extremes by level over a document's headings, once forward and once backward: no join."""
+    depth = F.least(F.greatest("level", F.lit(1)), F.lit(levels))
+    before = Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("doc_id").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+    held = headings.withColumn("__depth", depth)
+    held = held.withColumns({f"__above{n}": F.max(F.when(F.col("__depth") < n, F.col("start"))).over(before) for n in range(2, levels + 1)})
+    held = held.withColumns({f"__next{n}": F.min(F.when(F.col("__depth") <= n, F.col("start"))).over(after) for n in range(1, levels + 1)})
+    none = F.lit(None).cast("int")
+    parent, stop = none, none
+    for n in range(levels, 0, -1):
+        parent = F.when(F.col("__depth") == n, F.col(f"__above{n}") if n > 1 else none).otherwise(parent)
+        stop = F.when(F.col("__depth") == n, F.col(f"__next{n}")).otherwise(stop)
     node = lambda c: F.format_string("n_%08x", c)
-    return headings.join(ends, ["doc_id", "start"]).join(parents, ["doc_id", "start"]).select(
-        "doc_id", node(F.col("start")).alias("node_id"), F.when(F.col("parent_start").isNotNull(), node(F.col("parent_start"))).alias("parent_id"), "title", "level", "start",
-        F.coalesce("stop", "doc_end").alias("end"))
+    return held.select(
+        "doc_id", node(F.col("start")).alias("node_id"), F.when(parent.isNotNull(), node(parent)).alias("parent_id"), "title", "level", "start", F.coalesce(stop, "doc_end").alias("end"))

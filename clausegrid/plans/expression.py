@@ -183,6 +183,8 @@ class Env:
     member: Callable[[tuple[str, ...]], Column | None]
     arrays: frozenset[str] = frozenset()
     functions: dict[str, Callable] = field(default_factory=dict)
+    #: What functions report of single rows: a message, null where all is well.
+    noted: list[Column] = field(default_factory=list)
 
 
 def literals(node, method: str = "Contains") -> list[str]:
@@ -195,8 +197,16 @@ def literals(node, method: str = "Contains") -> list[str]:
     return []
 
 
+#: Functions that give an array, and members of what functions give: field by function and name.
+LISTS = frozenset({"SemanticBindings"})
+MEMBERS = {("ResolveAnchorSpan", name): of for name, of in (("Text", "text"), ("Cosine", "similarity"), ("CharStart", "char_start"), ("CharLength", "char_length"))}
+
+
+SECONDS = {"TotalSeconds": 1, "TotalMinutes": 60, "TotalHours": 3600, "TotalDays": 86400}
+
+
 def is_array(node, env: Env) -> bool:
-    return isinstance(node, Path) and ".".join(node.names[1:]) in env.arrays
+    return isinstance(node, Path) and ".".join(node.names[1:]) in env.arrays or isinstance(node, Call) and node.name in LISTS
 
 
 def column(node, env: Env) -> Column:
@@ -224,6 +234,26 @@ def truth(node, env: Env) -> Column:
     return F.coalesce(column(node, env).cast("boolean"), F.lit(False))
 
 
+def checked(node, env: Env) -> tuple[Column, Column | None]:
+    """(truth, error): the first message of a function that is reached at all, as ``&&`` and ``||`` stop early; None if no
+    function can report one."""
+    if isinstance(node, Op) and node.name in ("&&", "||"):
+        out, error = checked(node.parts[0], env)
+        for p in node.parts[1:]:
+            more, own = checked(p, env)
+            if own is not None:
+                reached = F.when(out if node.name == "&&" else ~out, own)
+                error = reached if error is None else F.coalesce(error, reached)
+            out = (out & more) if node.name == "&&" else (out | more)
+        return out, error
+    if isinstance(node, Op) and node.name == "!":
+        out, error = checked(node.parts[0], env)
+        return ~out, error
+    before = len(env.noted)
+    out, own = truth(node, env), env.noted[before:]
+    return out, F.coalesce(*own) if own else None
+
+
 def compare(op: str, left, right, env: Env) -> Column:
     nulls = [isinstance(x, Lit) and x.value is None for x in (left, right)]
     if any(nulls):
@@ -243,6 +273,13 @@ def _call(node: Call, env: Env) -> Column:
     if node.name in ("Count", "Length"):
         c = column(node.target, env)
         return F.coalesce(F.size(c) if is_array(node.target, env) else F.char_length(c), F.lit(0))
+    if isinstance(node.target, Call) and not node.args and (node.target.name, node.name) in MEMBERS:
+        return column(node.target, env)[MEMBERS[node.target.name, node.name]]
+    if node.name in ("Value", "HasValue") and not node.args:
+        c = column(node.target, env)
+        return c if node.name == "Value" else c.isNotNull()
+    if node.name in SECONDS and not node.args:  # of a duration, which is a number of seconds
+        return column(node.target, env) / float(SECONDS[node.name])
     a = [column(x, env) for x in node.args]
     c = column(node.target, env)
     if node.name == "Contains":

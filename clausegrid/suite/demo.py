@@ -72,15 +72,22 @@ here AS (
   UNION ALL SELECT doc_id, section_id, ord, char_start, heading, text, 'D-TAX-002', NULL FROM s WHERE category = 'tax'),
 rules(rule_id, nl, mandatory, src, src_start, src_len, predicate) AS (VALUES
   {', '.join(f"('{r.id}', '{r.natural_language}', {r.applicability == 'Mandatory'}, '{r.source_document}', {r.source_start}, {r.source_length}, '{r.predicate}')" for r in RULES.rules)}),
+hit AS (
+  SELECT *, CASE WHEN NOT ok THEN list_filter([{{'at': instr(lower(text), 'ion') - 1, 'size': 3, 'r': 'D-SEC-001'}}, {{'at': instr(lower(text), 'token') - 1, 'size': 5, 'r': 'D-SEC-001'}},
+      {{'at': instr(lower(text), 'tion') - 1, 'size': 4, 'r': 'D-SUP-001'}}, {{'at': instr(lower(text), 'gst') - 1, 'size': 3, 'r': 'D-TAX-001'}}], lambda x: x.r = rule_id AND x.at >= 0)[1] END AS h FROM here),
 v AS (
-  SELECT doc_id, h.rule_id, section_id, ord, CASE WHEN ok IS NULL THEN 'Error' WHEN ok THEN 'Pass' ELSE 'Fail' END AS outcome,
-         CASE WHEN ok IS NULL THEN 'unknown phrasebook ''missing''' WHEN NOT ok THEN 'Rule ''' || h.rule_id || ''' failed: ' || nl END AS error,
-         CASE WHEN NOT ok AND h.rule_id = 'D-SEC-001' THEN 'Rewrite "' || heading || '" under D-SEC-001 within 30 days; {{unknown.x}} stays.' WHEN NOT ok AND h.rule_id = 'D-TAX-001' THEN 'Name it.' END AS remediation,
-         char_start AS start, length(text) AS length
-  FROM here h JOIN rules USING (rule_id)
+  SELECT doc_id, hit.rule_id, section_id, ord, CASE WHEN ok IS NULL THEN 'Error' WHEN ok THEN 'Pass' ELSE 'Fail' END AS outcome,
+         CASE WHEN ok IS NULL THEN 'unknown phrasebook ''missing''' WHEN NOT ok THEN 'Rule ''' || hit.rule_id || ''' failed: ' || nl END AS error,
+         CASE WHEN NOT ok AND hit.rule_id = 'D-SEC-001' THEN 'Rewrite "' || heading || '" under D-SEC-001 within 30 days; {{unknown.x}} stays.' WHEN NOT ok AND hit.rule_id = 'D-TAX-001' THEN 'Name it.' END AS remediation,
+         CAST(char_start + coalesce(h.at, 0) AS BIGINT) AS start, CAST(coalesce(h.size, length(text)) AS BIGINT) AS length,
+         CASE WHEN NOT ok AND text <> '' THEN CAST(char_start AS BIGINT) END AS clause_start, CASE WHEN NOT ok AND text <> '' THEN CAST(length(text) AS BIGINT) END AS clause_length, CAST(doc_id AS VARCHAR) AS source, predicate
+  FROM hit JOIN rules USING (rule_id)
   UNION ALL
-  SELECT d.doc_id, r.rule_id, NULL, NULL, CASE WHEN mandatory THEN 'Gap' ELSE 'NotApplicable' END, NULL, CASE WHEN mandatory THEN 'Document does not address: ' || nl END, src_start, src_len
+  SELECT d.doc_id, r.rule_id, NULL, NULL, CASE WHEN mandatory THEN 'Gap' ELSE 'NotApplicable' END, NULL, CASE WHEN mandatory THEN 'Document does not address: ' || nl END, src_start, src_len, NULL, NULL, src, predicate
   FROM (SELECT DISTINCT doc_id FROM s) d CROSS JOIN rules r WHERE NOT EXISTS (SELECT 1 FROM here h WHERE h.doc_id = d.doc_id AND h.rule_id = r.rule_id))"""
+#: The address of a verdict in ``v``.
+VERDICT_ID = """'lr1:' || sha256(array_to_string(list_concat(['verdict', rule_id, '1.0.0', 'rs_demo', '1.0.0', 'lr1:' || sha256(predicate), source, CAST(start AS VARCHAR), CAST(length AS VARCHAR), outcome],
+  CASE WHEN clause_start IS NULL THEN [] ELSE ['clause:' || clause_start, 'clauseLen:' || clause_length] END, ['']), chr(31)))"""
 COUNTS = """count(*) FILTER (outcome = 'Pass') AS passed, count(*) FILTER (outcome = 'Fail') AS failed, count(*) FILTER (outcome = 'Error') AS errored,
        count(*) FILTER (outcome = 'Gap') AS gaps, count(*) FILTER (outcome = 'NotApplicable') AS not_applicable, count(*) FILTER (outcome = 'Skipped') AS skipped"""
 SCORE = "CASE WHEN passed + failed + gaps = 0 THEN 1.0 ELSE CAST(passed AS DOUBLE) / (passed + failed + gaps) END"
