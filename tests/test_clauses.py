@@ -25,7 +25,7 @@ def test_durations_near_anchors(spark):
     assert near("The RTO is 4 hours. The RPO is 15 min.", "rto") == 14400 and near("The RTO is 4 hours. The RPO is 15 min.", "RPO") == 900
     assert near("RTO. Then 4 hours", "rto") is None and near(None, "x") is None and near("", "x") is None and near("rto 1,5 days, 2 wk", "rto") == 129600
     assert near("backup 3 days or recovery 2 hours", "recovery") == 7200 and near("a rto " + "x" * 200 + " 4 hours", "rto") is None
-    got = spark.createDataFrame([("RTO 2 h",), (None,)], "t string").select(clauses.duration_near_column(F.col("t"), "rto").alias("s")).collect()
+    got = spark.createDataFrame([("RTO 2 h",), (None,)], "t string").select(clauses.seconds_near(F.col("t"), "rto").alias("s")).collect()
     assert sorted(str(r["s"]) for r in got) == ["7200.0", "None"]
 
 

@@ -159,8 +159,9 @@ def test_outcomes_and_report(sections):
         ("A", "s_00000001"): "Pass", ("B", "s_00000002"): "Fail", ("C", None): "Gap", ("D", None): "NotApplicable", ("E", "s_00000002"): "Error",
         ("F", "s_00000000"): "Error", ("F", "s_00000001"): "Error", ("F", "s_00000002"): "Error"}
     assert got["B", "s_00000002"]["remediation"] == "See 2. Governing Law / B / {x.y}" and got["B", "s_00000002"]["error"] == "Rule 'B' failed: Quebec."
-    a = got["A", "s_00000001"]
-    assert a["length"] == 2 and a["clause_length"] == len("Buyer paysin 30 days.") and got["F", "s_00000000"]["error"].startswith("predicate: ")
+    a, b = got["A", "s_00000001"], got["B", "s_00000002"]
+    assert (a["start"], a["length"], a["clause_length"]) == (MARKDOWN.index("## 1. Payment"), len("## 1. Payment"), None) and got["F", "s_00000000"]["error"].startswith("predicate: ")
+    assert (b["clause_start"], b["clause_length"]) == (MARKDOWN.index("Laws of"), len("Laws of Ontario."))
     r = evaluate.report(evaluate.evaluate(sections, RULES)).first()
     assert (r["passed"], r["failed"], r["gaps"], r["errored"], r["not_applicable"]) == (1, 1, 1, 4, 1) and abs(r["score"] - 1 / 3) < 1e-12
     with pytest.raises(ValueError):
