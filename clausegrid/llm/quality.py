@@ -239,16 +239,17 @@ def mcd_models(stats: DataFrame) -> DataFrame:
     return models.select("key", "n", "mean", "cov")
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs`` (without its text, unless that is to be kept) with the base counts and the ``vector`` x."""
+def statistics(docs: DataFrame, within: str | None = None) -> DataFrame:
+    """``docs`` with the base counts and the ``vector`` x of its column text, which is left out; or, unchanged, with those of
+    the field text of its struct ``within``."""
     bounded_batches(docs.sparkSession)
-    long, own = T.LongType(), [f for f in docs.schema.fields if keep_text or f.name != text_col]
-    extra = [T.StructField(n, long) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    own = [f for f in docs.schema.fields if within or f.name != "text"]
+    extra = [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     extra += [T.StructField("base_failed", T.BooleanType()), T.StructField("x", T.ArrayType(T.DoubleType()))]
 
     def run(batches):
         for b in batches:
-            c = [counts(t) for t in utf8(b.column(b.schema.names.index(text_col)))]
+            c = [counts(t) for t in utf8(b.column(b.schema.names.index(within)).field("text") if within else b.column(b.schema.names.index("text")))]
             cols = [pa.array([r[k] for r in c], pa.int64()) for k in range(5)]
             failed = pa.array([base_failed(r[0], r[4]) for r in c], pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -318,9 +319,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     Nulls, empty texts, repeated rows and empty tables are treated as there. Counts are made again where the rows are,
     which is cheaper than to move the texts to their verdicts."""
-    named = lambda df: df.withColumns({"__lang": _part("lang"), "__source": _part("source")})
     held = cut(statistics(docs.select(_part("lang").alias("lang"), _part("source").alias("source"), "text")), "quality")
     models = group_models(held).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "mean", "prec")
-    whole = named(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "lang", "source", "text")).select("__row", "__lang", "__source", "text")
-    out = statistics(whole).join(models, ["__lang", "__source"], "left").withColumn("distance2", F.coalesce(_distance(len(STATISTICS)), F.lit(0.0)))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), _part("lang").alias("__lang"), _part("source").alias("__source"))
+    out = statistics(whole, "__row").join(models, ["__lang", "__source"], "left").withColumn("distance2", F.coalesce(_distance(len(STATISTICS)), F.lit(0.0)))
     return out.where(_verdict()).select("__row.*")
