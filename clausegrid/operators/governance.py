@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import UNIT, address, compose_list
+from ..functions.vectors import cosine
 from ..plans import expression as ex
 from .evaluate import Rule, RuleSet
 
@@ -54,9 +55,9 @@ def ruleset_fingerprint(s: RuleSet) -> str:
 
 def rule_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
     """The rule set as a table, with a content address for each rule."""
-    rows = [(rules.id, rules.version, rules.domain, r.id, r.version, r.natural_language, r.predicate, r.lambda_, r.severity, r.applicability, float(r.gate_threshold), r.remediation or "", rule_fingerprint(r)) for r in rules.rules]
+    rows = [(rules.id, rules.version, rules.domain, r.id, r.version, r.natural_language, r.predicate, r.lambda_, r.severity, r.applicability, float(r.gate_threshold), r.remediation or "", rule_fingerprint(r), r.evidence_quote, r.source_document) for r in rules.rules]
     return spark.createDataFrame(rows, "ruleset_id string, ruleset_version string, domain string, rule_id string, version string, natural_language string, predicate string, lambda string, severity string, "
-                                       "applicability string, gate_threshold double, remediation string, fingerprint string")
+                                       "applicability string, gate_threshold double, remediation string, fingerprint string, evidence_quote string, source_document string")
 
 
 def ruleset_fingerprints(rules: DataFrame) -> DataFrame:
@@ -75,6 +76,14 @@ def apply_overlay(rules: DataFrame, disabled: DataFrame) -> tuple[DataFrame, Dat
     return active, audit
 
 
+def structural_problems(rules: DataFrame) -> DataFrame:
+    """(rule_id, problem) of the rules that cannot be traced: without a quote, or else without a known source document."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    problem = F.when(blank("evidence_quote"), "missing evidenceQuote").when(
+        F.coalesce(F.col("source_document").isin("", "(unknown)"), F.lit(True)), "missing or unknown sourceSpan.documentId")
+    return rules.select("rule_id", problem.alias("problem")).where("problem is not null")
+
+
 _COMPARED = ("version", "predicate", "lambda", "severity", "applicability", "gate_threshold", "remediation")
 
 
@@ -122,25 +131,48 @@ def signature_rows(spark: SparkSession, rules: RuleSet) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, universal boolean, kind string, field string, literal string")
 
 
-def candidates(sections: DataFrame, signatures: DataFrame) -> DataFrame:
-    """(doc_id, section_id, rule_id) by the index: atoms of any field that sections have, arrays by their JSON text. Equal
-    atoms are an equi-join on field and literal; contains atoms meet a broadcast table, which is the size of a rule set."""
+def section_index(sections: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """(doc_id, section_id, field, value): what sections have under each of the fields, arrays by their JSON text; fields that
+    no section has are left out. Equality and substring lookups are filters on it, the values of a field its distinct ones."""
     held = []
-    for r in signatures.where("field is not null").select("field").distinct().orderBy("field").collect():
+    for name in fields:
         try:
-            kind = sections.select(F.col(r["field"])).schema[0].dataType
+            kind = sections.select(F.col(name)).schema[0].dataType
+        except AnalysisException:
+            continue
+        nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
+        held.append(F.struct(F.lit(name).alias("field"), (F.to_json(F.col(name)) if nested else F.col(name).cast("string")).alias("value")))
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    return sections.select("doc_id", "section_id", F.inline(F.array(*held) if held else none))
+
+
+def candidates(sections: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(doc_id, section_id, rule_id) by the index: atoms of any field that sections have, arrays by their JSON text.
+
+    The signatures are a rule set's, which the driver holds anyway: a section meets their literals by field in one
+    projection, without a join, and each of its rules once."""
+    atoms: dict[tuple[str, str, str], list[str]] = {}
+    always = []
+    for r in signatures.select("rule_id", "universal", "kind", "field", "literal").collect():
+        if r["universal"]:
+            always.append(r["rule_id"])
+        else:
+            atoms.setdefault((r["field"], r["kind"], r["literal"]), []).append(r["rule_id"])
+    listed = lambda ids: F.array(*(F.lit(x) for x in sorted(set(ids)))) if ids else F.array().cast("array<string>")
+    found = [listed(always)]
+    for name in sorted({f for f, _, _ in atoms}):
+        try:
+            kind = sections.select(F.col(name)).schema[0].dataType
         except AnalysisException:  # no section has the field
             continue
         nested = isinstance(kind, (T.ArrayType, T.StructType, T.MapType))
-        held.append(F.struct(F.lit(r["field"]).alias("field"), (F.to_json(F.col(r["field"])) if nested else F.col(r["field"]).cast("string")).alias("value")))
-    keys = ["doc_id", "section_id", "rule_id"]
-    out = sections.select("doc_id", "section_id").join(F.broadcast(signatures.where("universal").select("rule_id"))).select(keys)
-    if held:
-        fields = sections.select("doc_id", "section_id", F.inline(F.array(*held)))
-        eq = signatures.where("kind = 'eq'").select("rule_id", "field", F.col("literal").alias("value")).distinct()
-        part = F.broadcast(signatures.where("kind = 'contains'").select("rule_id", F.col("field").alias("f"), "literal"))
-        out = out.unionByName(fields.join(eq, ["field", "value"]).select(keys)).unionByName(fields.join(part, (F.col("field") == F.col("f")) & F.contains(F.col("value"), F.col("literal"))).select(keys))
-    return out.distinct()
+        value = F.to_json(F.col(name)) if nested else F.col(name).cast("string")
+        equal = {v: ids for (f, k, v), ids in atoms.items() if f == name and k == "eq"}
+        if equal:
+            found.append(F.try_element_at(F.create_map(*(x for v, ids in sorted(equal.items()) for x in (F.lit(v), listed(ids)))), value))
+        found += [F.when(F.contains(value, F.lit(v)), listed(ids)) for (f, k, v), ids in sorted(atoms.items()) if f == name and k == "contains"]
+    rules = F.array_distinct(F.flatten(F.array_compact(F.array(*found))))
+    return sections.select("doc_id", "section_id", F.explode(rules).alias("rule_id"))
 
 
 def vocabulary_coverage(rules: DataFrame, declared: list[str]) -> DataFrame:
@@ -153,6 +185,23 @@ def vocabulary_coverage(rules: DataFrame, declared: list[str]) -> DataFrame:
     return used.select("referenced", own.alias("declared"), F.array_except("referenced", own).alias("missing"), F.array_except(own, "referenced").alias("unused"))
 
 
+def example_similarities(spark: SparkSession, rules: RuleSet, embed: Callable[[Column], Column]) -> DataFrame:
+    """(rule_id, positive, example, similarity) of the rules' examples to the rules' own sentences; for ``validator_margins``."""
+    rows = [(r.id, r.natural_language, positive, x) for r in rules.rules if r.examples for positive, name in ((True, "positive"), (False, "negative")) for x in r.examples.get(name, ())]
+    held = spark.createDataFrame(rows, "rule_id string, sentence string, positive boolean, example string")
+    vectors = held.select(F.explode(F.array("sentence", "example")).alias("text")).distinct().withColumn("v", embed(F.col("text")))
+    own, other = (vectors.select(F.col("text").alias(c), F.col("v").alias(f"v_{c}")) for c in ("sentence", "example"))
+    return held.join(own, "sentence").join(other, "example").select("rule_id", "positive", "example", cosine(F.col("v_sentence"), F.col("v_example")).alias("similarity"))
+
+
+def anchor_embeddings(spark: SparkSession, rules: RuleSet, embed: Callable[[Column], Column]) -> DataFrame:
+    """(rule_id, anchor, anchor_text, embedding): anchors' own vectors where they have them, else new ones; each text once."""
+    rows = [(r.id, a["name"], a["anchorText"], [float(x) for x in a["anchorEmbedding"]] if a.get("anchorEmbedding") else None) for r in rules.rules for a in r.anchors]
+    held = spark.createDataFrame(rows, "rule_id string, anchor string, anchor_text string, own array<double>")
+    new = held.where("own is null").select("anchor_text").distinct().withColumn("v", embed(F.col("anchor_text")))
+    return held.join(new, "anchor_text", "left").select("rule_id", "anchor", "anchor_text", F.coalesce("own", "v").alias("embedding"))
+
+
 def validator_margins(examples: DataFrame, epsilon: float = 0.05) -> DataFrame:
     """examples(rule_id, positive, similarity) to (rule_id, min_positive, max_negative, margin, threshold, accepted)."""
     e = examples.groupBy("rule_id").agg(F.min(F.when(F.col("positive"), F.col("similarity"))).alias("min_positive"), F.max(F.when(~F.col("positive"), F.col("similarity"))).alias("max_negative"))

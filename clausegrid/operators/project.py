@@ -221,6 +221,22 @@ KIND_BIGRAMS = (
     ("oil-gas", ("pipeline regulations", "well integrity", "methane regulations")),
 )
 KIND_BLOCKS = 60
+#: Parts of a path that name a kind, in order; fixed values.
+KIND_PATHS = (
+    ("arb-psa", ("samples/architecture", "rulesets/architecture-review")), ("contract", ("samples/contracts", "rulesets/contracts")),
+    ("fsi", ("corpus/fsi",)), ("gov-architecture", ("corpus/gov-architecture",)), ("oil-gas", ("corpus/oil-gas",)), ("permitting", ("corpus/permitting",)),
+)
+
+
+def resolve_kind(explicit: Column, path: Column, voted: Column, paths=KIND_PATHS) -> Column:
+    """What a document is said to be, else what its path says, whatever the case and kind of slash, else what its blocks
+    voted for, else 'unknown'."""
+    low = F.lower(F.translate(path, "\\", "/"))
+    by_path = F.lit(None).cast("string")
+    for kind, parts in reversed(paths):
+        by_path = F.when(_any(low, [p.lower() for p in parts]), kind).otherwise(by_path)
+    said = F.trim(explicit)
+    return F.coalesce(F.when(F.char_length(said) > 0, said), by_path, voted, F.lit(UNKNOWN))
 
 
 def document_kinds(blocks: DataFrame, bigrams=KIND_BIGRAMS, window: int = KIND_BLOCKS) -> DataFrame:
@@ -236,6 +252,12 @@ def document_kinds(blocks: DataFrame, bigrams=KIND_BIGRAMS, window: int = KIND_B
 # ---- outline ----
 
 
+def outline_headings(blocks: DataFrame) -> DataFrame:
+    """(doc_id, title, level, start, doc_end) of the headings of blocks."""
+    ends = F.max(F.col("char_start") + F.col("char_length")).over(Window.partitionBy("doc_id"))
+    return blocks.withColumn("doc_end", ends).where("kind = 'heading'").select("doc_id", F.col("text").alias("title"), F.col("heading_level").alias("level"), F.col("char_start").alias("start"), "doc_end")
+
+
 #: Heading levels that sources give; deeper ones count as the last in an outline.
 LEVELS = 9
 

@@ -197,6 +197,13 @@ def literals(node, method: str = "Contains") -> list[str]:
     return []
 
 
+def calls(node) -> list[Call]:
+    """All calls in an expression, outer ones first."""
+    if isinstance(node, Call):
+        return [node, *(calls(node.target) if node.target is not None else []), *(x for a in node.args for x in calls(a))]
+    return [x for p in node.parts for x in calls(p)] if isinstance(node, Op) else []
+
+
 #: Functions that give an array, and members of what functions give: field by function and name.
 LISTS = frozenset({"SemanticBindings"})
 MEMBERS = {("ResolveAnchorSpan", name): of for name, of in (("Text", "text"), ("Cosine", "similarity"), ("CharStart", "char_start"), ("CharLength", "char_length"))}

@@ -115,12 +115,37 @@ def _take(at: Column, kind: str, what) -> Column:
     return items
 
 
+def in_order(nodes: Column) -> Column:
+    """Nodes by the order of their paths as texts: ``[10]`` stands before ``[2]``."""
+    return F.array_sort(nodes, lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+
+
 def json_matches(doc: Column, path: str) -> Column:
-    """array<struct<path, node variant>> of the non-null nodes that a path selects in a variant."""
+    """array<struct<path, node variant>> of the non-null nodes that a path selects in a variant, in order."""
     at = F.array(_node(F.lit("$"), doc))
     for kind, what in parse_path(path):
         at = F.filter(_take(at, kind, what), lambda x: x["node"].isNotNull())
-    return F.filter(at, lambda x: ~F.is_variant_null(x["node"]))
+    return in_order(F.filter(at, lambda x: ~F.is_variant_null(x["node"])))
+
+
+#: Levels of a document that ``leaves`` goes into; a deeper one stops the job.
+DEEPEST = 64
+
+
+def leaves(doc: Column) -> Column:
+    """array<struct<path, node variant>> of all values that are neither objects nor arrays nor null, in order."""
+    item = lambda path, node, done: F.struct(path.alias("path"), node.alias("node"), F.lit(done).alias("done"))
+    there = lambda nodes: F.filter(nodes, lambda k: k["node"].isNotNull() & ~F.coalesce(F.is_variant_null(k["node"]), F.lit(True)))
+
+    def opened(x: Column) -> Column:
+        fields, items = F.try_variant_get(x["node"], "$", "map<string,variant>"), F.try_variant_get(x["node"], "$", "array<variant>")
+        of_fields = F.transform(F.map_entries(fields), lambda e: item(F.concat(x["path"], F.lit("."), e["key"]), e["value"], False))
+        of_items = F.transform(items, lambda v, i: item(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), v, False))
+        return F.when(x["done"], F.array(x)).when(fields.isNotNull(), there(of_fields)).when(items.isNotNull(), there(of_items)).otherwise(F.array(item(x["path"], x["node"], True)))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), there(F.array(item(F.lit("$"), doc, False))), lambda at, _: F.flatten(F.transform(at, opened)))
+    plain = F.transform(found, lambda x: F.when(x["done"], _node(x["path"], x["node"])).otherwise(F.raise_error(F.lit(f"nested deeper than {DEEPEST} levels")).cast("struct<path:string,node:variant>")))
+    return in_order(plain)
 
 
 def has_field(doc: Column, path: str, name: str) -> Column:
@@ -139,9 +164,9 @@ def value_in(doc: Column, path: str, values: list) -> Column:
     return F.filter(json_matches(doc, path), one)
 
 
-def regex_nodes(doc: Column, path: str, pattern: str) -> Column:
-    """String nodes of ``path`` in which the pattern is found."""
-    return F.filter(json_matches(doc, path), lambda x: compare_json(x["node"], Compare("", "=~", pattern)))
+def regex_nodes(doc: Column, path: str | None, pattern: str) -> Column:
+    """String nodes of ``path``, or string leaves anywhere without one, in which the pattern is found."""
+    return F.filter(json_matches(doc, path) if path else leaves(doc), lambda x: compare_json(x["node"], Compare("", "=~", pattern)))
 
 
 def _has_path(nodes: Column, path: Column) -> Column:
@@ -161,11 +186,23 @@ def select_all(*parts: Column) -> Column:
 
 
 def select_any(*parts: Column) -> Column:
-    """Nodes of all parts, each path once, the first part's node winning."""
+    """Nodes of all parts in order, each path once, the first part's node winning."""
     out = parts[0] if parts else F.array().cast(_NONE)
     for p in parts[1:]:
         out = F.concat(out, _shared(p, out, False))
-    return out
+    return in_order(out)
+
+
+def select_not(doc: Column, excluded: Column) -> Column:
+    """The document's leaves whose paths ``excluded`` does not hold: for use inside ``select_all``."""
+    return _shared(leaves(doc), excluded, False)
+
+
+def span_of(path: Column, spans: Column) -> Column:
+    """The value of the nearest path upwards that ``spans`` (map<path, span>) holds, the root's at last; else null."""
+    steps = F.regexp_extract_all(path, F.lit(r"(^\$|\.[^.\[]+|\[[0-9]+\])"), F.lit(1))
+    above = F.transform(F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0))), lambda k: F.array_join(F.slice(steps, F.lit(1), F.size(steps) - k), ""))
+    return F.get(F.filter(F.transform(above, lambda p: F.try_element_at(spans, p)), lambda v: v.isNotNull()), F.lit(0))
 
 
 # ---- sections: the same language on typed rows, one row a section ----

@@ -26,7 +26,7 @@ TEXT_KINDS = ("markdown", "text", "html")
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(doc_id, file_name, kind, byte_length, content, text, problem): text kinds are addressed without byte order mark and
+    """(doc_id, path, file_name, kind, byte_length, content, text, problem): text kinds are addressed without byte order mark and
     with line feeds alone, others by their bytes. Kinds without a parser have a problem instead of failing the job."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
@@ -36,8 +36,8 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     text = F.when(kind.isin(*TEXT_KINDS), normalise_source(F.decode("content", "UTF-8")))
     return files.select(
         F.when(text.isNotNull(), content_hash(text)).otherwise(F.concat(F.lit(PREFIX), F.sha2("content", 256))).alias("doc_id"),
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), kind.alias("kind"), F.col("length").alias("byte_length"), "content", text.alias("text"),
-        F.when(~kind.isin("markdown", "docx"), F.concat(F.lit("no parser for "), kind)).alias("problem"))
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), kind.alias("kind"), F.col("length").alias("byte_length"), "content", text.alias("text"),
+        F.when(~kind.isin("markdown", "text", "docx"), F.concat(F.lit("no parser for "), kind)).alias("problem"))
 
 
 def squeeze(text: str) -> str:

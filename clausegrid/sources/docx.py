@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import zipfile
 from collections.abc import Iterator
@@ -32,10 +33,66 @@ def _run(text: str, tag: str = "t") -> ET.Element:
     return r
 
 
+def _split(paragraph: ET.Element, run: ET.Element, at: int) -> None:
+    """Parts a run behind its first ``at`` characters: two runs with the same properties."""
+    second = copy.deepcopy(run)
+    left = at
+    for own, other in zip(run.findall(f"{_W}t"), second.findall(f"{_W}t")):
+        text = own.text or ""
+        own.text, other.text = text[:max(0, left)], text[max(0, left):]
+        for t in (own, other):
+            t.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+        left -= len(text)
+    paragraph.insert(list(paragraph).index(run) + 1, second)
+
+
+def _squeezed(raw: str) -> list[int]:
+    """For each character of the text with white space made single and trimmed, its place in ``raw``; and its end."""
+    places: list[int] = []
+    for k, c in enumerate(raw):
+        if not c.isspace():
+            if places and k and raw[k - 1].isspace():
+                places.append(k - 1)
+            places.append(k)
+    return [*places, places[-1] + 1 if places else 0]
+
+
+def _replace(paragraph: ET.Element, start: int, stop: int, text: str, who: dict) -> None:
+    """Marks the characters start to stop of the squeezed text as deleted and ``text`` behind them as inserted."""
+    size = lambda r: sum(len(t.text or "") for t in r.findall(f"{_W}t"))
+    places = _squeezed("".join(t.text or "" for t in paragraph.iter(f"{_W}t")))
+    start, stop = min(start, len(places) - 1), min(stop, len(places) - 1)
+    low, high = places[start], places[stop - 1] + 1 if stop > start else places[start]
+    for edge in (low, high):
+        at = 0
+        for r in paragraph.findall(f"{_W}r"):
+            if at < edge < at + size(r):
+                _split(paragraph, r, edge - at)
+                break
+            at += size(r)
+    gone, new, at, last = _el("del", **who), _el("ins", **{**who, "id": 100_000 + who["id"]}), 0, None
+    for r in paragraph.findall(f"{_W}r"):
+        n = size(r)
+        if n and low <= at and at + n <= high:
+            if last is None:
+                paragraph.insert(list(paragraph).index(r), gone)
+                last = gone
+            paragraph.remove(r)
+            for t in r.iter(f"{_W}t"):
+                t.tag = _W + "delText"
+            gone.append(r)
+        at += n
+    new.append(_run(text))
+    if last is None:  # nothing to delete, such as text inside a link: the new text stands at the end
+        paragraph.append(new)
+    else:
+        paragraph.insert(list(paragraph).index(gone) + 1, new)
+
+
 def annotate_docx(content: bytes, notes: list[dict], author: str = "Review") -> bytes:
     """Writes notes (comment_id, kind, start, length, text; offsets in the body's squeezed paragraphs joined by line feeds)
-    into a Word file. A comment is anchored to its paragraph; a replacement marks the paragraph's runs as deleted and the
-    new text as inserted. A note whose place is not found is left out."""
+    into a Word file. A comment is anchored to its paragraph; a replacement marks what its span covers as deleted, runs being
+    split at the span's ends, and puts the new text behind that as inserted. A note whose place is not found is left out."""
     src = zipfile.ZipFile(io.BytesIO(content))
     parts = {n: src.read(n) for n in src.namelist()}
     doc = ET.fromstring(parts["word/document.xml"])
@@ -52,14 +109,8 @@ def annotate_docx(content: bytes, notes: list[dict], author: str = "Review") ->
             continue
         who = {"id": n["comment_id"], "author": author, "date": STAMP}
         if n["kind"] == "replace":
-            gone, new = _el("del", **who), _el("ins", **{**who, "id": 100_000 + n["comment_id"]})
-            for r in own.findall(f"{_W}r"):
-                own.remove(r)
-                for t in r.iter(f"{_W}t"):
-                    t.tag = _W + "delText"
-                gone.append(r)
-            new.append(_run(n["text"]))
-            own.extend([gone, new])
+            begin = next(a for a, _, p in spans if p is own)
+            _replace(own, max(0, n["start"] - begin), n["start"] + n["length"] - begin, n["text"], who)
             continue
         c = _el("comment", **who, initials="".join(w[0] for w in author.split())[:3])
         p = _el("p")

@@ -26,6 +26,21 @@ def _read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0].lstrip("\ufeff")
 
 
+def load_json(spark: SparkSession, path: str):
+    return json.loads(_read_text(spark, path))
+
+
+def save_json(spark: SparkSession, value, path: str) -> None:
+    """One JSON file, pretty-printed, wherever Spark's file systems reach; an older one is replaced."""
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    out = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(there, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, ensure_ascii=False).encode()))
+    finally:
+        out.close()
+
+
 def load_ruleset(spark: SparkSession, path: str) -> RuleSet:
     return RuleSet.from_json(_lower_keys(json.loads(_read_text(spark, path))))
 

@@ -18,9 +18,9 @@ def test_review_of_a_folder(spark, tmp_path):
     verdicts = [json.loads(x["value"]) for x in spark.read.text(f"{out}/verdicts").collect()]
     assert sorted((v["rule_id"], v["outcome"]) for v in verdicts) == [("A", "Gap"), ("A", "Pass"), ("K", "Pass"), ("K", "Skipped")]
     assert spark.read.json(f"{out}/reports").count() == 2
-    cli.main(["tree", str(docs), "--out", f"{out}/tree"])
+    cli.main(["dump-tree", str(docs), "--out", f"{out}/tree"])
     assert sorted(r["title"] for r in spark.read.json(f"{out}/tree").collect()) == ["Notes", "Payment", "Services agreement"]
-    cli.main(["diff", str(tmp_path / "r.json"), str(tmp_path / "r.json"), "--out", f"{out}/diff"])
+    cli.main(["rules-diff", str(tmp_path / "r.json"), str(tmp_path / "r.json"), "--out", f"{out}/diff"])
     assert {r["change"] for r in spark.read.json(f"{out}/diff").collect()} == {"unchanged"}
     cli.main(["parse", str(docs), "--out", f"{out}/blocks"])
     assert spark.read.json(f"{out}/blocks").count() == 6
