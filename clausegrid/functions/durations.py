@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: phrases and the days of their cycle ----
 PHRASES = {
-    30: ("every 30 days", "every thirty (30) days", "on a 30-day cycle", "monthly", "every month"),
-    60: ("every 60 days", "every sixty (60) days", "on a 60-day cycle", "bi-monthly", "bimonthly"),
-    90: ("every 90 days", "every ninety (90) days", "on a 90-day cycle", "on a 90 day cycle", "quarterly", "every quarter"),
-    180: ("every 180 days", "on a 180-day cycle", "semi-annually", "semiannually", "every six months", "every 6 months"),
-    365: ("every 365 days", "on a 365-day cycle", "annually", "yearly", "every year"),
-    730: ("every 730 days", "biennially", "every two years", "every 2 years"),
+    "every 30 days": 30, "every thirty (30) days": 30, "on a 30-day cycle": 30, "monthly": 30, "every month": 30,
+    "every 60 days": 60, "every sixty (60) days": 60, "on a 60-day cycle": 60, "bi-monthly": 60, "bimonthly": 60,
+    "every 90 days": 90, "every ninety (90) days": 90, "on a 90-day cycle": 90, "on a 90 day cycle": 90, "quarterly": 90, "every quarter": 90,
+    "every 180 days": 180, "on a 180-day cycle": 180, "semi-annually": 180, "semiannually": 180, "every six months": 180, "every 6 months": 180,
+    "every 365 days": 365, "on a 365-day cycle": 365, "annually": 365, "yearly": 365, "every year": 365,
+    "every 730 days": 730, "biennially": 730, "every two years": 730, "every 2 years": 730,
 }
 EVERY_N = r"(?i)^\s*every\s+(\d{1,4})[\-\s]?day"
 ON_N = r"(?i)^\s*on\s+a\s+(\d{1,4})[\-\s]?day\b"
@@ -26,7 +26,7 @@ def canonical(phrase: Column) -> Column:
 def to_days(phrase: Column) -> Column:
     """Whole days of a phrase or of an ISO duration in days or weeks; null if neither."""
     low = F.lower(canonical(phrase))
-    table = F.create_map(*(F.lit(x) for days, words in PHRASES.items() for w in words for x in (w, days)))
+    table = F.create_map(*(F.lit(x) for entry in PHRASES.items() for x in entry))
     number = lambda pattern, text, group=1: F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
     positive = lambda n: F.when(n > 0, n)
     spoken = F.coalesce(F.try_element_at(table, low), positive(number(EVERY_N, low)), positive(number(ON_N, low)))

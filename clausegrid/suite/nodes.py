@@ -57,9 +57,21 @@ def q_sel_regex(spark: SparkSession, sf: str) -> DataFrame:
     return _selected(spark, sf, selectors.regex_nodes(F.col("doc"), "$.sections[*].category", "i"))
 
 
-@query("SELECT event_id, '$.sections[2]' AS paths FROM events")
+@query("""SELECT event_id, CASE WHEN event_type LIKE '%i%' AND value > 50 THEN '$.sections[0],$.sections[1]' WHEN event_type LIKE '%i%' THEN '$.sections[0]' WHEN value > 50 THEN '$.sections[1]' ELSE '' END AS paths FROM events""")
 def q_sel_has_field(spark: SparkSession, sf: str) -> DataFrame:
-    return _selected(spark, sf, selectors.has_field(F.col("doc"), "$.sections[*]", "note"))
+    """A key counts whatever is under it, null included."""
+    text = F.concat(F.lit('{"sections":[{"'), F.when(F.col("event_type").contains("i"), "note").otherwise("other"), F.lit('":null},{"'), F.when(F.col("value") > 50, "note").otherwise("other"), F.lit('":"x"}]}'))
+    docs = table(spark, sf, "events").select("event_id", F.parse_json(text).alias("doc"))
+    return docs.select("event_id", _paths(selectors.has_field(F.col("doc"), "$.sections[*]", "note")).alias("paths"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN '' ELSE '$.sections[0].category,' END || '$.sections[0].props.k,$.sections[0].score,$.sections[1].category' AS paths,
+  CASE WHEN contains(event_type, 'ic') THEN '$.sections[0].category,' ELSE '' END || '$.sections[1].score' AS found FROM events""")
+def q_sel_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves that two selectors leave, and the text leaves with a pattern, wherever they stand."""
+    d = F.col("doc")
+    gone = selectors.select_any(selectors.json_matches(d, "$.sections[1].score"), selectors.value_in(d, "$.sections[*].category", ["click"]))
+    return _graph(spark, sf).select("event_id", _paths(selectors.select_not(d, gone)).alias("paths"), _paths(selectors.regex_nodes(d, None, "ic|gh")).alias("found"))
 
 
 @query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN '$.sections[0].category' ELSE '' END AS paths FROM events")

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing
 from ..operators import annotate, authoring, evaluate, facts, governance
 from ..operators.evaluate import Options, Rule, RuleSet
 from . import demo
@@ -59,20 +60,12 @@ def q_dockind_gate(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.evaluate(s, _KINDED, Options(kind_col="lang")).where("outcome = 'Skipped'").select("doc_id", "rule_id", "outcome", "error")
 
 
-@query("SELECT doc_id, CAST(2 AS BIGINT) AS total, CAST(2 AS BIGINT) AS skipped, CAST(1 AS DOUBLE) AS score, TRUE AS wrong_profile FROM documents WHERE lang = 'es'")
-def q_wrong_profile(spark: SparkSession, sf: str) -> DataFrame:
-    rules = replace(_KINDED, kinds=("fr",))
-    s = demo.sections(spark, sf).join(table(spark, sf, "documents").where("lang = 'es'").select("doc_id", "lang"), "doc_id")
-    return evaluate.report(evaluate.evaluate(s, rules, Options(kind_col="lang"))).select("doc_id", "total", "skipped", "score", "wrong_profile")
-
-
 @query(f"""{demo.VERDICTS}, f AS (SELECT DISTINCT doc_id, lang FROM documents),
 x AS (SELECT v.doc_id, outcome FROM v JOIN f ON v.doc_id = f.doc_id WHERE lang = 'fr' AND rule_id = 'D-SEC-001' OR lang IN ('fr', 'de') AND rule_id = 'D-TAX-001' UNION ALL SELECT doc_id, 'Skipped' FROM f WHERE lang = 'de'),
 r AS (SELECT doc_id, count(*) AS total, {demo.COUNTS} FROM x GROUP BY doc_id)
 SELECT doc_id, total, skipped, {demo.SCORE} AS score, skipped = total AS wrong_profile FROM r
 UNION ALL SELECT doc_id, CAST(2 AS BIGINT), CAST(2 AS BIGINT), CAST(1 AS DOUBLE), TRUE FROM documents WHERE lang NOT IN ('fr', 'de')""")
-def q_wrong_profile_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents of every language; q_wrong_profile has the wholly skipped Spanish ones alone."""
+def q_wrong_profile(spark: SparkSession, sf: str) -> DataFrame:
     s = demo.sections(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return evaluate.report(evaluate.evaluate(s, replace(_KINDED, kinds=("fr",)), Options(kind_col="lang"))).select("doc_id", "total", "skipped", "score", "wrong_profile")
 
@@ -133,11 +126,15 @@ def q_fact_merge(spark: SparkSession, sf: str) -> DataFrame:
     return facts.merge_facts(_facts(spark, sf), _KINDS).select("doc_id", "concept", "value")
 
 
-@query("""WITH e AS (SELECT user_id AS doc_id, event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events),
-w AS (SELECT doc_id, k, min(k) OVER (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e)
-SELECT doc_id, CAST(count(*) FILTER (before IS NOT NULL AND k <> before) AS INT) AS conflicts FROM w GROUP BY doc_id""")
+@query(f"""WITH {_FACTS_SQL.split(',' + chr(10) + 'm AS')[0]},
+w AS (SELECT *, min(k) OVER p AS k0, bool_or(value > 99) OVER p AS large0, min(days) OVER p AS days0 FROM e WINDOW p AS (PARTITION BY doc_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT doc_id, event_type, first_value(event_type) OVER (PARTITION BY doc_id ORDER BY event_id) AS kind0 FROM e WHERE event_id % 3 = 0)
+SELECT doc_id, 'level' AS concept, CAST(count(*) FILTER (k <> k0) AS INT) AS conflicts FROM w GROUP BY doc_id
+UNION ALL SELECT doc_id, 'large', CAST(count(*) FILTER ((value > 99) <> large0) AS INT) FROM w GROUP BY doc_id
+UNION ALL SELECT doc_id, 'cycle', CAST(count(*) FILTER (days <> days0) AS INT) FROM w GROUP BY doc_id HAVING count(days) > 0
+UNION ALL SELECT doc_id, 'kind', CAST(count(*) FILTER (event_type <> kind0) AS INT) FROM n GROUP BY doc_id""")
 def q_fact_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.merge_facts(_facts(spark, sf), _KINDS).where("concept = 'level'").select("doc_id", "conflicts")
+    return facts.merge_facts(_facts(spark, sf), _KINDS).select("doc_id", "concept", "conflicts")
 
 
 _FACT_RULES = RuleSet("rs_fact", "1", (
@@ -158,14 +155,6 @@ def q_fact_rules(spark: SparkSession, sf: str) -> DataFrame:
 # ---- governance ----
 
 
-@query(f"""{demo.VERDICTS.split('here AS')[0].rstrip().rstrip(',')}
-SELECT doc_id, section_id, 'D-SEC-001' AS rule_id FROM s WHERE category = 'secrecy' UNION ALL SELECT doc_id, section_id, 'D-SUP-001' FROM s WHERE category = 'supply'
-UNION ALL SELECT doc_id, section_id, 'D-SUP-002' FROM s WHERE category = 'supply' UNION ALL SELECT doc_id, section_id, 'D-TAX-001' FROM s WHERE category = 'tax' UNION ALL SELECT doc_id, section_id, 'D-TAX-002' FROM s WHERE category = 'tax'""")
-def q_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    sig = governance.signature_rows(spark, demo.RULES)
-    return governance.candidates(demo.sections(spark, sf), sig.where("not (kind = 'contains')"))
-
-
 _INDEXED = replace(demo.RULES, rules=(*demo.RULES.rules, replace(demo.RULES.rules[3], id="D-TXT-001", predicate='input1.text.Contains("gst")'), replace(demo.RULES.rules[3], id="D-ALL-001", predicate="true")))
 
 
@@ -173,32 +162,55 @@ _INDEXED = replace(demo.RULES, rules=(*demo.RULES.rules, replace(demo.RULES.rule
 SELECT doc_id, section_id, 'D-SEC-001' AS rule_id FROM s WHERE category = 'secrecy' UNION ALL SELECT doc_id, section_id, 'D-SUP-001' FROM s WHERE category = 'supply' OR {demo.has_topic_sql('supply')}
 UNION ALL SELECT doc_id, section_id, 'D-SUP-002' FROM s WHERE category = 'supply' UNION ALL SELECT doc_id, section_id, 'D-TAX-001' FROM s WHERE category = 'tax' UNION ALL SELECT doc_id, section_id, 'D-TAX-002' FROM s WHERE category = 'tax'
 UNION ALL SELECT doc_id, section_id, 'D-TXT-001' FROM s WHERE contains(text, 'gst') UNION ALL SELECT doc_id, section_id, 'D-ALL-001' FROM s""")
-def q_candidates_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every kind of atom and a universal rule; q_candidates has the equal atoms alone."""
+def q_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kind of atom and a universal rule."""
     return governance.candidates(demo.sections(spark, sf), governance.signature_rows(spark, _INDEXED))
 
 
-def _changed() -> RuleSet:
-    r = demo.RULES.rules
-    return replace(demo.RULES, version="1.1.0", rules=(replace(r[0], lambda_="true", severity="Warning"), r[1], replace(r[2], id="D-SUP-003"), r[3], replace(r[4], natural_language="Other words.")))
+def _part_rules(spark: SparkSession, sf: str, later: bool = False) -> DataFrame:
+    """Parts as rules; of the later version some are gone, some new and some changed."""
+    p, k, n = table(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    if later:
+        p = p.where(k % 7 != 0).unionByName(p.where(k % 7 == 0).withColumn("p_partkey", k + 1_000_000))
+    changed = (k % 5 == 0) if later else F.lit(False)
+    rows = p.select(
+        F.format_string("R-%07d", k.cast("int")).alias("rule_id"), F.lit("1.0.0").alias("version"), F.concat(F.lit('input1.category == "'), "p_brand", F.lit('"')).alias("predicate"),
+        F.concat(F.lit('HasTopic(input1, "'), "p_type", F.lit('")')).alias("lambda"), F.when(changed, "Warning").otherwise("Violation").alias("severity"), F.lit("Mandatory").alias("applicability"),
+        F.when(changed & (n > 25), 0.5).otherwise(0.0).alias("gate_threshold"), F.col("p_name").alias("remediation"))
+    return rows.withColumn("fingerprint", hashing.compose(*(F.col(c) for c in rows.columns)))
 
 
-@query("""SELECT * FROM (VALUES ('D-SEC-001', 'changed', 'lambda,severity'), ('D-SUP-001', 'unchanged', ''), ('D-SUP-002', 'removed', ''), ('D-SUP-003', 'added', ''), ('D-TAX-001', 'unchanged', ''), ('D-TAX-002', 'unchanged', '')) t(rule_id, change, fields)""")
+@query("""WITH a AS (SELECT p_partkey AS k, p_size AS n FROM part), b AS (SELECT k, n FROM a WHERE k % 7 <> 0 UNION ALL SELECT k + 1000000, n FROM a WHERE k % 7 = 0)
+SELECT printf('R-%07d', coalesce(a.k, b.k)) AS rule_id, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN b.k % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS change,
+  CASE WHEN a.k IS NULL OR b.k IS NULL OR b.k % 5 <> 0 THEN '' WHEN b.n > 25 THEN 'severity,gate_threshold' ELSE 'severity' END AS fields FROM a FULL JOIN b ON a.k = b.k""")
 def q_ruleset_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return governance.diff(governance.rule_rows(spark, demo.RULES), governance.rule_rows(spark, _changed()))
+    return governance.diff(_part_rules(spark, sf), _part_rules(spark, sf, later=True))
 
 
-@query("SELECT * FROM (VALUES ('D-SUP-001'), ('D-SUP-002'), ('D-TAX-002')) t(rule_id)")
+@query("""WITH off AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity = 50)
+SELECT printf('R-%07d', p_partkey) AS rule_id, (SELECT count(*) FROM off WHERE k IN (SELECT p_partkey FROM part)) AS dropped, (SELECT count(*) FROM off WHERE k NOT IN (SELECT p_partkey FROM part)) AS unknown
+FROM part WHERE p_partkey NOT IN (SELECT k FROM off)""")
 def q_overlay_apply(spark: SparkSession, sf: str) -> DataFrame:
-    off = spark.createDataFrame([("D-SEC-001", "x"), ("D-TAX-001", "y"), ("D-XXX-9", "z")], "rule_id string, reason string")
-    return governance.apply_overlay(governance.rule_rows(spark, demo.RULES), off)[0].select("rule_id")
+    off = table(spark, sf, "lineitem").where("l_quantity = 50").select(F.format_string("R-%07d", F.col("l_partkey").cast("int")).alias("rule_id"), F.lit("x").alias("reason"))
+    active, audit = governance.apply_overlay(_part_rules(spark, sf), off)
+    total = audit.select("dropped", F.size("unknown").cast("bigint").alias("unknown"), F.lit(1).alias("one"))
+    return active.select("rule_id", F.lit(1).alias("one")).join(total, "one").drop("one")
+
 
+_DECLARED = [f"Brand#{k}" for k in range(1, 60, 2)] + ["STANDARD", "none"]
 
-@query("""SELECT 'rs_demo' AS ruleset_id, CAST(5 AS BIGINT) AS n_rules, 'secrecy,supply,tax' AS referenced, '' AS missing, 'other' AS unused""")
+
+@query(f"""WITH u AS (SELECT list_sort(list_distinct(list(t))) AS referenced FROM (SELECT p_brand AS t FROM part UNION ALL SELECT p_type FROM part)), d AS (SELECT list_sort({_DECLARED!r}) AS declared)
+SELECT array_to_string(referenced, ',') AS referenced, array_to_string(list_filter(referenced, lambda x: NOT list_contains(declared, x)), ',') AS missing, array_to_string(list_filter(declared, lambda x: NOT list_contains(referenced, x)), ',') AS unused FROM u, d""")
 def q_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = governance.rule_rows(spark, demo.RULES)
-    cov = governance.vocabulary_coverage(rows, ["secrecy", "supply", "tax", "other"])
-    return governance.ruleset_fingerprints(rows).select("ruleset_id", "n_rules").join(cov.select(*(F.array_join(c, ",").alias(c) for c in ("referenced", "missing", "unused"))))
+    return governance.vocabulary_coverage(_part_rules(spark, sf), _DECLARED).select(*(F.array_join(c, ",").alias(c) for c in ("referenced", "missing", "unused")))
+
+
+@query("""SELECT printf('R-%07d', p_partkey) AS rule_id, CASE WHEN p_size % 3 = 0 THEN 'missing evidenceQuote' ELSE 'missing or unknown sourceSpan.documentId' END AS problem FROM part WHERE p_size % 3 = 0 OR p_size % 5 = 0""")
+def q_structure(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select(F.format_string("R-%07d", F.col("p_partkey").cast("int")).alias("rule_id"), F.when(F.col("p_size") % 3 != 0, F.col("p_name")).otherwise(" ").alias("evidence_quote"),
+                                        F.when(F.col("p_size") % 5 == 0, "(unknown)").otherwise("policy").alias("source_document"))
+    return governance.structural_problems(p)
 
 
 @query("""SELECT CAST(l_suppkey AS VARCHAR) AS rule_id, min(l_discount) FILTER (l_linenumber % 2 = 1) AS min_positive, max(l_tax) FILTER (l_linenumber % 2 = 0) AS max_negative,

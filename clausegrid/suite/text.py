@@ -63,15 +63,15 @@ def q_doc_kind(spark: SparkSession, sf: str) -> DataFrame:
     return project.document_kinds(lines, _KINDS)
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: CAST(CAST(list_sum(list_transform(p[1:i - 1], lambda x: length(x) + 1)) AS BIGINT) AS VARCHAR)), ',') AS starts, len(p) AS n
-FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE length(text) > 0)""".replace("CAST(CAST(list_sum(", "CAST(CAST(coalesce(list_sum(").replace("+ 1)) AS BIGINT)", "+ 1)), 0) AS BIGINT)"))
+@query("""SELECT doc_id, CASE WHEN length(text) > 0 THEN array_to_string(list_transform(range(1, len(p) + 1), lambda i: CAST(CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS VARCHAR)), ',') ELSE '' END AS starts,
+  CAST(CASE WHEN length(text) > 0 THEN len(p) ELSE 0 END AS BIGINT) AS n FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents)""")
 def q_paragraph_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    p = project.paragraph_offsets(F.col("text"))
-    docs = table(spark, sf, "documents").where("char_length(text) > 0").withColumn("p", p)
+    docs = table(spark, sf, "documents").withColumn("p", project.paragraph_offsets(F.col("text")))
     return docs.select("doc_id", F.array_join(F.transform("p", lambda x: x["char_start"].cast("string")), ",").alias("starts"), F.size("p").cast("bigint").alias("n"))
 
 
-# ---- features, on clauses built from parts so that the SQL can compute what is stated ----
+# ---- features of all documents and of clauses built from parts, since documents state few figures; the SQL takes them out of the
+# same texts with its own functions and engine ----
 
 
 def _clauses(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,29 +79,70 @@ def _clauses(spark: SparkSession, sf: str) -> DataFrame:
     days, pct, months = F.col("p_size"), F.col("p_size") % 20, F.col("p_partkey") % 12 + 1
     text = F.concat(
         F.lit("The buyer shall pay each invoice within "), days.cast("string"), F.lit(" days.\nLate fees are "), pct.cast("string"), F.lit("% per annum; a notice runs "), months.cast("string"),
-        F.lit(" months.\nThe cyber cover is $"), F.format_number("p_retailprice", 0), F.lit(", the general liability cover $"), (days + 1).cast("string"), F.lit(" million, for two years."))
-    return t.select("p_partkey", text.alias("text"))
+        F.lit(" months.\nThe cyber cover is $"), F.floor("p_retailprice").cast("string"), F.lit(" thousand, the general liability cover $"), (days + 1).cast("string"), F.lit(" million, for two years."))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    return docs.unionByName(t.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), text.alias("text")))
 
 
 def _features(spark: SparkSession, sf: str, *names: str) -> DataFrame:
     f = textfeatures.text_features(F.col("text"))
-    return _clauses(spark, sf).select("p_partkey", *(f[n].alias(n) for n in names))
+    return _clauses(spark, sf).select("key", *(f[n].alias(n) for n in names))
 
 
-@query("""SELECT p_partkey, CAST(p_size AS VARCHAR) AS day_counts, CAST(p_size AS BIGINT) AS day_count_max, CAST(p_size AS BIGINT) AS day_count_for_payment, CAST(0 AS BIGINT) AS day_count_for_notice,
-  CAST(p_partkey % 12 + 1 AS BIGINT) AS month_count_min, CAST(2 AS BIGINT) AS year_count_max FROM part""")
+_TEXTS = """t AS (SELECT 'd' || doc_id AS key, coalesce(text, '') AS text FROM documents UNION ALL
+  SELECT 'p' || p_partkey, 'The buyer shall pay each invoice within ' || p_size || ' days.' || chr(10) || 'Late fees are ' || p_size % 20 || '% per annum; a notice runs ' || (p_partkey % 12 + 1) || ' months.' || chr(10)
+    || 'The cyber cover is $' || CAST(floor(p_retailprice) AS BIGINT) || ' thousand, the general liability cover $' || (p_size + 1) || ' million, for two years.' FROM part)"""
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_WORDS = "CASE regexp_replace(lower(v), '[\\s-]+', ' ', 'g') " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in textfeatures.NUMBER_WORDS.items()) + " END"
+_CLAUSES = r"""list_filter(flatten(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) < 200 THEN [x] ELSE string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END)), lambda x: x <> '')"""
+#: Without the look ahead, which this engine lacks: no text here has a letter behind an amount's unit letter.
+_DOLLAR = r"(?i)(?:\$|USD\s*\$?|CAD\s*\$?|US\$|CAD\$)\s*(\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?)\s*(million\b|billion\b|[mbk]\b)?"
+_BY = "CASE lower(u) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END"
+
+
+def _stated(digits: str, words: str) -> str:
+    return (f"list_sort(list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(text, {_quoted(digits)}, 1), lambda v: CAST(v AS BIGINT)), "
+            f"list_transform(regexp_extract_all(text, {_quoted(words)}, 1), lambda v: CAST({_WORDS} AS BIGINT))), lambda v: v IS NOT NULL)))")
+
+
+def _amounts(text: str) -> str:
+    def scaled(pattern: str) -> str:
+        numbers, units = (f"regexp_extract_all({text}, {_quoted(pattern)}, {g})" for g in (1, 2))
+        return f"list_transform(list_zip({numbers}, {units}), lambda z: CAST(round_even(CAST(regexp_replace(z[1], '[, ]', '', 'g') AS DOUBLE) * {_BY.replace('lower(u)', 'lower(z[2])')}, 0) AS BIGINT))"
+
+    return f"list_concat({scaled(_DOLLAR)}, {scaled(textfeatures.DOLLAR_WORDS)})"
+
+
+def _best(topic: str, values: str) -> str:
+    return f"CAST(coalesce(list_max(flatten(list_transform(list_filter(c, lambda x: regexp_matches(x, {_quoted(topic)})), lambda x: {values}))), 0) AS BIGINT)"
+
+
+def _day_values() -> str:
+    return f"list_transform(regexp_extract_all(x, {_quoted(textfeatures.DAY)}, 1), lambda v: CAST(v AS BIGINT))"
+
+
+@query(f"""WITH {_TEXTS}, f AS (SELECT key, {_CLAUSES} AS c, {_stated(textfeatures.DAY, textfeatures.DAY_WORDS)} AS d, {_stated(textfeatures.MONTH, textfeatures.MONTH_WORDS)} AS m, {_stated(textfeatures.YEAR, textfeatures.YEAR_WORDS)} AS y FROM t)
+SELECT key, array_to_string(d, ',') AS day_counts, coalesce(list_max(d), 0) AS day_count_max, {_best(textfeatures.DAY_TOPICS['payment'], _day_values())} AS day_count_for_payment,
+  {_best(textfeatures.DAY_TOPICS['notice'], _day_values())} AS day_count_for_notice, coalesce(list_min(m), 0) AS month_count_min, coalesce(list_max(y), 0) AS year_count_max FROM f""")
 def q_features_days(spark: SparkSession, sf: str) -> DataFrame:
     out = _features(spark, sf, "day_counts", "day_count_max", "day_count_for_payment", "day_count_for_notice", "month_count_min", "year_count_max")
     return out.withColumn("day_counts", F.array_join(F.transform("day_counts", lambda v: v.cast("string")), ","))
 
 
-@query("SELECT p_partkey, CAST(p_size % 20 AS DOUBLE) AS percent_max, round_even(CAST(p_size % 20 AS DOUBLE) / 12.0, 4) AS percent_max_per_month FROM part")
+@query(f"""WITH {_TEXTS}, f AS (SELECT key, list_zip(regexp_extract_all(text, {_quoted(textfeatures.PERCENT)}, 1), regexp_extract_all(text, {_quoted(textfeatures.PERCENT)}, 2)) AS z FROM t)
+SELECT key, coalesce(list_max(list_transform(z, lambda p: round_even(CAST(p[1] AS DOUBLE), 4))), 0) AS percent_max,
+  coalesce(list_max(list_transform(z, lambda p: round_even(CASE WHEN lower(p[2]) IN ('annum', 'year') THEN CAST(p[1] AS DOUBLE) / 12.0 ELSE CAST(p[1] AS DOUBLE) END, 4))), 0) AS percent_max_per_month FROM f""")
 def q_features_percent(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf, "percent_max", "percent_max_per_month")
 
 
-@query("""SELECT p_partkey, CAST(round_even(p_retailprice, 0) AS BIGINT) AS dollar_min, CAST((p_size + 1) * 1000000 AS BIGINT) AS dollar_max, CAST((p_size + 1) * 1000000 AS BIGINT) AS dollar_for_cyber,
-  CAST((p_size + 1) * 1000000 AS BIGINT) AS dollar_for_gcl, CAST(0 AS BIGINT) AS dollar_for_professional FROM part""")
+@query(f"""WITH {_TEXTS}, f AS (SELECT key, {_CLAUSES} AS c, {_amounts('text')} AS a FROM t)
+SELECT key, coalesce(list_min(a), 0) AS dollar_min, coalesce(list_max(a), 0) AS dollar_max, {', '.join(f"{_best(rx, _amounts('x'))} AS dollar_for_{k}" for k, rx in textfeatures.DOLLAR_TOPICS.items())} FROM f""")
 def q_features_dollars(spark: SparkSession, sf: str) -> DataFrame:
     return _features(spark, sf, "dollar_min", "dollar_max", "dollar_for_cyber", "dollar_for_gcl", "dollar_for_professional")
 
@@ -116,12 +157,24 @@ def q_primitives(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", primitives.regex_match(t, "th.nd").alias("rx"), primitives.phrase_match(t, ["NDA", "and the"]).alias("phrase"), primitives.is_template_boilerplate(t).alias("boiler"), primitives.count_prose_sentences(t).alias("sentences"))
 
 
-@query("""SELECT p_partkey, p_size % 3 = 0 AS glossary, p_size % 2 = 0 AS scaffold FROM part""")
+_PROSE = r"len(list_filter(regexp_split_to_array(regexp_replace(text, '([0-9])([.!?])', '\1', 'g'), '[.!?](?:\s+|$)'), lambda s: len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: length(w) > 0)) >= 8))"
+
+
+@query(f"""WITH t AS (SELECT 'd' || doc_id AS key, text FROM documents UNION ALL
+  SELECT 'p' || p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Glossary of terms' ELSE 'Terms' END || chr(10) || CASE WHEN p_size % 5 = 0 THEN repeat('TLS Transport Layer Security' || chr(10), 4) ELSE 'TLS Transport Layer Security' || chr(10) END
+    || CASE WHEN p_size % 2 = 0 THEN '(ARB-1) (ARB‑2 if required) to be completed by the team' ELSE '(ARB-1) only' END FROM part),
+u AS (SELECT key, text, {_PROSE} AS prose, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM t)
+SELECT key, regexp_matches(text, '\\S') AND prose <= 2 AND (len(list_filter(l, lambda x: regexp_matches(x, {_quoted(primitives.GLOSSARY)}))) > 0
+    OR len(list_filter(l, lambda x: regexp_matches(x, {_quoted(primitives.ACRONYM_ROW)}) AND NOT regexp_matches(x, '[0-9%]'))) >= 4) AS glossary,
+  regexp_matches(text, '\\S') AND prose <= 1 AND len(regexp_extract_all(text, {_quoted(primitives.REVIEW_TAG)})) + len(regexp_extract_all(text, {_quoted(primitives.TEMPLATE_PHRASE)})) >= 3 AS scaffold FROM u""")
 def q_prim_scaffolding(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    text = F.concat(F.when(F.col("p_size") % 3 == 0, "Glossary of terms\n").otherwise("Terms\n"), F.lit("TLS Transport Layer Security\n"),
+    row = "TLS Transport Layer Security\n"
+    text = F.concat(F.when(F.col("p_size") % 3 == 0, "Glossary of terms\n").otherwise("Terms\n"), F.when(F.col("p_size") % 5 == 0, row * 4).otherwise(row),
                     F.when(F.col("p_size") % 2 == 0, "(ARB-1) (ARB‑2 if required) to be completed by the team").otherwise("(ARB-1) only"))
-    return p.select("p_partkey", primitives.is_glossary_listing(text).alias("glossary"), primitives.is_review_scaffolding(text).alias("scaffold"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key"), "text")
+    both = docs.unionByName(p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), text.alias("text")))
+    return both.select("key", primitives.is_glossary_listing(F.col("text")).alias("glossary"), primitives.is_review_scaffolding(F.col("text")).alias("scaffold"))
 
 
 @query("""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9àâäáçéèêëíîïñóôöúûüùß]+'), lambda w: length(w) >= 3 AND NOT list_contains(['the','and','for','are','but','not','you','all','any','can','had','has','have','was','were','been','being','from','that','this','with','which','shall','should','must','will','may','upon','into','onto','also','only','such','than','then','when','where','while','these','those','their','there','them','they','because','however','therefore'], w))) AS w FROM documents)
@@ -130,24 +183,33 @@ def q_floor_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(primitives.floor_tokens(F.col("text"))).alias("n"))
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 400 + 1 WHEN 1 THEN 90 WHEN 2 THEN (o_orderkey % 50) * 7 WHEN 3 THEN NULL ELSE o_orderkey % 30 + 1 END AS days FROM orders""")
+_PHRASE = """CASE o_orderkey % 5 WHEN 0 THEN 'Every ' || (o_orderkey % 400 + 1) || ' days.' WHEN 1 THEN ' on a 90-day   cycle' WHEN 2 THEN 'p' || (o_orderkey % 50) || 'W'
+  WHEN 3 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Quarterly;' WHEN o_orderkey % 3 = 1 THEN 'every  TWO years' ELSE o_orderpriority END ELSE 'on a ' || (o_orderkey % 30 + 1) || ' day basis' END"""
+
+
+@query(f"""WITH p AS (SELECT o_orderkey, {_PHRASE} AS phrase FROM orders), c AS (SELECT *, lower(regexp_replace(regexp_replace(trim(phrase, ' '), '[.,;]+$', ''), '\\s+', ' ', 'g')) AS low FROM p)
+SELECT o_orderkey, CAST(CASE WHEN length(phrase) >= 3 AND lower(phrase[1]) = 'p' THEN coalesce(try_cast(nullif(regexp_extract(trim(phrase, ' '), '(?i)^P(\\d+)W$', 1), '') AS BIGINT) * 7, try_cast(nullif(regexp_extract(trim(phrase, ' '), '(?i)^P(\\d+)D$', 1), '') AS BIGINT))
+  ELSE coalesce(CASE low {' '.join(f"WHEN '{k}' THEN {v}" for k, v in durations.PHRASES.items())} END,
+    nullif(try_cast(nullif(regexp_extract(low, {_quoted(durations.EVERY_N)}, 1), '') AS INT), 0), nullif(try_cast(nullif(regexp_extract(low, {_quoted(durations.ON_N)}, 1), '') AS INT), 0)) END AS BIGINT) AS days FROM c""")
 def q_duration_normalize(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     n = lambda c: c.cast("string")
+    other = F.when(k % 3 == 0, "Quarterly;").when(k % 3 == 1, "every  TWO years").otherwise(F.col("o_orderpriority"))
     phrase = (F.when(k % 5 == 0, F.concat(F.lit("Every "), n(k % 400 + 1), F.lit(" days."))).when(k % 5 == 1, F.lit(" on a 90-day   cycle"))
-              .when(k % 5 == 2, F.concat(F.lit("p"), n(k % 50), F.lit("W"))).when(k % 5 == 3, F.lit("now and then")).otherwise(F.concat(F.lit("on a "), n(k % 30 + 1), F.lit(" day basis"))))
+              .when(k % 5 == 2, F.concat(F.lit("p"), n(k % 50), F.lit("W"))).when(k % 5 == 3, other).otherwise(F.concat(F.lit("on a "), n(k % 30 + 1), F.lit(" day basis"))))
     return table(spark, sf, "orders").select("o_orderkey", durations.to_days(phrase).cast("bigint").alias("days"))
 
 
 @query(r"""WITH w AS (
-  SELECT item_id, k, s, list_filter(regexp_extract_all(lower(s), '[\p{L}\p{N}][\p{L}\p{N}''\-]*'), lambda w: NOT list_contains(['the', 'of', 'and'], w) AND NOT regexp_matches(w, '^[0-9]{1,2}$')) AS w
-  FROM (SELECT item_id, generate_subscripts(p, 1) AS k, unnest(p) AS s FROM (SELECT item_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM benchmark))),
-g AS (SELECT item_id, unnest(w) AS token, 1 AS ngram FROM w
-      UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w WHERE len(w) >= 2)
-SELECT item_id AS section_id, token, ngram, count(*) AS tf FROM g GROUP BY ALL""")
+  SELECT doc_id, k, list_filter(regexp_extract_all(lower(s), '[\p{L}\p{N}][\p{L}\p{N}''\-]*'), lambda w: NOT list_contains(['the', 'of', 'and'], w) AND NOT regexp_matches(w, '^[0-9]{1,2}$')) AS w
+  FROM (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS s FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents))),
+g AS (SELECT doc_id, k, generate_subscripts(w, 1) AS i, unnest(w) AS token, 1 AS ngram FROM w
+      UNION ALL SELECT doc_id, k, unnest(range(1, len(w))), unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w WHERE len(w) >= 2),
+f AS (SELECT doc_id, token, ngram, count(*) AS tf, min(k * 1000000 + i) AS first FROM g GROUP BY ALL)
+SELECT doc_id AS section_id, token, ngram, tf FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, first, token) <= 256""")
 def q_tokens_tf(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("section_id"), "text")
-    return semantic.section_tokens(b, ["the", "of", "and"], limit=1_000_000)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("section_id"), "text")
+    return semantic.section_tokens(d, ["the", "of", "and"]).select("section_id", "token", "ngram", "tf")
 
 
 @query("""WITH h AS (SELECT conv_id AS doc_id, role AS title, CAST(length(text) % 3 + 1 AS INT) AS level, CAST(turn * 10 AS INT) AS start FROM conversations)
