@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Items that are added up one by one; whole blocks before them are added as blocks.
-BLOCK = 64
+BLOCK = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
