@@ -17,11 +17,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a
-    temporary folder only where the session names none (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session names none, a local
+    session gets a temporary folder; on a cluster, where no folder of one machine will do, that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="clausegrid-"))
     return f"file://{_local[0]}"
@@ -36,6 +38,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds this share of all rows, so that there are at most so many hot keys: they may be broadcast.
+HOT_KEYS = 1024
+
+
+def spread_join(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined on ``key`` with ``named`` (key, n: its rows, and more), every row's key being there; without n. Rows of
+    hot keys stay where they are and meet at most HOT_KEYS broadcast ones; all other keys hold few rows each."""
+    hot = F.col("n") * HOT_KEYS >= total
+    few = F.broadcast(named.where(hot))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(named.where(hot).select(key)), key, "left_anti").join(named.where(~hot), key)).drop("n")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches by bytes for the plans made after this call."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))

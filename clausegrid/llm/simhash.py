@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, utf8
+from .common import bounded_batches, cut, spread_join, utf8
 from .graph import components
 
 BITS = 64
@@ -213,17 +213,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     like any other. Other columns of ``docs`` are not looked at.
     """
     held = cut(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = cut(held.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    stars = components(link_edges(distinct, distance))
-    rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return held.join(named, "fp").select(
+    distinct = cut(held.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    stars = cut(components(link_edges(distinct, distance)).select(F.col("u").alias("fp"), F.col("v").alias("root")), "simhash-stars")
+    members = cut(stars.unionByName(stars.select(F.col("root").alias("fp"), "root").distinct()).join(distinct.select("fp", "least"), "fp"), "simhash-members")
+    groups = cut(members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-groups")
+    linked = spread_join(members.select("fp", "root"), groups, "root", total[1]).select("fp", "component_id")
+    named = cut(distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    return spread_join(held, named, "fp", total[0]).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component, its first row stays."""
-    row = docs.withColumn("__row", F.monotonically_increasing_id())
-    first = near_duplicates(row, "__row", text_col, distance).where("__row = component_id").select("__row")
-    return row.join(first, "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` without near copies, with all their columns: of each component, its first row stays.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as in ``near_duplicates``: rows without a word are one
+    component. ``docs`` is read twice and has to give the same rows in the same order, as a table of files does."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    row = docs.withColumn(name, F.monotonically_increasing_id())
+    first = near_duplicates(row, name, text_col, distance).where(F.col(name) == F.col("component_id")).select(name)
+    return row.join(first, name, "left_semi").drop(name)

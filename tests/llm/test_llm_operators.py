@@ -84,8 +84,9 @@ def test_hot_nodes_are_searched_in_chunks(spark, monkeypatch):
     assert graph.components(edges).count() == len(fps) - 1
 
 
-def test_keep_one_keeps_one_row_of_each_group(docs):
-    kept = simhash.keep_one(docs)
+def test_keep_one_keeps_one_row_of_each_group(docs, empty):
+    assert simhash.keep_one(empty).count() == 0
+    kept = simhash.keep_one(docs)  # which has a column row of its own
     assert kept.columns == docs.columns
     assert kept.count() == simhash.near_duplicates(docs.withColumn("n", F.monotonically_increasing_id()), "n").select("component_id").distinct().count()
 
@@ -435,6 +436,29 @@ def test_shared_folder_is_the_sessions():
 
     assert common.shared_dir(Session) == "file:///shared/here"
 
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Cluster:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(Conf)
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Cluster)
+
+
+def test_hot_keys_stay_where_they_are(spark):
+    rows = [(7, k) for k in range(3000)] + [(k, k) for k in range(100, 2100)]
+    named = [(7, 3000, "a")] + [(k, 1, "b") for k in range(100, 2100)]
+    left, right = spark.createDataFrame(rows, "key long, id long"), spark.createDataFrame(named, "key long, n long, name string")
+    got = common.spread_join(left, right, "key", 5000)
+    assert got.columns == ["key", "id", "name"] and same(got.collect(), [(k, i, "a" if k == 7 else "b") for k, i in rows])
+    assert common.spread_join(left.limit(0), right.limit(0), "key", 0).count() == 0
+
 
 def test_pipeline_stages_keep_columns_and_rows_that_are_clean(spark, tmp_path):
     rng = np.random.default_rng(8)
