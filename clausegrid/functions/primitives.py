@@ -133,3 +133,8 @@ def anchor_span(bindings: Column, anchor: str, text: Column | None = None) -> Co
     at = F.regexp_instr(text, F.lit(pattern))
     literal = F.when(at > 0, F.struct(F.regexp_extract(text, pattern, 0).alias("text"), F.lit(1.0).alias("similarity"), (at - 1).cast("int").alias("char_start"), F.lit(len(anchor)).alias("char_length")))
     return F.coalesce(best, literal)
+
+
+def format_number(value: Column) -> Column:
+    """Up to four decimals, without trailing zeros."""
+    return F.regexp_replace(F.format_string("%.4f", value.cast("double")), r"\.?0+$", "")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import compose
+from .sized import sized
 
 #: Order and label of severities in a comment's banner; fixed values.
 SEVERITIES = {"Violation": "VIOLATION", "Warning": "WARNING", "Info": "INFO"}
@@ -31,7 +32,7 @@ def annotations(verdicts: DataFrame, severities: DataFrame, with_passes: bool =
 
     severities(rule_id, severity) is a rule set's. Verdicts on a title or preamble (``heading_path`` '/') are not replaced.
     """
-    v = verdicts.join(F.broadcast(severities), "rule_id", "left").withColumn("severity", F.coalesce("severity", F.lit("Info")))
+    v = verdicts.join(sized(severities), "rule_id", "left").withColumn("severity", F.coalesce("severity", F.lit("Info")))
     shown = ["Fail", "Error", *(["Pass"] if with_passes else [])]
     start, length = F.coalesce("clause_start", "start"), F.coalesce("clause_length", "length")
     replace = F.lit(rewrites) & (F.col("outcome") == "Fail") & (F.char_length("remediation") > 0)

@@ -117,3 +117,62 @@ def with_client(rows: DataFrame, client: Callable[[str], str | None], text_col:
     if cache is not None:
         new = new.unionByName(cache.select(F.col(text_col).alias("__t"), out_col))
     return rows.join(new, rows[text_col] == new["__t"], "left").drop("__t")
+
+
+# ---- rules that a text client proposes, as JSON ----
+
+#: Fields of a proposed rule and what each has to be; fixed values. Texts: least and greatest length; lists: least and
+#: greatest size, then that of their texts.
+PROPOSAL_TEXTS = {"naturalLanguage": (8, 240), "predicate": (0, None), "lambda": (0, None), "remediation": (16, 800), "evidenceQuote": (1, 200)}
+PROPOSAL_CHOICES = {"severity": ("Violation", "Warning", "Info"), "applicability": ("Mandatory", "Optional")}
+PROPOSAL_ID = "^[A-Z][A-Z0-9_-]{2,80}$"
+PROPOSAL_LISTS = {"concepts": (3, 8, 3, 80), "examples.positive": (3, 3, 16, 600), "examples.negative": (3, 3, 16, 600)}
+PROPOSAL_FIELDS = ("ruleId", "naturalLanguage", "predicate", "lambda", "concepts", "severity", "applicability", "remediation", "evidenceQuote", "sourceSpan", "examples", "metadata")
+PROPOSAL_PARTS = {"sourceSpan": ("documentId", "headingPath", "pageNumber", "charStart", "charLength"), "examples": ("positive", "negative")}
+
+
+def proposal_problems(raw: Column) -> Column:
+    """array<string> of what is wrong with a proposed rule's JSON, by field; empty for a sound one, one entry if it is no JSON object."""
+    doc = F.try_parse_json(raw)
+    at = lambda path, kind="string": F.try_variant_get(doc, f"$.{path}", kind)
+    is_text = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(doc, f"$.{path}", "variant")) == "STRING", F.lit(False))
+    fails = lambda ok, what: F.when(~F.coalesce(ok, F.lit(False)), F.lit(what))
+    within = lambda n, lo, hi: (n >= lo) if hi is None else n.between(lo, hi)
+    found = [fails(is_text("ruleId") & F.regexp_like(at("ruleId"), F.lit(PROPOSAL_ID)), "ruleId")]
+    found += [fails(is_text(f) & within(F.char_length(at(f)), lo, hi), f) for f, (lo, hi) in PROPOSAL_TEXTS.items()]
+    found += [fails(is_text(f) & at(f).isin(*choices), f) for f, choices in PROPOSAL_CHOICES.items()]
+    for f, (lo, hi, least, most) in PROPOSAL_LISTS.items():
+        items = at(f, "array<string>")
+        found.append(fails(F.size(items).between(lo, hi) & F.forall(items, lambda x: F.coalesce(F.char_length(x).between(least, most), F.lit(False))), f))
+    numbers = [at(f"sourceSpan.{f}").isNull() | (at(f"sourceSpan.{f}", "bigint") >= least) for f, least in (("pageNumber", 1), ("charStart", 0), ("charLength", 0))]
+    found.append(fails(is_text("sourceSpan.documentId") & numbers[0] & numbers[1] & numbers[2], "sourceSpan"))
+    found.append(fails(F.forall(F.map_values(at("metadata", "map<string,variant>")), lambda v: F.schema_of_variant(v) == "STRING"), "metadata"))
+    known = lambda text, names: F.size(F.array_except(F.json_object_keys(text), F.array(*(F.lit(n) for n in names)))) == 0
+    found.append(fails(known(raw, PROPOSAL_FIELDS), "unknown field"))
+    found += [fails(known(F.to_json(F.try_variant_get(doc, f"$.{f}", "variant")), names), f"unknown field in {f}") for f, names in PROPOSAL_PARTS.items()]
+    is_object = F.try_variant_get(doc, "$", "map<string,variant>").isNotNull()
+    return F.when(is_object, F.array_compact(F.array(*found))).otherwise(F.array(F.lit("no JSON object")))
+
+
+_RECORDS = "values array<struct<recordId:string,data:struct<chunk:string,documentId:string,parentDocumentId:string,headingPath:string,chunkOrdinal:int>>>"
+
+
+def skill_records(requests: DataFrame) -> DataFrame:
+    """Records of batch requests (request_id, body): request_id, place, record_id, chunk, document_id, parent_id, heading, section
+    (``section_identity``)."""
+    held = requests.select("request_id", F.posexplode(F.from_json("body", _RECORDS)["values"]).alias("place", "v"))
+    parent = F.coalesce("v.data.parentDocumentId", "v.data.documentId")
+    return held.select("request_id", "place", F.col("v.recordId").alias("record_id"), F.col("v.data.chunk").alias("chunk"), F.col("v.data.documentId").alias("document_id"), parent.alias("parent_id"),
+                       F.col("v.data.headingPath").alias("heading"), section_identity(parent, F.col("v.data.headingPath")).alias("section"))
+
+
+def skill_responses(records: DataFrame, answers: DataFrame) -> DataFrame:
+    """(request_id, body) for records and what a client answered to each: answers(request_id, record_id, answer). An answer that
+    is no sound proposal becomes an error of its record; each record gives one, in the order of the request."""
+    joined = records.join(answers, ["request_id", "record_id"], "left")
+    wrong = F.when(F.coalesce(F.trim("chunk") == "", F.lit(True)), F.array(F.lit("empty chunk"))).when(F.col("answer").isNull(), F.array(F.lit("no answer"))).otherwise(proposal_problems(F.col("answer")))
+    errors = F.transform(F.slice(wrong, F.lit(1), F.lit(3)), lambda m: F.struct(m.alias("message")))
+    text = F.concat(F.lit('{"recordId":'), F.to_json(F.array("record_id")).substr(F.lit(2), F.char_length(F.to_json(F.array("record_id"))) - 2), F.lit(',"data":{'),
+                    F.when(F.size(wrong) == 0, F.concat(F.lit('"rule":'), F.col("answer"), F.lit(',"section":"'), F.col("section"), F.lit('"'))).otherwise(""), F.lit('},"errors":'), F.to_json(errors), F.lit(',"warnings":[]}'))
+    bodies = joined.select("request_id", "place", text.alias("t")).groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("place", "t"))).alias("l"))
+    return bodies.select("request_id", F.concat(F.lit('{"values":['), F.array_join(F.transform("l", lambda x: x["t"]), ","), F.lit("]}")).alias("body"))

@@ -191,6 +191,8 @@ def section_env(sections: DataFrame, functions: dict[str, Callable]) -> ex.Env:
     return ex.Env(member, ARRAYS, functions)
 
 
+#: What a template may name of a section, by its column; and its first sentence.
+_SECTION = {"id": "id", "heading": "heading", "headingPath": "heading_path", "category": "category", "text": "text"}
 _PLACE = re.compile(r"\{([^{}]+)\}")
 
 
@@ -208,8 +210,11 @@ def render(template: str | None, rule: Rule, env: ex.Env | None) -> Column:
         elif root == "meta" and rest in rule.metadata:
             value = F.lit(str(rule.metadata[rest]))
         elif root in ("section", "input") and env is not None and rest:
-            own = env.member(("input1", *rest.split(".")))
-            value = None if own is None else F.coalesce(own.cast("string"), F.lit(m[0]))
+            if root == "section" and rest == "firstSentence":
+                own = primitives.first_sentence(env.member(("input1", "text")))
+            else:
+                own = env.member(("input1", *(_SECTION.get(rest, rest) if root == "section" else rest).split(".")))
+            value = None if own is None or (root == "section" and rest not in _SECTION and rest != "firstSentence") else F.coalesce(own.cast("string"), F.lit(m[0]))
         parts += [F.lit(template[at:m.start()]), F.lit(m[0]) if value is None else value]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))

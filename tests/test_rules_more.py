@@ -11,7 +11,7 @@ from clausegrid import __main__ as cli
 from clausegrid import api
 from clausegrid.functions import arrays, primitives
 from clausegrid.functions.vectors import hash_vector
-from clausegrid.operators import evaluate, facts, governance, overlays, project, semantic
+from clausegrid.operators import authoring, evaluate, facts, governance, overlays, project, semantic
 from clausegrid.operators.evaluate import Options, Rule, RuleSet
 from clausegrid.plans import selectors
 from clausegrid.sources import documents, docx
@@ -247,7 +247,7 @@ def test_reviews_with_vectors_and_policies_to_rules(spark, tmp_path):
     found = api.review(spark, str(tmp_path / "d.md"), rules, topics, embed=hash_vector, anchors=anchors, kind="note")
     got = {(r["rule_id"], r["section_id"]): r["outcome"] for r in found["verdicts"].collect()}
     assert got == {("A", "s_00000001"): "Pass", ("M", "s_00000000"): "Pass", ("G", "s_synthetic_ghost_0001"): "Pass"}
-    made, counts = api.extract_rules(spark, str(tmp_path), [__import__("clausegrid.operators.authoring", fromlist=["Template"]).Template("PAY", ("paid",), 'input1.text.Contains("paid")')], "P-", 5)
+    made, counts = api.extract_rules(spark, str(tmp_path), [authoring.Template("PAY", ("paid",), 'input1.text.Contains("paid")')], "P-", 5)
     row = made.collect()
     assert len(row) == 1 and row[0]["rule_id"].startswith("P-") and row[0]["rule_id"].endswith("-PAY-001") and row[0]["source_length"] == len("Paid in 30 days.")
     assert counts.first()["blocks_examined"] >= 2
@@ -260,3 +260,45 @@ def test_numbers_and_texts_around_bindings(spark):
     df = spark.range(1)
     assert df.select(primitives.nearest_text(F.lit("abc"), bound).alias("t")).first()["t"] == "" and str(df.select(primitives.number_near_bindings(F.lit("1"), bound).alias("n")).first()["n"]) == "nan"
     assert df.select(primitives.anchor_span(bound, "x").alias("a")).first()["a"] is None
+
+
+PROPOSAL = {"ruleId": "ABC-1", "naturalLanguage": "Says something.", "predicate": "true", "lambda": "true", "concepts": ["one", "two", "three"], "severity": "Warning", "applicability": "Optional",
+            "remediation": "Write what is missing.", "evidenceQuote": "q", "sourceSpan": {"documentId": "d", "charStart": 0, "pageNumber": None}, "examples": {"positive": ["x" * 16] * 3, "negative": ["y" * 16] * 3}, "metadata": {"a": "b"}}
+
+
+def test_proposed_rules_are_checked_by_field(spark):
+    cases = [
+        (PROPOSAL, []), (PROPOSAL | {"ruleId": "a"}, ["ruleId"]), (PROPOSAL | {"severity": "Bad", "naturalLanguage": "short"}, ["naturalLanguage", "severity"]), (PROPOSAL | {"concepts": ["one", "two", "th"]}, ["concepts"]),
+        ({k: v for k, v in PROPOSAL.items() if k != "metadata"}, ["metadata"]), (PROPOSAL | {"more": 1}, ["unknown field"]), (PROPOSAL | {"sourceSpan": {"documentId": "d", "charStart": -1, "x": 1}}, ["sourceSpan", "unknown field in sourceSpan"]),
+        (PROPOSAL | {"examples": {"positive": ["x" * 16] * 2, "negative": ["y" * 16] * 3}}, ["examples.positive"]), (PROPOSAL | {"metadata": {"a": 1}}, ["metadata"]), (PROPOSAL | {"lambda": 3}, ["lambda"])]
+    rows = [(k, json.dumps(c)) for k, (c, _) in enumerate(cases)] + [(100, "no json"), (101, "[]"), (102, None)]
+    got = {r["k"]: list(r["p"]) for r in spark.createDataFrame(rows, "k int, j string").select("k", authoring.proposal_problems(F.col("j")).alias("p")).collect()}
+    assert [got[k] for k in range(len(cases))] == [w for _, w in cases] and got[100] == got[101] == got[102] == ["no JSON object"]
+
+
+def test_batches_of_records_are_answered_in_order(spark):
+    body = {"values": [{"recordId": "2", "data": {"chunk": "text", "documentId": "d", "headingPath": "/h"}}, {"recordId": 'a"1', "data": {"chunk": "more", "parentDocumentId": "p"}}, {"recordId": "3", "data": {"chunk": " "}}]}
+    records = authoring.skill_records(spark.createDataFrame([(1, json.dumps(body))], "request_id int, body string"))
+    answers = spark.createDataFrame([(1, "2", json.dumps(PROPOSAL)), (1, 'a"1', "{}")], "request_id int, record_id string, answer string")
+    got = json.loads(authoring.skill_responses(records, answers).first()["body"])["values"]
+    assert [v["recordId"] for v in got] == ["2", 'a"1', "3"] and got[0]["data"]["rule"] == PROPOSAL and got[0]["errors"] == []
+    assert got[1]["data"] == {} and len(got[1]["errors"]) == 3 and got[2]["errors"] == [{"message": "empty chunk"}]
+
+
+def test_templates_name_what_sections_have(spark):
+    s = spark.createDataFrame([("d", 0, "s0", "H", "/H", "First one. Then two.", 0, "c", 2.5)], "doc_id string, ord int, section_id string, heading string, heading_path string, text string, char_start int, category string, density double")
+    rules = RuleSet("r", "1", (Rule("A", "false", remediation="{section.headingPath}|{section.firstSentence}|{section.id}|{section.density}|{input.density}|{input.gone}|{meta.k}", metadata={"k": 7}),))
+    assert evaluate.evaluate(s, rules).first()["remediation"] == "/H|First one.|s0|{section.density}|2.5|{input.gone}|7"
+    assert [r[0] for r in spark.createDataFrame([(2.5,), (3.0,), (0.12345,), (100.0,), (0.0,)], "v double").select(primitives.format_number(F.col("v"))).collect()] == ["2.5", "3", "0.1235", "100", "0"]
+
+
+def test_searches_go_in_blocks(spark, monkeypatch):
+    from clausegrid.operators import sized
+
+    rows = spark.createDataFrame([(k, [float(k % 7), float(k % 3), 1.0]) for k in range(60)], "item_id int, embedding array<double>")
+    queries = rows.select(F.col("item_id").alias("query_id"), "embedding")
+    whole = {tuple(r) for r in semantic.top_k(queries, rows, 3).select("query_id", "item_id", "rank").collect()}
+    monkeypatch.setattr(semantic, "blocks", lambda q, key: sized.blocks(q, key, 7))
+    assert {tuple(r) for r in semantic.top_k(queries, rows, 3).select("query_id", "item_id", "rank").collect()} == whole and len(whole) == 180
+    assert semantic.top_k(queries.limit(0), rows, 3).count() == 0
+    assert sized.sized(rows, 10) is rows
