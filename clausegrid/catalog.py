@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .suite import nodes, registry, rules, text  # noqa: F401  the modules register their queries
+from .suite import more, nodes, registry, rules, text  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -146,42 +146,42 @@ def enrich(sections: DataFrame, topics: TopicMap, features: bool = True, inherit
 
 
 def inherit_amended(sections: DataFrame, topics: TopicMap) -> DataFrame:
-    """A section without topic of its own that amends another by title takes the earlier section's topic, or the topic
-    that the title itself names. A document's amending sections are folded in order, so chains of any length settle."""
-    title = F.lit(None).cast("string")
-    for p in reversed(topics.amendments):
-        found = F.trim(F.regexp_extract("text", p, 1))
-        title = F.when(F.char_length(found) > 0, found).otherwise(title)
+    """A section without topic of its own that amends another by title takes the topic of the first earlier section that the
+    title names, else the topic that the title itself names; patterns are tried in order. A document's sections are folded in
+    order, so a topic that was gained is passed on and chains of any length settle."""
     own = [c for c in sections.columns if c not in ("doc_id", "inherited_from")]
-    marked = sections.withColumns({"__title": F.when(F.col("primary_topic").isNull(), F.lower(title)), "__head": F.lower("heading")})
+    found = [F.lower(F.trim(F.regexp_extract("text", p, 1))) for p in topics.amendments]
+    asks = F.array_compact(F.array(*(F.when(F.col("primary_topic").isNull() & (F.char_length(t) > 0), F.struct(t.alias("title"), primary_topic(t, topics).alias("topic"))) for t in found)))
+    marked = sections.withColumns({"__asks": asks, "__head": F.lower("heading")})
     by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-    docs = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*own, "__title", "__head")), by_ord).alias("all"))
-    kind = f"array<struct<ord:{sections.schema['ord'].dataType.simpleString()},pid:string,pt:string>>"
-    at = lambda found, ord_: F.get(F.filter(found, lambda x: x["ord"] == ord_), F.lit(0))
+    docs = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*own, "__asks", "__head")), by_ord).alias("all"))
+    item = f"struct<ord:{sections.schema['ord'].dataType.simpleString()},pid:string,pt:string,score:double>"
+    at = lambda known, ord_: F.get(F.filter(known, lambda x: x["ord"] == ord_), F.lit(0))
+
+    def settle(settled: Column, section: Column) -> Column:
+        def named(ask: Column) -> Column:
+            earlier = F.get(F.filter("all", lambda s: (s["ord"] < section["ord"]) & F.contains(s["__head"], ask["title"])), F.lit(0))
+            gained = lambda p: let(F.coalesce(p["primary_topic"], at(settled, p["ord"])["pt"]), lambda t: F.when(
+                t.isNotNull(), F.struct(section["ord"], p["section_id"], t, F.lit(INHERITED_SCORE)).cast(item)).when(
+                ask["topic"].isNotNull(), F.struct(section["ord"], F.lit("<by-title>"), ask["topic"], F.lit(BY_TITLE_SCORE)).cast(item)))
+            return let(earlier, gained)
+
+        first = F.get(F.array_compact(F.transform(section["__asks"], named)), F.lit(0))
+        return let(first, lambda x: F.when(x.isNull(), settled).otherwise(F.concat(settled, F.array(x))))
+
+    asking = F.filter("all", lambda s: F.size(s["__asks"]) > 0)
+    parents = docs.select("doc_id", "all", F.aggregate(asking, F.array().cast(f"array<{item}>"), settle).alias("parents"))
+    joined = parents.select("doc_id", F.explode(F.transform("all", lambda s: F.struct(s.alias("s"), at(F.col("parents"), s["ord"]).alias("parent")))).alias("r")).select(
+        "doc_id", *(F.col(f"r.s.{c}").alias(c) for c in own), F.col("r.parent").alias("parent"))
+    gained = F.col("parent").isNotNull()
+    return joined.select("doc_id", *(c for c in own if c not in ("primary_topic", "scored")),
+                         F.when(gained, F.col("parent.pt")).otherwise(F.col("primary_topic")).alias("primary_topic"), F.col("parent.pid").alias("inherited_from"),
+                         F.when(gained, _with_score(F.col("scored"), F.col("parent.pt"), F.col("parent.score"))).otherwise(F.col("scored")).alias("scored"))
 
-    def settle(settled: Column, ask: Column) -> Column:
-        earlier = F.get(F.filter("all", lambda s: (s["ord"] < ask["ord"]) & F.contains(s["__head"], ask["__title"])), F.lit(0))
-        more = lambda p: F.array(F.struct(ask["ord"], p["section_id"].alias("pid"), F.coalesce(p["primary_topic"], at(settled, p["ord"])["pt"]).alias("pt")))
-        return let(earlier, lambda p: F.when(p.isNull(), settled).otherwise(F.concat(settled, more(p).cast(kind))))
 
-    asks = F.filter("all", lambda s: s["__title"].isNotNull())
-    parents = docs.select("doc_id", "all", F.filter(F.aggregate(asks, F.array().cast(kind), settle), lambda x: x["pt"].isNotNull()).alias("parents"))
-    joined = parents.select("doc_id", F.explode(F.transform("all", lambda s: F.struct(s.alias("s"), at(F.col("parents"), s["ord"]).alias("parent")))).alias("r")).select(
-        "doc_id", *(F.col(f"r.s.{c}").alias(c) for c in (*own, "__title")), F.col("r.parent").alias("parent"))
-    gained = F.col("primary_topic").isNull() & F.col("parent").isNotNull()
-    out = joined.select("doc_id", *(c for c in own if c not in ("primary_topic", "scored")), F.col("__title").alias("title"),
-                        F.when(gained, F.col("parent.pt")).otherwise(F.col("primary_topic")).alias("primary_topic"),
-                        F.when(gained, F.col("parent.pid")).alias("inherited_from"),
-                        F.when(gained, _with_score(F.col("scored"), F.col("parent.pt"), INHERITED_SCORE)).otherwise(F.col("scored")).alias("scored"))
-    by_title = primary_topic(F.col("title"), topics)
-    named = F.col("primary_topic").isNull() & by_title.isNotNull()
-    return out.withColumn("scored", F.when(named, _with_score(F.col("scored"), by_title, BY_TITLE_SCORE)).otherwise(F.col("scored"))).withColumn(
-        "inherited_from", F.when(named, "<by-title>").otherwise(F.col("inherited_from"))).withColumn("primary_topic", F.coalesce("primary_topic", by_title)).drop("title")
-
-
-def _with_score(scored: Column, topic: Column, score: float) -> Column:
+def _with_score(scored: Column, topic: Column, score: Column) -> Column:
     rest = F.filter(scored, lambda e: e["topic"] != topic)
-    own = F.array_max(F.concat(F.transform(F.filter(scored, lambda e: e["topic"] == topic), lambda e: e["score"]), F.array(F.lit(score))))
+    own = F.array_max(F.concat(F.transform(F.filter(scored, lambda e: e["topic"] == topic), lambda e: e["score"]), F.array(score)))
     return F.concat(F.array(F.struct(topic.alias("topic"), own.alias("score"))), rest)
 
 
