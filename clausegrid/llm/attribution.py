@@ -80,11 +80,14 @@ def part_counts(docs: DataFrame, path: str, parts: Parts = lines, id_col: str =
 
 
 def line_counts(docs: DataFrame, path: str) -> DataFrame:
+    """``part_counts`` of the lines of doc_id and text. An empty or null text is one empty line; repeated rows give their lines
+    each; an empty table gives none; other columns are not looked at."""
     return part_counts(docs, path, lines)
 
 
 def field_counts(docs: DataFrame, fields: list[str], path: str, separator: str = "\n", id_col: str = "doc_id") -> DataFrame:
-    """Per document and field: id, field, n_tokens, n_crossing, of the fields joined by ``separator`` and encoded once.
+    """Per document and field: id, field, n_tokens, n_crossing, of the fields joined by ``separator`` and encoded once. Null fields
+    are empty ones; repeated rows give a row a field each; an empty table gives none.
 
     Null fields are empty. Separator tokens are counted under field null.
     """

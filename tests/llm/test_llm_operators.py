@@ -170,7 +170,7 @@ def test_token_counts_add_up(docs, empty):
     for i, t, _, _ in rows():
         want[i] += len(own.whole.encode(t or "", add_special_tokens=False).ids)
     assert {r["doc_id"]: r["n"] for r in got} == dict(want)
-    assert attribution.line_counts(empty, PATH).count() == 0
+    assert attribution.line_counts(empty, PATH).count() == 0 and attribution.field_counts(empty, ["source", "text"], PATH).count() == 0
     fields = attribution.field_counts(docs, ["source", "text", "lang"], PATH).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
     whole = Counter()
     for i, t, lang, source in rows():
@@ -261,6 +261,20 @@ def test_toxicity_trains_on_texts_of_any_length(spark, monkeypatch):
     assert 4 <= seen[-1].count(4000) <= 5
 
 
+def test_filters_keep_clean_rows_of_null_languages(spark, docs):
+    """Null languages and sources are groups of their own; null texts fail the base rule and are no words to a score."""
+    rng = np.random.default_rng(12)
+    text = lambda bad: " ".join(rng.choice([f"w{k}" for k in range(150)], 60)).capitalize() + (" vile vile." if bad else ".")
+    made = [(k, text(k % 6 == 0), None if k % 2 else "en", None if k % 3 else "s") for k in range(600)] + [(700, None, None, None), (701, "", None, "s")]
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(500)], "doc_id long, toxic int")
+    civil = {r["doc_id"] for r in toxicity.keep_civil(d, labels).collect()}
+    assert {700, 701} <= civil and sum(k % 6 == 0 for k in civil if k < 600) < 10 and sum(k % 6 > 0 for k in civil if k < 600) > 490
+    good = quality.keep_good(d)
+    assert good.columns == d.columns and (kept := {r["doc_id"] for r in good.collect()}) <= set(range(600)) and len(kept) > 590
+    assert toxicity.keep_civil(d.limit(0), labels).count() == 0
+
+
 def test_quality_by_plain_numpy(spark, docs, empty, monkeypatch):
     got = {(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judge(docs).collect()}
     want = {(*quality.counts((t or "").encode())[:5], quality.base_failed(*(quality.counts((t or "").encode())[k] for k in (0, 4)))) for _, t, _, _ in rows()}
