@@ -8,7 +8,7 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,8 @@ REWEIGHTS, WITHIN = 2, 0.975
 SHRINK = 200.0
 #: Distances are sorted into bins of this many to the factor 2.
 _BINS_PER_OCTAVE = 16
+#: Cells of a statistic's unit in which medians are found.
+_CELLS = 1024
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -170,6 +172,16 @@ _FIELDS = ["key", "start", "n", "mean", "cov", "prec", "logdet"]
 _MODEL = "key string, start int, n long, mean array<double>, cov array<double>, prec array<double>, logdet double"
 
 
+def _medians(rows: DataFrame, p: int) -> DataFrame:
+    """(key, median array) of the statistics in (key, x), to one part in _CELLS of their unit: counts by cell are partial
+    aggregates, and a group of any size ends as a few thousand of them for each statistic."""
+    cells = rows.select("key", F.posexplode(F.transform(F.slice("x", 1, p), lambda v: F.floor(v * _CELLS).cast("int"))).alias("at", "cell")).groupBy("key", "at", "cell").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("key", "at")
+    upto = F.sum("n").over(own.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    half = cells.withColumns({"upto": upto, "all": F.sum("n").over(own)}).where("2 * upto >= all and 2 * (upto - n) < all")
+    return half.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", (F.col("cell") / _CELLS).alias("v")))), lambda c: c["v"]).alias("median"))
+
+
 def mcd_models(stats: DataFrame) -> DataFrame:
     """From (keys array<string>, x array<double>, as ``vector`` gives it): (key, n, mean, cov) of each key.
 
@@ -183,13 +195,12 @@ def mcd_models(stats: DataFrame) -> DataFrame:
     """
     p = len(STATISTICS)
     rows = stats.select(F.explode("keys").alias("key"), "x")
-    mid = cut(rows.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile_approx(F.col("x")[i], 0.5, 1000).alias(f"m{i}") for i in range(p)), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in (p, p + 1)))
-              .select("key", "n", F.array(*(f"m{i}" for i in range(p + 2))).alias("mid")), "mcd-medians")
-    around = rows.join(mid, "key").select("key", "n", "mid", F.transform("x", lambda v, i: v - F.col("mid")[i]).alias("x"))
-    sign = [F.signum(F.col("x")[i]) for i in range(p)]
-    scale = around.groupBy("key").agg(
-        F.first("n").alias("n"), F.first("mid").alias("mid"), F.array(*(F.percentile_approx(F.abs(F.col("x")[i]), 0.5, 1000) for i in range(p))).alias("mad"),
-        F.array(*(F.avg(sign[i] * sign[j]) for i in range(p) for j in range(i, p))).alias("signs"))
+    shares = rows.groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.avg(F.col("x")[i]) for i in (p, p + 1))).alias("shares"))
+    mid = cut(_medians(rows, p).join(shares, "key").select("key", "n", F.concat("median", "shares").alias("mid")), "mcd-medians")
+    around = cut(rows.join(mid, "key").select("key", F.transform("x", lambda v, i: v - F.col("mid")[i]).alias("x")).groupBy("key").agg(
+        F.array(*(F.avg(F.signum(F.col("x")[i]) * F.signum(F.col("x")[j])) for i in range(p) for j in range(i, p))).alias("signs")), "mcd-signs")
+    apart = rows.join(mid.select("key", "mid"), "key").select("key", F.transform("x", lambda v, i: F.abs(v - F.col("mid")[i])).alias("x"))
+    scale = mid.join(around, "key").join(_medians(apart, p).withColumnRenamed("median", "mad"), "key")
 
     def begin(batches):
         for pdf in batches:
