@@ -222,6 +222,13 @@ def coverage(verdicts: DataFrame) -> DataFrame:
                                            F.count_if(F.col("outcome") == "Fail").alias("failed"), F.countDistinct(F.when(F.col("section_id").isNotNull(), F.col("doc_id"))).alias("documents"))
 
 
+def document_coverage(verdicts: DataFrame) -> DataFrame:
+    """Per document and rule: candidate sections, sections it passed or failed in, and the list of those, in order."""
+    own = F.when(F.col("outcome").isin("Pass", "Fail"), F.struct("ord", "section_id", "outcome"))
+    out = verdicts.groupBy("doc_id", "rule_id").agg(F.count("section_id").alias("candidates"), F.count(own).alias("applied"), F.sort_array(F.collect_list(own)).alias("sections"))
+    return out.withColumn("sections", F.transform("sections", lambda x: F.struct(x["section_id"].alias("section_id"), x["outcome"].alias("outcome"))))
+
+
 def accuracy(outcomes: DataFrame, group: str | None = None) -> DataFrame:
     """outcomes(predicted boolean, truth boolean) to TP, FP, FN, TN, recall, precision, F1 (1 where nothing is to be found)."""
     c = lambda p, t: F.count_if((F.col("predicted") == p) & (F.col("truth") == t))

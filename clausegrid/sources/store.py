@@ -7,6 +7,7 @@ dynamic partition overwrite and an insert that ignores what is there is an anti-
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,18 @@ def insert_new(df: DataFrame, path: str, keys: list[str]) -> None:
     df.dropDuplicates(keys).write.mode("append").parquet(path)
 
 
+def cached(wanted: DataFrame, path: str, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What the table at ``path`` holds for the keys of ``wanted``; ``make`` makes the rows of those that it lacks, which are
+    added first. Made rows carry their keys; a key may have any number of them."""
+    spark = wanted.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        make(wanted.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")).write.mode("append").parquet(path)
+    else:
+        make(wanted).write.parquet(path)
+    return spark.read.parquet(path).join(wanted.select(*keys).distinct(), keys, "left_semi")
+
+
 def latest(table: DataFrame, by: str, order: str) -> DataFrame:
     """The newest row of each key."""
     return table.groupBy(by).agg(F.max_by(F.struct(*table.columns), order).alias("r")).select("r.*")

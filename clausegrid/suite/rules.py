@@ -226,6 +226,13 @@ def q_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return governance.coverage(_verdicts(spark, sf))
 
 
+@query(f"""{demo.VERDICTS} SELECT doc_id, rule_id, count(section_id) AS candidates, count(*) FILTER (outcome IN ('Pass', 'Fail')) AS applied,
+  coalesce(string_agg(section_id || ':' || outcome, ',' ORDER BY ord) FILTER (outcome IN ('Pass', 'Fail')), '') AS sections FROM v GROUP BY doc_id, rule_id""")
+def q_document_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    out = governance.document_coverage(_verdicts(spark, sf))
+    return out.withColumn("sections", F.array_join(F.transform("sections", lambda x: F.concat(x["section_id"], F.lit(":"), x["outcome"])), ","))
+
+
 @query("""WITH o AS (SELECT source, contains(text, 'nda') AS p, toxic = 1 AS t FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT source, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn FROM o GROUP BY source)
 SELECT *, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / CAST(tp + fn AS DOUBLE) END AS recall, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / CAST(tp + fp AS DOUBLE) END AS precision,

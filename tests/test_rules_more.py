@@ -302,3 +302,23 @@ def test_searches_go_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in semantic.top_k(queries, rows, 3).select("query_id", "item_id", "rank").collect()} == whole and len(whole) == 180
     assert semantic.top_k(queries.limit(0), rows, 3).count() == 0
     assert sized.sized(rows, 10) is rows
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    from clausegrid.sources import store
+
+    made = []
+
+    def make(df):
+        made.append(sorted(r["k"] for r in df.collect()))
+        return df.select("k", (F.col("k") * 2).alias("v"))
+
+    ask = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    path = str(tmp_path / "t")
+    assert sorted(map(tuple, store.cached(ask(1, 2), path, ["k"], make).collect())) == [(1, 2), (2, 4)]
+    assert sorted(map(tuple, store.cached(ask(2, 3), path, ["k"], make).collect())) == [(2, 4), (3, 6)]
+    assert made == [[1, 2], [3]]
+    texts = spark.createDataFrame([(" A  b ",), ("c",), ("c",)], "text string")
+    cache = spark.createDataFrame([("a b", [9.0])], "key string, embedding array<double>")
+    got = {r["text"]: r["embedding"] for r in semantic.embed_distinct(texts, hash_vector, cache=cache).collect()}
+    assert got[" A  b "] == [9.0] and len(got["c"]) == 32
