@@ -328,18 +328,21 @@ def encode(rows: DataFrame, known, keep: list[str]) -> DataFrame:
         end_known, get, end = END in index, index.__getitem__, index[END]
         index.noted.clear()
         for b in batches:
-            out: dict[str, list] = {"ids": [], "rare": [], "times": []}
+            numbers, rare, times, upto = [], [], array("i"), array("i", [0])
             for t in utf8(b.column("text")):
                 ids = array("i", map(get, t.lower().split()))
                 ids.append(end)
                 if not end_known:
                     index.noted.append(END)
-                rare = Counter(index.noted)
+                own = Counter(index.noted)
                 index.noted.clear()
-                out["ids"].append(ids.tobytes())
-                out["rare"].append(list(rare))
-                out["times"].append(list(rare.values()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out["ids"], pa.binary()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int32()))], names=schema.names)
+                numbers.append(ids.tobytes())
+                rare.extend(own)
+                times.extend(own.values())
+                upto.append(len(rare))
+            at = pa.array(upto, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (pa.array(rare, pa.binary()), pa.array(times, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(numbers, pa.binary()), *lists], names=schema.names)
 
     return rows.select(*keep, "text").mapInArrow(run, schema)
 
@@ -466,7 +469,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     scored = texts.select("row", "doc_id", "held_out", "ids").mapInArrow(run, schema)
     # what the rare words add: their counts are met by a join, where each word is one key of small count
     rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    met = rare.join(counts.where(F.col("n") < least).select("word", "n"), "word", "left")
+    met = rare.join(counts.where(F.col("n") < least).select("word", "n").hint("shuffle_hash"), "word", "left")  # words are spread evenly: no need to sort
     n = F.coalesce(F.col("n"), F.lit(0))
     added = met.groupBy("row").agg(F.sum(F.col("times") * F.log10(n + SMOOTH)).alias("added"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("met"))
     plus = F.coalesce("added", F.lit(0.0))
