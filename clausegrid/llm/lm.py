@@ -317,8 +317,18 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[Vocabulary, int]:
     return voc, least
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Numbers below 2^24 as their lower 16 bits, then their upper 8 bits, most of which are equal."""
+    return ids.astype(np.uint16).tobytes() + (ids >> 16).astype(np.uint8).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // 3
+    return np.frombuffer(raw, dtype=np.uint16, count=n).astype(np.int32) | np.frombuffer(raw, dtype=np.uint8, offset=2 * n).astype(np.int32) << 16
+
+
 def encode(rows: DataFrame, known, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``rows``, ids (int32 numbers of the tokens), and the words outside the head with their counts.
+    """The columns ``keep`` of ``rows``, ids (numbers of the tokens, ``packed``), and the words outside the head with their counts.
 
     known: the broadcast Vocabulary. A null text has the END alone."""
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("ids", T.BinaryType()), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
@@ -336,7 +346,7 @@ def encode(rows: DataFrame, known, keep: list[str]) -> DataFrame:
                     index.noted.append(END)
                 own = Counter(index.noted)
                 index.noted.clear()
-                numbers.append(ids.tobytes())
+                numbers.append(packed(np.frombuffer(ids, dtype=np.int32)))
                 rare.extend(own)
                 times.extend(own.values())
                 upto.append(len(rare))
@@ -351,7 +361,7 @@ def _texts_at_a_time(column: pa.Array, tokens: int = 1 << 17):
     """(ids of many texts, where each begins), some texts at a time: up to so many tokens, or one text."""
     held, size = [], 0
     for x in column.to_pylist():
-        ids = np.frombuffer(x, dtype=np.int32)
+        ids = unpacked(x)
         if held and size + len(ids) > tokens:
             yield np.concatenate(held), np.cumsum([0, *map(len, held[:-1])])
             held, size = [], 0

@@ -321,6 +321,11 @@ def test_language_model_sums_gradients_by_row(width):
     assert (seen == n).all() and np.abs(table - want).max() < 1e-5
 
 
+def test_language_model_numbers_are_packed_and_back():
+    for ids in (np.zeros(0, dtype=np.int32), np.array([0, 65535, 65536, (1 << 17) + 15, (1 << 24) - 1, 7], dtype=np.int32)):
+        assert lm.unpacked(lm.packed(ids)).tolist() == ids.tolist() and lm.unpacked(lm.packed(ids)).dtype == np.int32
+
+
 def test_language_model_contexts_by_slices():
     ids, first = np.arange(10, dtype=np.int32) + 5, np.array([0, 4, 5])
     whole = lm.contexts(ids, first)
