@@ -281,24 +281,24 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[Model],
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), b.column("toxic"), pa.array(ids, pa.binary())], names=["doc_id", "lang", "toxic", "ids"])
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema["lang"], T.StructField("toxic", T.IntegerType()), T.StructField("ids", T.BinaryType())])
-    got = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).withColumn("fold", _fold()).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()
-    y = np.array([r["toxic"] for r in got], dtype=np.float64)
-    fold = np.array([r["fold"] for r in got], dtype=np.int64)
+    got = sample.mapInArrow(run, schema).dropDuplicates(["doc_id"]).withColumn("fold", _fold()).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").toArrow()
+    y = np.array(got.column("toxic").to_pylist(), dtype=np.float64)
+    fold = np.array(got.column("fold").to_pylist(), dtype=np.int64)
     if any(len(set(y[fold != k])) < 2 for k in range(FOLDS)):
         model = Model()
         model.constant = n.get(1, 0) / (sum(n.values()) + 20)
         model.default = 0.9
         return model, [], marks
-    texts = [np.frombuffer(r["ids"], dtype=np.uint64) for r in got]
+    texts = [np.frombuffer(x, dtype=np.uint64) for x in got.column("ids").to_pylist()]
     share = n[1] / (n[0] + n[1])  # the sample's classes are weighted back to their share of all labels
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     some = lambda keep: [t for t, k in zip(texts, keep) if k]
-    z = np.empty(len(got))
+    z = np.empty(len(texts))
     unseen = [train(some(fold != k), y[fold != k], np.sqrt(weight[fold != k])) for k in range(FOLDS)]
     for k, m in enumerate(unseen):
         z[fold == k] = m.logits(some(fold == k))
     model = train(texts, y, np.sqrt(weight))
-    calibrate(model, z, y, weight, [r["lang"] for r in got])
+    calibrate(model, z, y, weight, got.column("lang").to_pylist())
     for m in unseen:
         m.scale, m.shift = model.scale, model.shift
     return model, unseen, marks
