@@ -21,7 +21,8 @@ YEAR_WORDS = (
     r"(?i)\b(one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|"
     r"twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|one\s+hundred)\s+(?:calendar\s+|fiscal\s+)?years?\b")
 PERCENT = r"(?i)(\d{1,3}(?:\.\d{1,4})?)\s*%(?:\s*per\s+(month|annum|year))?"
-DOLLAR = r"(?i)(?:\$|USD\s*\$?|CAD\s*\$?|US\$|CAD\$)\s*(\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?)\s*(million|billion|[mbk])?(?![A-Za-z])"
+#: A unit counts as a whole word only, and no look ahead behind the number makes it shorter than it stands: CAD463aef states 463, not 46.
+DOLLAR = r"(?i)(?:\$|USD\s*\$?|CAD\s*\$?|US\$|CAD\$)\s*(\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?)\s*((?:million|billion|[mbk])(?![0-9A-Za-z_]))?"
 DOLLAR_WORDS = r"(?i)(\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?)\s*(million|billion)\s*(?:dollars|USD|CAD)"
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,

@@ -100,7 +100,7 @@ def _quoted(pattern: str) -> str:
 
 _WORDS = "CASE regexp_replace(lower(v), '[\\s-]+', ' ', 'g') " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in textfeatures.NUMBER_WORDS.items()) + " END"
 _CLAUSES = r"""list_filter(flatten(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) < 200 THEN [x] ELSE string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END)), lambda x: x <> '')"""
-#: Without the look ahead, which this engine lacks: no text here has a letter behind an amount's unit letter.
+#: ``textfeatures.DOLLAR`` with boundaries in place of its look ahead, which this engine lacks.
 _DOLLAR = r"(?i)(?:\$|USD\s*\$?|CAD\s*\$?|US\$|CAD\$)\s*(\d{1,3}(?:[,\s]\d{3})*(?:\.\d+)?)\s*(million\b|billion\b|[mbk]\b)?"
 _BY = "CASE lower(u) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END"
 
