@@ -1,9 +1,13 @@
 """Queries against their SQL, and operators against plain versions, on small tables that hold what the driver's smallest do not."""
 
+import hashlib
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from clausegrid import catalog
+from clausegrid.functions import vectors
 
 
 def shown(value):
@@ -45,3 +49,13 @@ def test_rules_that_move_to_a_taken_id(same):
     found = same("q_ruleset_diff", part=(rows, PART))
     assert [(r["change"], r["fields"]) for r in found if r["rule_id"] == "R-1000007"] == [("unchanged", ""), ("unchanged", "")]
     assert [(r["change"], r["fields"]) for r in found if r["rule_id"] == "R-1000035"] == [("changed", "severity"), ("changed", "severity,gate_threshold")]
+
+
+def test_hash_vector_works_its_digests_out_once(spark):
+    df = spark.createDataFrame([("word " * 2000,), ("",), (None,)], "text string").select(vectors.hash_vector(F.col("text")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2  # not one for each use in the lambdas
+    for text, v in zip(("word " * 2000, "", ""), (r["v"] for r in df.collect())):
+        first = hashlib.sha256(text.encode()).digest()
+        lanes = [int.from_bytes(raw[k:k + 2], signed=True) / 32767.0 for raw in (first, hashlib.sha256(first).digest()) for k in range(0, 32, 2)]
+        norm = sum(x * x for x in lanes) ** 0.5
+        assert len(v) == 32 and v == pytest.approx([x / norm for x in lanes], abs=1e-12)
