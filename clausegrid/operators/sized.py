@@ -22,3 +22,9 @@ def blocks(rows: DataFrame, key: str, size: int = FEW) -> Iterator[DataFrame]:
     n = -(-rows.count() // size)
     for k in range(n):
         yield F.broadcast(rows if n == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k))
+
+
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table in as many partitions as there are cores at least: one small file is one task, whatever each row costs."""
+    n = stored.sparkSession.sparkContext.defaultParallelism
+    return stored if stored.rdd.getNumPartitions() >= n else stored.repartition(n)

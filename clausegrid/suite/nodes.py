@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
 from ..operators import semantic
+from ..operators.sized import spread
 from ..plans import selectors
 from ..streaming.review import event_counts
 from . import demo
@@ -102,8 +102,8 @@ def q_sel_sections(spark: SparkSession, sf: str) -> DataFrame:
 FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0""")
 def q_cosine(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q)).select("query_id", F.col("vec_id").alias("item_id"), F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return semantic.similarities(q, spread(e.select(F.col("vec_id").alias("item_id"), "embedding")), 6)
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clausegrid import catalog
 from clausegrid.functions import vectors
+from clausegrid.operators import semantic
 
 
 def shown(value):
@@ -59,3 +60,34 @@ def test_hash_vector_works_its_digests_out_once(spark):
         lanes = [int.from_bytes(raw[k:k + 2], signed=True) / 32767.0 for raw in (first, hashlib.sha256(first).digest()) for k in range(0, 32, 2)]
         norm = sum(x * x for x in lanes) ** 0.5
         assert len(v) == 32 and v == pytest.approx([x / norm for x in lanes], abs=1e-12)
+
+
+ODD = [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [1.0, 2.0, 3.0]), (4, [0.0, 0.0, 0.0]), (5, None), (6, [1.0, None, 2.0]), (7, [1.0, 2.0]), (8, []), (9, [float("nan"), 1.0, 0.0]),
+       (10, [-1.0, -2.0, -3.0]), (11, [3.0, -1.0, 0.5]), (12, [0.5, 0.25, 8.0]), (13, [1.0, None, 2.0]), (14, [7.0, 1.0]), (15, [1.0, 2.0, 3.0])]
+
+
+def by_expression(queries, items):
+    pairs = items.crossJoin(queries.withColumnRenamed("embedding", "q"))
+    return {(r["query_id"], r["item_id"]): r["c"] for r in pairs.select("query_id", "item_id", vectors.cosine(F.col("q"), F.col("embedding")).alias("c")).collect()}
+
+
+@pytest.mark.parametrize("tile", [(256, 2048), (2, 4)])
+def test_vectors_of_every_kind(spark, monkeypatch, tile):
+    monkeypatch.setattr(semantic, "_TILE", tile)
+    items = spark.createDataFrame(ODD, "item_id long, embedding array<float>").repartition(2)
+    queries = items.withColumnRenamed("item_id", "query_id")
+    all_pairs = by_expression(queries, items)
+    got = {(r["query_id"], r["item_id"]): r["similarity"] for r in semantic.similarities(queries, items, 6).collect()}
+    assert got.keys() == all_pairs.keys()
+    for pair, c in all_pairs.items():
+        assert shown(got[pair]) == shown(c if c is None or c != c else round(c, 6) + 0.0) or (c == 0 and got[pair] == 0), pair
+
+
+def test_pairs_are_products_of_matrices_on_all_cores(spark, tmp_path, same):
+    rows = [(k, [((k * 37 + j * 11) % 23 - 11) / 7.0 for j in range(16)]) for k in range(0, 300)]
+    for name in ("q_cosine",):
+        same(name, embeddings=(rows, "vec_id long, embedding array<float>"))
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
+        df = catalog.queries()[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "BroadcastNestedLoopJoin" not in plan and "RoundRobinPartitioning(4)" in plan
