@@ -111,7 +111,7 @@ SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 def q_semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return semantic.top_k(q, e.select(F.col("vec_id").alias("item_id"), "embedding"), 5).select("query_id", "item_id", "rank")
+    return semantic.top_k(q, spread(e.select(F.col("vec_id").alias("item_id"), "embedding")), 5).select("query_id", "item_id", "rank")
 
 
 @query("""SELECT b.vec_id AS section_id, CAST(a.vec_id AS VARCHAR) AS concept, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3 AS holds FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id < 4""")

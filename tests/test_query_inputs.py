@@ -71,9 +71,10 @@ def by_expression(queries, items):
     return {(r["query_id"], r["item_id"]): r["c"] for r in pairs.select("query_id", "item_id", vectors.cosine(F.col("q"), F.col("embedding")).alias("c")).collect()}
 
 
-@pytest.mark.parametrize("tile", [(256, 2048), (2, 4)])
-def test_vectors_of_every_kind(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, held", [((256, 2048), 1 << 18), ((2, 4), 20)])
+def test_vectors_of_every_kind(spark, monkeypatch, tile, held):
     monkeypatch.setattr(semantic, "_TILE", tile)
+    monkeypatch.setattr(semantic, "_HELD", held)
     items = spark.createDataFrame(ODD, "item_id long, embedding array<float>").repartition(2)
     queries = items.withColumnRenamed("item_id", "query_id")
     all_pairs = by_expression(queries, items)
@@ -81,11 +82,15 @@ def test_vectors_of_every_kind(spark, monkeypatch, tile):
     assert got.keys() == all_pairs.keys()
     for pair, c in all_pairs.items():
         assert shown(got[pair]) == shown(c if c is None or c != c else round(c, 6) + 0.0) or (c == 0 and got[pair] == 0), pair
+    # NaN above all numbers, null below; equal directions tie by id
+    rank = lambda c: (2, 0) if c is None else (0, 0) if c != c else (1, -round(c, 12))
+    want = {(q, i, n) for q, _ in ODD for n, (_, i) in enumerate(sorted((rank(all_pairs[q, i]), i) for i, _ in ODD)[:4], 1)}
+    assert {(r["query_id"], r["item_id"], r["rank"]) for r in semantic.top_k(queries, items, 4).collect()} == want
 
 
 def test_pairs_are_products_of_matrices_on_all_cores(spark, tmp_path, same):
     rows = [(k, [((k * 37 + j * 11) % 23 - 11) / 7.0 for j in range(16)]) for k in range(0, 300)]
-    for name in ("q_cosine",):
+    for name in ("q_cosine", "q_semantic_topk"):
         same(name, embeddings=(rows, "vec_id long, embedding array<float>"))
         spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/embeddings.parquet")
         df = catalog.queries()[name](spark, str(tmp_path))
