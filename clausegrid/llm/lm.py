@@ -429,11 +429,11 @@ def train(texts: DataFrame, voc: Vocabulary, known) -> list[np.ndarray]:
         moves = dealt.mapInArrow(run, form)
         if parts > 1:
             moves = moves.groupBy("side", "block", "part").applyInPandas(merge, form)
-        for r in moves.groupBy("side", "block").applyInPandas(merge, form).collect():  # one weight table
+        for r in moves.groupBy("side", "block").applyInPandas(merge, form).toLocalIterator():  # one weight table, a part at a time
             moved = np.frombuffer(r["moved"], dtype=np.float16).astype(np.float32)
             own = weights[r["side"]][r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK]
             own += moved.reshape(own.shape)
-        held.unpersist()
+        held.destroy()  # the driver's copy too
     return weights
 
 
